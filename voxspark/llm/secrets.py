@@ -1,0 +1,140 @@
+"""Secret scan with assignment-aware lexing.
+
+Three base kinds are fixed patterns. Besides them each text is lexed into name-literal pairs: an
+assignment is a name (bare, dotted, quoted or a shell export), an operator (``=``, ``:``, ``:=``,
+``=>``) and a value made of quoted literals, bare words and earlier names joined by ``+`` or ``.``.
+A table of constants, one per text, carries literal spans from name to name, so
+``A = "x7Gk..."; db_password = A`` reports the literal where it is written. A target name is split at
+case changes and separators and its words weigh in; the literal adds its length and variety. Spans
+of kind ``target`` are literals that reach ``threshold``.
+
+Defined results: null and empty texts have no spans; offsets are code points, end exclusive; a span
+found twice as a target counts once; names are seen in text order, so a later assignment to the same
+name replaces the earlier one; other columns of the input are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from voxspark.llm.common import documents
+
+KINDS = ("assign", "access", "hex", "target")
+ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
+HEX = re.compile(r"[0-9a-f]{24,}")
+MIN_ASSIGNED = 6
+
+#: Words of a target name and their weights.
+SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "private": 1, "access": 1, "auth": 2, "api": 1, "key": 2, "signing": 1, "session": 1, "cookie": 1, "bearer": 2, "pin": 1, "salt": 1}
+
+PAIR = re.compile(
+    r"""(?<![\w$.-])(?P<name>[A-Za-z_$][\w$.-]*+)(?P<q>["'`]?)[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*"""
+    r"""(?P<value>(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[\w$+/.@%^&*!~{}=-]+)"""
+    r"""(?:[ \t]*[+.][ \t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[\w$]+))*)""",
+    re.ASCII,
+)
+TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`]+)""")
+WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+NAME_LIKE = re.compile(r"\$?\{?([A-Za-z_][\w.]*)\}?\+?", re.ASCII)
+
+
+def name_score(name: str) -> int:
+    """Sum of the weights of the sensitive words in a target name."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    joined = {a + b for a, b in zip(words, words[1:], strict=False)}
+    return sum(SENSITIVE.get(w, 0) for w in {*words, *joined})
+
+
+def literal_score(literal: str) -> int:
+    """0 to 3: long enough, more than one class of characters, varied."""
+    if len(literal) < 6:
+        return 0
+    classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return 1 + (classes >= 2) + (max(Counter(literal).values()) <= max(2, len(literal) // 3))
+
+
+def target_spans(text: str, threshold: int = 5) -> list[tuple[int, int]]:
+    """Spans of literals that reach a sensitive name, directly or through constants."""
+    constants: dict[str, list[tuple[int, int, bool]]] = {}
+    found: dict[tuple[int, int], None] = {}
+    for m in PAIR.finditer(text):
+        literals: list[tuple[int, int, bool]] = []
+        for t in TERM.finditer(text, m.start("value"), m.end("value")):
+            bare = t.lastindex == 4
+            known = NAME_LIKE.fullmatch(t[4]) if bare else None
+            if known and known[1] in constants:
+                literals += constants[known[1]]
+            else:
+                literals.append((*t.span(t.lastindex), not bare))
+        name = m["name"]
+        constants[name] = literals
+        weight = name_score(name)
+        if weight >= 2:
+            for start, end, quoted in literals:
+                value = text[start:end]
+                # a bare word counts only when it does not read like a plain word
+                if (quoted or re.search(r"\d", value)) and weight + literal_score(value) >= threshold:
+                    found[start, end] = None
+    return sorted(found)
+
+
+def scan(text: str) -> list[tuple[int, int, str]]:
+    """All spans as (start, kind's place, end), sorted."""
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= MIN_ASSIGNED]
+    spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
+    spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    spans += [(s, 3, e) for s, e in target_spans(text)] if "=" in text or ":" in text else []
+    return sorted(spans)
+
+
+def joined(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def redact(text: str, mask: str = "[SECRET]") -> str:
+    """The text with every span, overlapping ones merged, replaced by the mask."""
+    out, at = [], 0
+    for s, _, e in scan(text):
+        if e <= at:
+            continue
+        if s >= at:
+            out += [text[at:s], mask]
+        at = e
+    return "".join(out) + text[at:]
+
+
+def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [scan(t) for t in batch.column("text").to_pylist()]
+        count = lambda k: pa.array([sum(x[1] == k for x in r) for r in rows], pa.int64())  # noqa: E731, B023
+        base = [hashlib.sha256(joined([x for x in r if x[1] < 3]).encode()).hexdigest() for r in rows]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), count(0), count(1), count(2), count(3), pa.array(base, pa.string()), pa.array([joined(r) for r in rows], pa.string())],
+            ["doc_id", "n_assign", "n_access", "n_hex", "n_target", "base_sha256", "spans"],
+        )
+
+
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, n_target, base_sha256, spans) for each row."""
+    return documents(docs, id_col, text_col).mapInArrow(
+        _scan_batches, "doc_id long, n_assign long, n_access long, n_hex long, n_target long, base_sha256 string, spans string"
+    )
+
+
+def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The same rows and columns with secrets masked in the text; null texts stay null."""
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pa.array([x if x is None else redact(x) for x in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(b.columns)], names)
+
+    return docs.mapInArrow(masked, docs.schema)
