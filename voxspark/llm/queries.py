@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxspark.llm.bpe import encode_decode
 from voxspark.llm.common import read_table
 from voxspark.llm.exact_dedup import exact_duplicates
+from voxspark.llm.packing import pack
+from voxspark.llm.pieces import tokenizer_path
 from voxspark.llm.quality import score_documents
-from voxspark.llm.secrets import secret_spans
+from voxspark.llm.secret_scan import secret_spans
+from voxspark.llm.token_counts import token_counts
 from voxspark.llm.topk import top_k
 from voxspark.llm.url_rules import judge_urls
 
@@ -20,6 +24,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(read_table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge_urls(read_table(spark, sf_dir, "pages"), rules)
@@ -33,12 +41,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read_table(spark, sf_dir, "embeddings")
     return top_k(table, table.where(F.col("vec_id") % 20 == 0), 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_url_rules, op5_quality, op6_exact_dedup, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op4_url_rules, op5_quality, op6_exact_dedup, op7_bpe, op9_packing, op10_exact_top_k)}
 
 ORACLES = {
     "op4_url_rules": r"""
