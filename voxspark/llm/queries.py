@@ -13,6 +13,7 @@ from voxspark.llm.packing import pack
 from voxspark.llm.pieces import tokenizer_path
 from voxspark.llm.quality import score_documents
 from voxspark.llm.secret_scan import secret_spans
+from voxspark.llm.suffix_dedup import repeated_bytes
 from voxspark.llm.token_counts import token_counts
 from voxspark.llm.topk import top_k
 from voxspark.llm.url_rules import judge_urls
@@ -29,6 +30,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(read_table(spark, sf_dir, "documents"))
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge_urls(read_table(spark, sf_dir, "pages"), rules)
@@ -59,7 +64,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table, table.where(F.col("vec_id") % 20 == 0), 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op4_url_rules, op5_quality, op6_exact_dedup, op7_bpe, op8_jaccard_join, op9_packing, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_suffix_dedup, op4_url_rules, op5_quality, op6_exact_dedup, op7_bpe, op8_jaccard_join, op9_packing, op10_exact_top_k)}
 
 ORACLES = {
     "op4_url_rules": r"""
