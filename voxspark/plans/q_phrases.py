@@ -29,7 +29,7 @@ def _(t):
     "P9_drop_unusable_phrases",
     r"""SELECT recording_id, chunk_index, phrase_id, n_words FROM (
             SELECT recording_id, chunk_index, phrase_id, count(*) AS n_words, bool_or(trim(regexp_replace(text, '\[BLANK[_\s]*AUDIO\]', '', 'gi')) <> '') AS filled, min_by("start", pos) AS s, max_by("end", pos) AS e
-            FROM (SELECT *, sum(n) OVER (PARTITION BY recording_id, chunk_index ORDER BY pos) AS phrase_id
+            FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY recording_id, chunk_index ORDER BY pos) AS BIGINT) AS phrase_id
                   FROM (SELECT *, CASE WHEN "start" - lag("end") OVER (PARTITION BY recording_id, chunk_index ORDER BY pos) >= 0.05 AND pos % 17 IN (0, 1) THEN 1 WHEN "start" - lag("end") OVER (PARTITION BY recording_id, chunk_index ORDER BY pos) >= 0.2 THEN 1 ELSE 0 END AS n FROM marked_words)) GROUP BY ALL)
         WHERE filled AND e > s AND NOT (phrase_id = 0)""",
 )
@@ -73,7 +73,7 @@ def _(t):
     "E5_absorb_short_phrases",
     """WITH m AS (SELECT *, sum(CASE WHEN phrase_id = 0 OR "end" - "start" >= 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY phrase_id) AS island FROM speaker_runs),
        w AS (SELECT *, n_words > coalesce(sum(n_words) OVER (PARTITION BY recording_id, island ORDER BY phrase_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wins FROM m)
-       SELECT recording_id, min(phrase_id) AS phrase_id, round(min_by("start", phrase_id), 3) AS "start", round(max_by("end", phrase_id), 3) AS "end", arg_max_null(speaker, CASE WHEN wins THEN phrase_id END) AS speaker, sum(n_words) AS n_words FROM w GROUP BY recording_id, island""",
+       SELECT recording_id, min(phrase_id) AS phrase_id, round(min_by("start", phrase_id), 3) AS "start", round(max_by("end", phrase_id), 3) AS "end", arg_max_null(speaker, CASE WHEN wins THEN phrase_id END) AS speaker, CAST(sum(n_words) AS BIGINT) AS n_words FROM w GROUP BY recording_id, island""",
 )
 def _(t):
     out = P.absorb_short_phrases(runs(t), ["recording_id"], 3600.0)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxspark.sources import bindings
 
+#: Columns that count rows; both engines give them as 64-bit integers.
+LONGS = {"segment_index", "cluster_id", "seg_id", "pos", "part", "frame", "d", "chunk_index", "n_words"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -17,7 +19,11 @@ def query(name: str, sql: str | None = None):
     """Register a function of the bound tables; names of bound tables in the SQL get their definitions put in front."""
 
     def add(f: Callable[[bindings.Tables], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: f(bindings.Tables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(bindings.Tables(spark, sf_dir))
+            return out.withColumns({c: out[c].cast("long") for c, kind in out.dtypes if kind == "int" and c in LONGS})
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = with_bindings(sql)
         return f

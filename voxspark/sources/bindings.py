@@ -141,11 +141,11 @@ SQL = {
         QUALIFY row_number() OVER (PARTITION BY w.recording_id, w.pos ORDER BY s."start", s.segment_index) = 1""",
     "speaker_runs": """
         SELECT recording_id, phrase_id, min_by("start", pos) AS "start", max_by("end", pos) AS "end", any_value(speaker) AS speaker, count(*) AS n_words, avg(confidence) AS avg_confidence
-        FROM (SELECT *, sum(n) OVER (PARTITION BY recording_id ORDER BY pos) AS phrase_id FROM (SELECT *, CASE WHEN pos > 0 AND speaker IS DISTINCT FROM lag(speaker) OVER (PARTITION BY recording_id ORDER BY pos) THEN 1 ELSE 0 END AS n FROM mapped_words))
+        FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY recording_id ORDER BY pos) AS BIGINT) AS phrase_id FROM (SELECT *, CASE WHEN pos > 0 AND speaker IS DISTINCT FROM lag(speaker) OVER (PARTITION BY recording_id ORDER BY pos) THEN 1 ELSE 0 END AS n FROM mapped_words))
         GROUP BY recording_id, phrase_id""",
     "phrases": """
         SELECT recording_id, channel_id, chunk_index, phrase_id, min_by("start", pos) AS "start", max_by("end", pos) AS "end", count(*) AS n_words, string_agg(text, '' ORDER BY pos) AS text
-        FROM (SELECT *, sum(n) OVER (PARTITION BY recording_id, chunk_index ORDER BY pos) AS phrase_id
+        FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY recording_id, chunk_index ORDER BY pos) AS BIGINT) AS phrase_id
               FROM (SELECT *, CASE WHEN "start" - lag("end") OVER (PARTITION BY recording_id, chunk_index ORDER BY pos) >= 0.2 THEN 1 ELSE 0 END AS n FROM words))
         GROUP BY recording_id, channel_id, chunk_index, phrase_id""",
     "ranked": """
