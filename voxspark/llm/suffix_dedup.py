@@ -11,9 +11,9 @@ it whose hash is smallest, leftmost on ties; equal strings have equal anchors at
    boundary. Neighbouring suffixes of one anchor travel as one stretch of text, each distinct stretch
    of a chunk once, with its smallest doc_id. Suffixes of very frequent anchors travel singly, dealt
    by their whole first MATCH bytes, so a frequent line with ever other neighbours spreads out.
-4. In a range the suffixes are sorted by multikey quicksort over eight-byte words: only runs of equal
-   words go on to the next word. Runs that last MATCH bytes are equal strings; those whose doc_id is
-   not the smallest of the run are marked. The answer, a bit a suffix, returns to its chunk.
+4. In a range the suffixes are sorted by multikey quicksort, sixteen bytes being one character: only
+   runs of equal characters go on to the next. Runs that last MATCH bytes are equal strings; those whose
+   doc_id is not the smallest of the run are marked. The answer, a bit a suffix, returns to its chunk.
 5. Each chunk covers the marked strings and reports its documents.
 
 Defined results: null text equals the empty text; rows that repeat a doc_id don't remove each other's
@@ -158,25 +158,35 @@ class Selected:
             at = end
 
 
-def equal_runs(words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Runs of suffixes that agree in MATCH bytes. words[i]: the eight bytes at place i as a number.
+def equal_runs(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes that agree in MATCH bytes with another one, run by run, and where each run begins.
 
-    Multikey quicksort: sorted by one word at a time, and only runs of equal words go on.
+    words[i]: the eight bytes at place i as a number. Multikey quicksort: sorted by the next characters
+    at a time, two words being one character, and only runs of equal characters go on.
     """
-    active, run = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-    for depth in range(0, MATCH, 8):
-        key = words[starts[active] + depth]
-        if depth + 8 > MATCH:
-            key = key >> _U(8 * (depth + 8 - MATCH))
-        order = np.lexsort((key, run))
-        active, key, run = active[order], key[order], run[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (run[1:] != run[:-1])])
-        run = np.cumsum(new)
-        several = np.bincount(run)[run] > 1
-        active, run = active[several], run[several]
+    active, run = np.arange(len(starts)), np.zeros(len(starts), _U)
+    for depth in range(0, MATCH, 16):
+        one, two = words[starts[active] + depth], words[np.minimum(starts[active] + depth + 8, len(words) - 1)]
+        if depth + 8 >= MATCH:
+            two = np.zeros(len(two), _U)
+            one = one >> _U(8 * max(0, depth + 8 - MATCH))
+        elif depth + 16 > MATCH:
+            two = two >> _U(8 * (depth + 16 - MATCH))
+        # one number for (run, one, two): sorted fast, and checked below
+        order = np.argsort(mix(mix(mix(run) + one) ^ two))
+        for exact in (False, True):
+            if exact:
+                order = np.lexsort((two, one, run))
+            a, k, l, r = active[order], one[order], two[order], run[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (l[1:] != l[:-1]) | (r[1:] != r[:-1])])
+            if exact or new.sum() == 1 + (np.diff(mix(mix(mix(r) + k) ^ l)) != 0).sum():
+                break
+        number = np.cumsum(new)
+        several = np.bincount(number)[number] > 1
+        active, run = a[several], number[several].astype(_U)
         if not len(active):
-            return []
-    return np.split(active, np.flatnonzero(run[1:] != run[:-1]) + 1)
+            break
+    return active, np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(active) else np.empty(0, np.int64)
 
 
 def _chunk_rows(target: int):
@@ -269,26 +279,44 @@ def _send_suffixes(cuts: list[bytes], ranges: int):
     return run
 
 
+def mark_repeats(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
+    """For each stretch a mark a suffix: whether a smaller document holds the same MATCH bytes.
+
+    Equal stretches are compared once, as that of their smallest document; all later ones are marked whole.
+    """
+    first: dict[bytes, int] = {}
+    same = np.array([first.setdefault(t, len(first)) for t in texts], dtype=np.int64)
+    owner = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(owner, same, docs)
+    counts = np.array([len(t) - MATCH + 1 for t in first], dtype=np.int64)
+    text = np.frombuffer(b"".join(first) + bytes(16), np.uint8)
+    begin = np.cumsum(counts + MATCH - 1) - (counts + MATCH - 1)
+    at = np.cumsum(counts) - counts
+    starts = np.repeat(begin, counts) + np.arange(counts.sum()) - np.repeat(at, counts)
+    words = np.zeros(len(text) - 7, _U)
+    for i in range(8):
+        words = (words << _U(8)) | text[i : i + len(words)]
+    held, marked = np.repeat(owner, counts), np.zeros(len(starts), bool)
+    members, runs = equal_runs(words, starts)
+    if len(members):
+        least = np.minimum.reduceat(held[members], runs)
+        marked[members] = held[members] > np.repeat(least, np.diff(np.append(runs, len(members))))
+    parts = np.split(marked, at[1:])
+    return [parts[u] if d == owner[u] else np.ones(counts[u], bool) for u, d in zip(same.tolist(), docs.tolist(), strict=True)]
+
+
 def _judge_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for at, rows in _by_range(batches):
-        text = np.frombuffer(b"".join(r["texts"] for r in rows) + bytes(8), np.uint8)
-        counts = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in rows]).astype(np.int64)
-        docs = np.repeat(np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows]), counts)
-        begin = np.cumsum(counts + MATCH - 1) - (counts + MATCH - 1)
-        offset = np.arange(len(docs)) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts = np.repeat(begin, counts) + offset
-        words = np.zeros(len(text) - 7, _U)
-        for i in range(8):
-            words = (words << _U(8)) | text[i : i + len(words)]
-        marked = np.zeros(len(docs), bool)
-        runs = equal_runs(words, starts)
-        if runs:
-            members = np.concatenate(runs)
-            lengths = np.array([len(x) for x in runs])
-            least = np.minimum.reduceat(docs[members], np.cumsum(lengths) - lengths)
-            marked[members] = docs[members] > np.repeat(least, lengths)
-        cuts = np.cumsum([np.frombuffer(r["counts"], np.uint8).sum(dtype=np.int64) for r in rows])[:-1]
-        yield _answers(at, [r["chunk"] for r in rows], [np.packbits(m).tobytes() for m in np.split(marked, cuts)])
+        texts, docs, cuts = [], [], []
+        for r in rows:
+            place = 0
+            for n in np.frombuffer(r["counts"], np.uint8).tolist():
+                texts.append(r["texts"][place : place + n + MATCH - 1])
+                place += n + MATCH - 1
+            docs.append(np.frombuffer(r["docs"], np.int64))
+            cuts.append(len(texts))
+        marks = mark_repeats(texts, np.concatenate(docs))
+        yield _answers(at, [r["chunk"] for r in rows], [np.packbits(np.concatenate(marks[x:y])).tobytes() for x, y in zip([0, *cuts], cuts, strict=False)])
 
 
 def removed_bytes(s: Stretches, chosen: Selected, answers: dict[int, bytes]) -> np.ndarray:
@@ -346,7 +374,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     few = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(1 << 20)) < (1 << 20) * min(1.0, SAMPLED_CHUNKS / max(1, count)))
     sample = sorted(r["key"] for r in few.mapInArrow(_sample_keys, "key binary").collect())
     cuts = sorted({bytes(sample[i * len(sample) // ranges]) for i in range(1, ranges)}) if sample else []
-    dealt = lambda df: df.repartitionByRange(n, "range").sortWithinPartitions("range", "chunk")
+    dealt = lambda df: df.repartitionById(n, F.pmod("range", F.lit(n)).cast("int")).sortWithinPartitions("range", "chunk")
     told = lambda df, name: df.groupBy("chunk").agg(F.collect_list(F.struct("range", "answer")).alias(name))
     flags = materialize(dealt(chunks.mapInArrow(_send_anchors(ranges), "chunk long, range int, hashes binary, counts binary")).mapInArrow(_judge_anchors(frequent), ANSWER), "anchors")
     flagged = chunks.join(told(flags, "flags"), "chunk", "left")
