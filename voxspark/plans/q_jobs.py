@@ -168,7 +168,7 @@ def _(t):
 def _(t):
     schema = t.table("embeddings").schema
     rows = L.chunk_stream(t.spark, f"{t.sf_dir}/embedding[s].parquet", schema)
-    phrases = rows.select((F.col("vec_id") % 20).alias("recording_id"), (F.col("label") % 2).alias("channel_id"), F.col("vec_id").alias("ord"), F.lit(10.0).alias("duration"), F.lit(1.5).alias("overlap"), (F.col("vec_id") % 97 == 0).alias("is_final"), F.lit(0.5).alias("start"), F.col("embedding").cast("array<double>").alias("embedding"))
+    phrases = rows.select((F.col("vec_id") % 20).alias("recording_id"), (F.col("label") % 2).alias("channel_id"), F.col("vec_id").alias("ord"), F.lit(10.0).alias("duration"), F.when(F.col("vec_id") < 20, 0.0).otherwise(1.5).alias("overlap"), (F.col("vec_id") % 97 == 0).alias("is_final"), F.lit(0.5).alias("start"), F.col("embedding").cast("array<double>").alias("embedding"))
     out = L.live_transcript(phrases, ONLINE)
     return L.run_available(out, folder(t.spark, "live"), folder(t.spark, "state"), "append").withColumn("start_time", r6("start_time"))
 
