@@ -111,7 +111,15 @@ def _(t):
     return out.select("recording_id", "segment_index", F.col("piece").cast("long").alias("piece"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "forced")
 
 
-@query("T2_speech_segments")
+@query(
+    "T2_speech_segments",
+    """WITH f AS (SELECT clip % 100 AS grp, row_number() OVER (PARTITION BY clip % 100 ORDER BY clip, frame) - 1 AS frame, feat[3] * 10 AS p FROM frames),
+       l AS (SELECT *, coalesce(max(CASE WHEN p >= 0.35 THEN frame END) OVER (PARTITION BY grp ORDER BY frame), -1) AS loud FROM f),
+       e AS (SELECT *, coalesce(last_value(CASE WHEN p >= 0.5 THEN 1 WHEN frame - loud >= 3 THEN 0 END IGNORE NULLS) OVER (PARTITION BY grp ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS st FROM l),
+       n AS (SELECT *, CASE WHEN st = 1 AND coalesce(lag(st) OVER (PARTITION BY grp ORDER BY frame), 0) = 0 THEN 1 ELSE 0 END AS b FROM e),
+       s AS (SELECT *, CAST(sum(b) OVER (PARTITION BY grp ORDER BY frame) AS BIGINT) - 1 AS segment_index FROM n)
+       SELECT grp AS "group", segment_index, round(CAST(greatest(0, min(frame) * 0.1 - 0.15) AS DOUBLE), 6) AS "start", round(CAST((max(frame) + 1) * 0.1 AS DOUBLE), 6) AS "end" FROM s WHERE st = 1 GROUP BY grp, segment_index HAVING (max(frame) + 1 - min(frame)) * 0.1 >= 0.3""",
+)
 def _(t):
     p = t.frames.select((F.col("clip") % 100).alias("group"), "clip", "frame", (F.element_at("feat", 3) * 10).alias("p"))
     from pyspark.sql import Window
