@@ -25,17 +25,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays; of its repeated rows one."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn("__digest", F.sha2(F.encode(text_of(docs), "UTF-8"), 256))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    """Of equal texts the row with the largest doc_id stays; of its repeated rows one.
+
+    The dropped ids are joined, fewer than the kept ones, and only documents that repeat an id are
+    grouped by it.
+    """
+    ids, digest = F.col("doc_id").cast("long"), F.sha2(F.encode(text_of(docs), "UTF-8"), 256)
+    judged = materialize(exact_duplicates(docs), "judged")
+    gone = judged.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    twice = judged.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    rows = docs.withColumn("__digest", digest)
+    same = lambda other: ids.eqNullSafe(other["__id"]) & (F.col("__digest") == other["__sha"])
+    left = rows.join(gone, same(gone), "left_anti")
+    repeated = left.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "__digest"])
+    return left.join(twice, same(twice), "left_anti").unionByName(repeated).drop("__digest")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group linked by five-word shingles at 0.8 or more stays."""
-    first = jaccard_components(docs, words=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    gone = jaccard_components(docs, words=5, percent=80).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
