@@ -6,7 +6,8 @@
    document may leave out its smallest parts: with e parts sure to be equal, parts under a size that
    at most e - 1 of its parts fall short of. Equal parts have equal sizes, so one always remains.
 2. Documents that share a part hash are joined by a star, not in pairs; the connected groups of
-   these stars hold every link. Within a batch a part hash with many documents is replaced by one of
+   these stars hold every link. Large groups are split by dealing the parts anew within each: documents
+   that link share a part every time, those that met by chance, over a common line, seldom do again. Within a batch a part hash with many documents is replaced by one of
    its own, so a hot hash arrives once for each batch.
 3. A group is dealt into blocks by hash and every pair of blocks is one small task. It builds
    signature trees, whose nodes hold OR-combined bitmaps, size ranges and the most shingles that share
@@ -37,6 +38,8 @@ from voxspark.llm.graph import components
 from voxspark.llm.shingles import mix, shingle_set
 
 BLOCK = 64
+LARGE = 4096
+ROUNDS = 4
 SPARE = 1.4
 CROWD = 8
 BITS = 2048
@@ -65,12 +68,13 @@ class SizeClasses:
         return m, m - differ
 
 
-def part_hashes(hashes: np.ndarray, classes: SizeClasses) -> list[np.ndarray]:
-    """Hashes of the document's parts, for its own size class and the one below."""
+def part_hashes(hashes: np.ndarray, classes: SizeClasses, seed: int = 0) -> list[np.ndarray]:
+    """Hashes of the document's parts, for its own size class and the one below. A seed deals the parts anew."""
+    dealt = mix(hashes + _U(seed)) if seed else hashes
     out, own = [], classes.of(len(hashes))
     for c in range(max(0, own - 1), own + 1):
         m, equal = classes.parts(c)
-        place = ((hashes >> _U(20)) % _U(m)).astype(np.int64)
+        place = ((dealt >> _U(20)) % _U(m)).astype(np.int64)
         order = np.argsort(place, kind="stable")
         sizes = np.bincount(place, minlength=m)
         sums = np.zeros(m, _U)
@@ -82,28 +86,38 @@ def part_hashes(hashes: np.ndarray, classes: SizeClasses) -> list[np.ndarray]:
     return out
 
 
-def _sketch(words: int, percent: int):
+def _sizes(words: int):
+    """Set size and digest of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, words) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "digest"])
+
+    return run
+
+
+def digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _parts(words: int, percent: int):
+    """Part hashes of each document, and that of its whole set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(percent)
         for b in batches:
-            docs, sizes, digests, rows, first = b.column("doc_id").to_pylist(), [], [], [], {}
+            docs, rows, first = b.column("doc_id").to_pylist(), [], set()
             for doc, text in zip(docs, b.column("text").to_pylist(), strict=True):
                 s = shingle_set(text, words)
-                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                sizes.append(len(s))
-                digests.append(d)
-                whole = np.frombuffer(d[:8], _U)
                 if not len(s) or doc is None:
                     rows.append(np.empty(0, _U))
-                elif d in first:  # a copy in this batch: its whole set's hash is enough
-                    rows.append(whole)
-                else:
-                    first[d] = None
-                    rows.append(np.concatenate([whole, *part_hashes(s, classes)]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([r.view(np.int64) for r in _thin(docs, rows)], pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "parts"],
-            )
+                    continue
+                d = digest(s)
+                # a copy in this batch: its whole set's hash is enough
+                rows.append(np.concatenate([np.frombuffer(d[:8], _U), *([] if d in first else part_hashes(s, classes))]))
+                first.add(d)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r.view(np.int64) for r in _thin(docs, rows)], pa.list_(pa.int64()))], ["doc_id", "parts"])
 
     return run
 
@@ -235,28 +249,56 @@ def _set_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = pa.array([shingle_set(t, words).tobytes() for t in b.column("text").to_pylist()], pa.binary())
-            names = ["component", "node", "blocks"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), sets], [*names, "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), sets], ["node", "hashes"])
 
     return run
 
 
+def _new_parts(percent: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = SizeClasses(percent)
+        for b in batches:
+            parts = [np.concatenate(part_hashes(np.frombuffer(h, _U), classes, seed)).view(np.int64) for h in b.column("hashes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("component"), b.column("node"), pa.array(parts, pa.list_(pa.int64()))], ["component", "node", "parts"])
+
+    return run
+
+
+def _several(chosen: DataFrame) -> DataFrame:
+    """Nodes of components of two and more, with the component's size."""
+    sizes = chosen.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return chosen.join(sizes, "component")
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row; links: 100 * intersection >= percent * union."""
     n = partitions(docs.sparkSession)
     texts = documents(docs, id_col, text_col)
-    sketch = materialize(texts.mapInArrow(_sketch(words, percent), "doc_id long, n_shingles long, digest binary, parts array<long>"), "sketch")
-    shared = sketch.select("doc_id", F.explode("parts").alias("part"))
+    sketch = materialize(texts.mapInArrow(_sizes(words), "doc_id long, n_shingles long, digest binary"), "sketch")
+    # hashed twice rather than kept: the part hashes are as large as the texts and are needed once
+    shared = texts.mapInArrow(_parts(words, percent), "doc_id long, parts array<long>").select("doc_id", F.explode("parts").alias("part"))
     stars = shared.withColumn("least", F.min("doc_id").over(Window.partitionBy("part"))).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     groups = materialize(components(stars), "groups")
     # equal sets: one stands for all
     member = groups.join(sketch.select(F.col("doc_id").alias("node"), "digest").distinct(), "node")
     stands = member.groupBy("component", "digest").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("copies"))
     equal = member.join(stands.where("copies > 1").select("digest", "least"), "digest").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    sizes = stands.groupBy("component").agg(F.count("least").alias("size")).where("size > 1")
-    chosen = stands.select("component", F.col("least").alias("node")).distinct().join(sizes, "component")
-    chosen = materialize(chosen.select("component", "node", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "chosen")
-    sets = texts.withColumnRenamed("doc_id", "node").join(chosen, "node").mapInArrow(_set_batches(words), "component long, node long, blocks int, hashes binary")
+    chosen = materialize(_several(stands.select("component", F.col("least").alias("node"))).drop("size"), "chosen")
+    sets = materialize(texts.withColumnRenamed("doc_id", "node").join(chosen.select("node"), "node").mapInArrow(_set_batches(words), "node long, hashes binary"), "sets")
+    before = None
+    for seed in range(1, ROUNDS + 1):
+        sized = _several(chosen)
+        large = sized.where(F.col("size") > LARGE).drop("size")
+        left = large.count()
+        if not left or before and left > 0.9 * before:  # groups that stay large are near copies
+            break
+        before = left
+        again = sets.join(large, "node").mapInArrow(_new_parts(percent, seed), "component long, node long, parts array<long>").select("component", "node", F.explode("parts").alias("part"))
+        least = F.min("node").over(Window.partitionBy("component", "part"))
+        split = components(again.withColumn("least", least).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+        chosen = materialize(sized.where(F.col("size") <= LARGE).drop("size").unionByName(split), "chosen")
+    final = _several(chosen).select("component", "node", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    sets = sets.join(final, "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     tasks = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "hashes")
