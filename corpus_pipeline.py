@@ -42,9 +42,20 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group linked by five-word shingles at 0.8 or more stays."""
-    gone = jaccard_components(docs, words=5, percent=80).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    """One row, the smallest doc_id, of each group linked by five-word shingles at 0.8 or more stays.
+
+    Rows are told apart by a 64-bit hash of doc_id and text, so texts under a repeated doc_id are judged
+    each on its own; rows with a null doc_id have none.
+    """
+    digest = F.sha2(F.encode(text_of(docs), "UTF-8"), 256)
+    rows = docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), digest)))
+    linked = jaccard_components(rows, words=5, percent=80, id_col="__row").where("doc_id <> component_id")
+    linked = materialize(linked.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")).distinct(), "near")
+    members = linked.unionByName(linked.select(F.col("__group").alias("__row"), "__group").distinct())
+    named = members.join(rows.select("__row", F.col("doc_id").cast("long").alias("__id")).distinct(), "__row")
+    stays = named.groupBy("__group").agg(F.min_by("__row", F.struct("__id", "__row")).alias("__row"))
+    gone = members.select("__row").join(stays.select("__row"), "__row", "left_anti")
+    return rows.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

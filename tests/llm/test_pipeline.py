@@ -1,7 +1,7 @@
 """The stages of the pipeline, each on its own input."""
 
 import corpus_pipeline
-from voxspark.llm import secret_scan
+from voxspark.llm import quality, secret_scan
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +25,27 @@ def test_stages(spark):
             assert set(kept) == set(given) and not any(secret_scan.scan(t) for t in kept.values())
             assert all(kept[i] == t for i, t in given.items() if not secret_scan.scan(t))
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == len(kept)
+
+
+def rows_of(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_quality_judges_each_row(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")
+    scored = {r.doc_id: r.predicted for r in quality.score_documents(docs, labels).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    bad, good = next(text[i] for i, p in scored.items() if not p), next(text[i] for i, p in scored.items() if p)
+    more = [(None, bad), (None, good), (None, good), (10**9, bad), (10**9, good)]
+    got = rows_of(quality.keep_good(docs.unionByName(spark.createDataFrame(more, docs.schema)), labels))
+    want = [(i, t) for i, t in text.items() if scored[i]] + [(None, good), (None, good), (10**9, good)]
+    assert got == sorted(want, key=str)
+
+
+def test_near_judges_each_row(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, one), (2, one + " end"), (2, two), (5, two + " end"), (7, two + " stop"), (9, "alone"), (None, one + " end"), (None, one + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # 2 loses its copy of 1 and keeps the other text
+    want = [(1, one), (2, two), (9, "alone"), (None, one + " end"), (None, one + " end")]
+    assert rows_of(corpus_pipeline.near(spark, docs, SF)) == sorted(want, key=str)
