@@ -14,6 +14,7 @@ from voxspark.config import UNKNOWN_BASE, UNKNOWN_SPEAKER, Clustering, UnknownCl
 from voxspark.functions import vectors as V
 
 ASSIGNED = "speaker_id int, similarity double, margin double, reason string"
+CANDIDATES = "array<struct<idx:int,name:string,similarity:double>>"
 
 
 def unit(x) -> np.ndarray:
@@ -89,18 +90,33 @@ def _fold(df: DataFrame, keys: list[str], order: list[str], extra: str, step: Ca
     return df.groupBy(*keys).applyInPandas(lambda pdf: step(pdf.sort_values(order, ignore_index=True)), schema)
 
 
-def assign_speakers(phrases: DataFrame, keys: list[str], order: list[str], config: Clustering = Clustering(), roster: list[tuple[str, list[float]]] | None = None, vector: str = "embedding") -> DataFrame:
-    """Online clustering of each recording's phrases in order. roster: enrolled speakers, which come first."""
-    enrolled = [c for _, c in roster or []]
+def ranked(state: Centroids, names: list[str], x) -> list[tuple[int, str, float]]:
+    """Every speaker with its cosine before x is assigned, best first."""
+    found = [(i, names[i] if i < len(names) else f"Speaker {i + 1}", float(s)) for i, s in enumerate(state.similarities(x))]
+    return sorted(found, key=lambda c: (-c[2], c[0]))
+
+
+def assign_speakers(phrases: DataFrame, keys: list[str], order: list[str], config: Clustering = Clustering(), roster: list[tuple[str, list[float]]] | None = None, vector: str = "embedding", candidates: bool = False) -> DataFrame:
+    """Online clustering of each recording's phrases in order. roster: enrolled speakers, which come first.
+
+    With candidates, every speaker known at that step too; a new one with 1 as its own best match.
+    """
+    names, enrolled = [n for n, _ in roster or []], [c for _, c in roster or []]
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = Centroids()
+        state, found, seen = Centroids(), [], []
         for c in enrolled:
             state.add(c, frozen=True)
-        found = [assign(state, x, config) for x in pdf[vector]]
-        return pdf.assign(**{n: [f[i] for f in found] for i, n in enumerate(("speaker_id", "similarity", "margin", "reason"))})
-
-    return _fold(phrases, keys, order, ASSIGNED, step)
+        for x in pdf[vector]:
+            if candidates:
+                seen.append([] if x is None else ranked(state, names, x))
+            found.append(assign(state, x, config))
+            if candidates and found[-1][3] == "new_speaker":
+                seen[-1] = [(found[-1][0], f"Speaker {found[-1][0] + 1}", 1.0), *seen[-1]]
+        out = pdf.assign(**{n: [f[i] for f in found] for i, n in enumerate(("speaker_id", "similarity", "margin", "reason"))})
+        return out.assign(candidates=[[{"idx": i, "name": n, "similarity": s} for i, n, s in row] for row in seen]) if candidates else out
+
+    return _fold(phrases, keys, order, ASSIGNED + (f", candidates {CANDIDATES}" if candidates else ""), step)
 
 
 def inherit_speaker(pdf: pd.DataFrame, vector: str = "embedding") -> pd.DataFrame:

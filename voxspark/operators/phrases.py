@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxspark.functions import text as X
 from voxspark.functions import vectors as V
 
 
@@ -104,6 +105,13 @@ def adjust_timestamps(words: DataFrame, overlap: Column) -> DataFrame:
     return words.withColumns({"start": back("start"), "end": back("end")})
 
 
+def drop_unusable(phrases: DataFrame) -> DataFrame:
+    """Phrases with a word that is no blank marker, of some length, and not without embedding and inherited."""
+    filled = F.exists("words", lambda w: X.strip_blank_markers(w["text"]) != "")
+    inherited = F.col("embedding").isNull() & (F.coalesce(F.col("reason"), F.lit("")) == "inherited")
+    return phrases.where(filled & (F.col("end") > F.col("start")) & ~inherited)
+
+
 def embedding_gate(phrases: DataFrame, expected_speakers: Column, min_duration: float = 0.5, min_samples: int = 8000, rate: int = 16_000) -> DataFrame:
     """Why a phrase gets no embedding; null if it gets one."""
     length = F.ceil(F.col("end") * rate) - F.floor(F.col("start") * rate)

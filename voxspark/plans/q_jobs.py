@@ -125,7 +125,8 @@ def _(t):
     number = F.pmod(F.xxhash64(*CHUNK, "phrase_id"), F.lit(500)).alias("v")
     vectors = t.voices.select(F.col("ord").alias("v"), "embedding")
     rows = phrases.select("*", number).join(vectors, "v", "left").withColumn("embedding", F.when(F.col("phrase_id") % 4 != 3, F.col("embedding")))
-    out = merge_transcript(rows, roster(t), 10.0 * F.col("chunk_index"), CHUNK, SCALED)
+    said = words.groupBy(*CHUNK).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda w: w["text"]), "").alias("text"), F.max_by("end", "pos").alias("end"))
+    out = merge_transcript(rows, roster(t), 10.0 * F.col("chunk_index"), CHUNK, SCALED, transcripts=said)
     return out.select(*CHUNK, "phrase_id", "kind", "speaker_id", r6("start_time").alias("start_time"), "text")
 
 

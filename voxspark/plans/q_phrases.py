@@ -40,14 +40,7 @@ def _(t):
     rows = t.marked_words.withColumn("n", new).withColumn("phrase_id", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     phrases = rows.groupBy("recording_id", "chunk_index", "phrase_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "start", "end"))).alias("words"))
     phrases = phrases.withColumns({"start": F.element_at("words", 1)["start"], "end": F.element_at("words", -1)["end"], "embedding": F.lit(None).cast("array<double>"), "reason": F.when(F.col("phrase_id") == 0, "inherited")})
-    return drop_unusable(phrases).select("recording_id", "chunk_index", "phrase_id", F.size("words").cast("long").alias("n_words"))
-
-
-def drop_unusable(phrases):
-    """Phrases with a word that is no blank marker, of some length, and not without embedding and inherited."""
-    filled = F.exists("words", lambda w: X.strip_blank_markers(w["text"]) != "")
-    inherited = F.col("embedding").isNull() & (F.coalesce(F.col("reason"), F.lit("")) == "inherited")
-    return phrases.where(filled & (F.col("end") > F.col("start")) & ~inherited)
+    return P.drop_unusable(phrases).select("recording_id", "chunk_index", "phrase_id", F.size("words").cast("long").alias("n_words"))
 
 
 @query("J2_map_words_to_segments", "SELECT recording_id, pos, speaker, round(confidence, 6) AS confidence FROM mapped_words")

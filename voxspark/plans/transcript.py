@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxspark.config import Clustering
 from voxspark.functions import text as X
 from voxspark.functions.vectors import let
+from voxspark.operators import clustering as C
+from voxspark.operators import phrases as P
 from voxspark.operators.phrases import join_text
 from voxspark.operators.speakers import assign_enrolled_only, score_candidates
 
@@ -55,18 +59,51 @@ def validate_transcription(rows: DataFrame, minimum: float = 0.7) -> DataFrame:
     return out.withColumn("warning", F.when(F.col("n") == 0, "no_expected_text").when(F.col("ratio") < 0.3, "very_low").when(F.col("ratio") < 0.7, "low")).drop("__t", "__e", "n")
 
 
-def merge_transcript(phrases: DataFrame, roster: DataFrame, offset: Column, keys: list[str], config: Clustering = Clustering()) -> DataFrame:
-    """Phrases of chunks to transcript rows: blank ones go, environmental ones have no speaker, others are assigned to the roster.
+def assign_in_order(phrases: DataFrame, roster: DataFrame, keys: list[str], order: list[str], config: Clustering) -> DataFrame:
+    """Speakers of phrases, and candidates. A roster of num_speakers or more is closed, so no order counts; a smaller one is
+    filled up with the speakers found, in a fold of each recording over its vectors alone."""
+    named = [(r.name, list(r.centroid)) for r in roster.orderBy("idx").select("name", "centroid").take(config.num_speakers)]
+    if len(named) >= config.num_speakers:
+        return assign_enrolled_only(score_candidates(phrases, roster), config)
+    own = list(dict.fromkeys([*keys, *order, "phrase_id"]))
+    found = C.assign_speakers(phrases.select(*own, "embedding"), keys[:1], order, config, named, candidates=True).drop("embedding")
+    names = F.array(*[F.lit(n) for n, _ in named]).cast("array<string>")
+    found = found.withColumn("speaker_label", X.speaker_label(F.col("speaker_id"), F.get(names, F.col("speaker_id"))))
+    other = found.select(*[F.col(c).alias(f"__{c}") if c in own else F.col(c) for c in found.columns])
+    same = [phrases[c].eqNullSafe(other[f"__{c}"]) for c in own]
+    return phrases.join(other, reduce(lambda x, y: x & y, same)).drop(*[f"__{c}" for c in own])
+
+
+SPOKEN = ["speaker_id", "speaker_label", "similarity", "margin", "reason", "candidates"]
+SPOKEN_TYPES = ["int", "string", "double", "double", "string", C.CANDIDATES]
+
+
+def merge_transcript(phrases: DataFrame, roster: DataFrame, offset: Column, keys: list[str], config: Clustering = Clustering(), order: list[str] | None = None, transcripts: DataFrame | None = None) -> DataFrame:
+    """Phrases of chunks to transcript rows: blank ones go, environmental ones have no speaker, others are assigned in `order`.
 
-    A phrase without embedding takes the last speaker of its chunk, or 0 with the reason `inherited`.
+    keys: the recording, then what tells its chunks apart. A phrase without embedding takes all of the last assigned
+    one of its chunk; without one it is `inherited` and goes, as do phrases without length and blank words in speech.
+    A chunk of transcripts (keys, text, end, and the columns of offset) that has no phrases at all gives its text to speaker 0.
     """
+    order = order or [*keys[1:], "start", "phrase_id"]
     texts = F.transform("words", lambda w: w["text"])
     rows = phrases.withColumn("kind", X.categorize_phrase(texts)).where("kind <> 'blank'")
-    scored = assign_enrolled_only(score_candidates(rows.where("kind = 'speech'"), roster), config)
+    scored = assign_in_order(rows.where("kind = 'speech'"), roster, keys, order, config)
     last = Window.partitionBy(*keys).orderBy("start", "phrase_id").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.when(F.col("embedding").isNotNull(), F.col("speaker_id"))
-    inherited = F.last(own, ignorenulls=True).over(last)
-    speech = scored.withColumns({"speaker_id": F.coalesce(inherited, F.lit(0)), "reason": F.when(F.col("embedding").isNull() & inherited.isNull(), "inherited").otherwise(F.col("reason"))})
-    speech = speech.where(F.coalesce(F.col("reason"), F.lit("")) != "inherited").select(*keys, "phrase_id", "words", "start", "end", "kind", "speaker_id", "speaker_label", "similarity", "reason")
-    env = rows.where("kind = 'environmental'").select(*keys, "phrase_id", "words", "start", "end", "kind", F.lit(None).cast("int").alias("speaker_id"), F.lit(None).cast("string").alias("speaker_label"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("string").alias("reason"))
-    return build_segments(speech.withColumn("speaker_id", F.col("speaker_id").cast("int")).unionByName(env), offset)
+    own = F.struct(*[F.col(c).cast(kind).alias(c) for c, kind in zip(SPOKEN, SPOKEN_TYPES, strict=True)])
+    held = scored.withColumn("__own", F.last(F.when(F.col("embedding").isNotNull(), own), ignorenulls=True).over(last))
+    speech = held.withColumns({c: F.col(f"__own.{c}") for c in SPOKEN} | {"reason": F.when(F.col("__own").isNull(), "inherited").otherwise(F.col("__own.reason"))})
+    speech = P.drop_unusable(speech.drop("__own").withColumn("words", F.filter("words", lambda w: ~X.is_blank_audio(w["text"]))))
+    nobody = {c: F.lit(None).cast(kind) for c, kind in zip(SPOKEN, SPOKEN_TYPES, strict=True)}
+    filled = F.filter("words", lambda w: F.coalesce(F.trim(w["text"]), F.lit("")) != "")
+    env = rows.where("kind = 'environmental'").withColumn("words", filled).where((F.size("words") > 0) & (F.col("end") != F.col("start"))).withColumns(nobody)
+    out = build_segments(speech.unionByName(env), offset)
+    if transcripts is None:
+        return out
+    have = phrases.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    bare = transcripts.join(have, reduce(lambda x, y: x & y, [transcripts[k].eqNullSafe(have[f"__{k}"]) for k in keys]), "left_anti")
+    zero = roster.where("idx = 0").agg(F.first("name").alias("__name"))
+    bare = bare.withColumn("text", X.strip_blank_markers(F.col("text"))).where("text <> ''").crossJoin(F.broadcast(zero))
+    values = nobody | {"phrase_id": F.lit(0), "kind": F.lit("speech"), "speaker_id": F.lit(0), "speaker_label": F.coalesce("__name", F.lit("Speaker 1")), "candidates": F.array().cast(C.CANDIDATES)}
+    values |= {"start": F.lit(0.0), "end": F.coalesce("end", F.lit(0.0)), "start_time": offset, "end_time": offset + F.coalesce("end", F.lit(0.0))}
+    return out.unionByName(bare.withColumns(values).drop("__name"), allowMissingColumns=True).withColumn("words", F.coalesce("words", F.array()))
