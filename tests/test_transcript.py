@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxspark.config import Clustering
 from voxspark.operators import clustering as C
+from voxspark.plans import jobs as J
 from voxspark.plans.transcript import merge_transcript
 
 PHRASE = "recording_id long, chunk_index int, phrase_id int, words array<struct<text:string,start:double,end:double>>, start double, end double, embedding array<double>"
@@ -70,3 +71,34 @@ def test_merge_transcript_against_a_sequential_model(spark, enrolled):
     out = merge_transcript(spark.createDataFrame(rows, PHRASE), roster, 10.0 * F.col("chunk_index"), ["recording_id", "chunk_index"], config, transcripts=said)
     got = [(r.recording_id, r.chunk_index, r.phrase_id, r.speaker_id, r.speaker_label, r.text, r.start_time) for r in out.collect()]
     assert sorted(got, key=str) == sorted(model(rows, names, vectors, config, texts), key=str)
+
+
+def test_process_full_returns_every_segment(spark, tmp_path):
+    def said(text, start=0.0, step=0.5):
+        return [(i, f" {w}", start + step * i, start + step * (i + 1)) for i, w in enumerate(text.split())]
+
+    chunks = [
+        (1, 0, 0.0, said("I am going to the store")),  # to 3.0
+        (1, 1, 1.5, said("to the store and home")),  # three words again
+        (1, 2, 0.0, said("home [BLANK_AUDIO] now")),  # first word again
+        (1, 3, 0.0, said("[MUSIC]")),
+        (1, 4, 0.0, said("[BLANK_AUDIO]")),
+        (1, 5, 0.0, [(0, " untimed", None, None)]),
+        (1, 6, 0.0, said("so long")),
+        (1, 7, 0.0, said("then")),  # no voice: inherited
+    ]
+    schema = "recording_id long, chunk_index int, overlap double, words array<struct<pos:int,text:string,start:double,end:double>>"
+    vector = F.when(F.col("chunk_index") < 3, F.array(F.lit(1.0), F.lit(0.0))).when(F.col("chunk_index") == 6, F.array(F.lit(0.0), F.lit(1.0)))
+    roster = spark.createDataFrame([(0, "Ann", [1.0, 0.0])], "idx int, name string, centroid array<double>")
+    rows = J.process_full(spark.createDataFrame(chunks, schema), lambda p: p.withColumn("embedding", vector), roster, str(tmp_path / "full")).orderBy("segment_index").collect()
+    # speakers: Ann is enrolled, the second is found
+    assert [(r.chunk_index, r.text, r.speaker_id, r.speaker_label, r.start_time, r.end_time) for r in rows] == [
+        (0, "I am going to the store", 0, "Ann", 0.0, 3.0),
+        (1, "and home", 0, "Ann", 3.0, 4.0),
+        (2, "now", 0, "Ann", 4.5, 5.5),
+        (3, "[MUSIC]", None, None, 5.5, 6.0),
+        (5, "untimed", 0, "Ann", 6.5, 6.5),
+        (6, "so long", 1, "Speaker 2", 6.5, 7.5),
+    ]
+    assert [r.display_label for r in rows] == ["Ann", "Ann", "Ann", None, None, "Speaker 2"]
+    assert rows[0].participants[0].name == "Ann"

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxspark.config import Clustering, Inference
+from voxspark.config import Clustering, Inference, Overlap
 from voxspark.operators import inference as I
+from voxspark.operators.overlap import align_overlap, previous_chunk, single_word_dedup
 from voxspark.operators.phrases import absorb_short_phrases, detect_phrases, filter_segments, group_by_speaker_run, map_words_to_segments
 from voxspark.operators.speakers import assign_enrolled_only, score_candidates
+from voxspark.plans.transcript import merge_transcript
 
 #: Makes a scorer once a task: audio samples to a vector; None or an exception is that row's error only.
 ScorerFactory = Callable[[], Callable[[list], list | None]]
@@ -62,6 +64,57 @@ def process_quick(segments: DataFrame, roster: DataFrame, clustering: Clustering
     return I.infer_conversation(scored, inference)
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dedupe_chunks(chunks: DataFrame, path: str, overlap: Overlap = Overlap()) -> DataFrame:
+    """Chunks of a recording without the words they share with the one before, and their place in the recording.
+
+    chunks: recording_id, chunk_index, overlap, words (pos, text, start, end). Merged chunks lose the matched words
+    and their times move back by the overlap; others lose a repeated first word. A chunk starts where the last kept
+    words of those before end. Words before are those transcribed, not what deduping left of them.
+    """
+    before = previous_chunk(chunks.select("recording_id", "chunk_index", "overlap", "words"), ["recording_id"], ["chunk_index"])
+    # written once, as the alignment is dear; of the words before, what follows needs the last
+    aligned = written(align_overlap(before, overlap).select("recording_id", "chunk_index", "overlap", "words", "merge_index", F.slice("prev_words", -1, 1).alias("prev_words")), path)
+    merged = F.col("merge_index") > 0
+    rest = F.slice("words", F.col("merge_index") + 1, F.greatest(F.size("words") - F.col("merge_index"), F.lit(0)))
+    back = lambda c: F.greatest(F.lit(0.0), c - F.col("overlap"))
+    moved = F.transform(rest, lambda w: w.withField("start", F.when(w["start"].isNotNull(), back(w["start"]))).withField("end", F.when(w["end"].isNotNull(), back(w["end"]))))
+    rows = aligned.withColumns({"words": F.when(merged, moved).otherwise(F.col("words")), "prev_words": F.when(~merged, F.col("prev_words"))})
+    rows = single_word_dedup(rows).select("recording_id", "chunk_index", "words")
+    last = F.get("words", F.size("words") - 1)
+    said = F.coalesce(F.nullif(last["end"], F.lit(0.0)), last["start"], F.lit(0.0))
+    before = Window.partitionBy("recording_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("time_offset", F.coalesce(F.sum(said).over(before), F.lit(0.0)))
+
+
+def process_full(
+    chunks: DataFrame, voices: Callable[[DataFrame], DataFrame], roster: DataFrame, path: str, clustering: Clustering = Clustering(), inference: Inference = Inference(), overlap: Overlap = Overlap(), gap: float = 0.2
+) -> DataFrame:
+    """All segments of recordings whose chunks were transcribed anew: dedupe, phrases, speakers, inference.
+
+    voices adds `embedding` to phrases; path is a new folder in the shared scratch folder. Rows without candidates
+    (environmental ones, texts without phrases) come without inference columns.
+    """
+    keys = ["recording_id", "chunk_index"]
+    kept = dedupe_chunks(chunks, f"{path}/aligned", overlap)
+    phrases = written(voices(detect_phrases(kept.select(*keys, F.inline("words")), keys, gap)), f"{path}/phrases")
+    at = kept.select(*[F.col(k).alias(f"__{k}") for k in keys], "time_offset")
+    phrases_at = phrases.join(at, phrases["recording_id"].eqNullSafe(at["__recording_id"]) & (phrases["chunk_index"] == at["__chunk_index"])).drop("__recording_id", "__chunk_index")
+    text = F.array_join(F.transform("words", lambda w: F.coalesce(w["text"], F.lit(""))), "")
+    transcripts = kept.select(*keys, "time_offset", text.alias("text"), F.get("words", F.size("words") - 1)["end"].alias("end"))
+    merged = merge_transcript(phrases_at, roster, F.col("time_offset"), keys, clustering, transcripts=transcripts)
+    order = Window.partitionBy("recording_id").orderBy("chunk_index", "start_time", F.desc("kind"), "phrase_id")
+    rows = written(merged.withColumns({"is_environmental": F.col("kind") == "environmental", "segment_index": F.row_number().over(order) - 1}), f"{path}/segments")
+    inferred = I.infer_conversation(rows, inference)
+    new = [c for c in inferred.columns if c not in rows.columns]
+    found = inferred.select(F.col("recording_id").alias("__r"), F.col("segment_index").alias("__i"), *new)
+    return rows.join(found, rows["recording_id"].eqNullSafe(found["__r"]) & (rows["segment_index"] == found["__i"]), "left").drop("__r", "__i")
+
+
 def reapply_boosting(attributed: DataFrame, inference: Inference) -> DataFrame:
     """Stored candidates under other gates: only the inference runs again."""
     return I.infer_conversation(attributed, inference)

@@ -132,16 +132,15 @@ def _(t):
 
 @query("C12_process_full")
 def _(t):
-    from voxspark.operators.overlap import align_overlap, previous_chunk, single_word_dedup
-
-    aligned = align_overlap(previous_chunk(t.overlap_chunks, ["recording_id"], ["chunk_index"])).select("recording_id", "chunk_index", "words", "prev_words", "method", "merge_index")
-    path = folder(t.spark, "aligned")  # written once: the alignment is dear and both branches read it
-    aligned.write.parquet(path)
-    aligned = t.spark.read.schema(aligned.schema).parquet(path)
-    kept = aligned.withColumn("words", F.when(F.col("merge_index") > 0, F.slice("words", F.col("merge_index") + 1, F.greatest(F.size("words") - F.col("merge_index"), F.lit(0)))).otherwise(F.col("words")))
-    first = single_word_dedup(kept.where("method = 'no_overlap'").drop("method")).select("recording_id", "chunk_index", "words")
-    words = kept.where("method <> 'no_overlap'").select("recording_id", "chunk_index", "words").unionByName(first).select("recording_id", "chunk_index", F.inline("words"))
-    return detect_phrases(words, ["recording_id", "chunk_index"]).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_phrases"), F.sum("n_words").alias("n_words"))
+    chunks = t.overlap_chunks.withColumn("words", F.transform("words", lambda w: w.withField("text", F.concat(F.lit(" "), w["text"]))))
+
+    def voiced(phrases):
+        number = F.pmod(F.xxhash64("recording_id", "chunk_index", "phrase_id"), F.lit(500)).alias("v")
+        vectors = t.voices.select(F.col("ord").alias("v"), "embedding")
+        return phrases.select("*", number).join(vectors, "v", "left").withColumn("embedding", F.when(F.col("phrase_id") % 4 != 3, F.col("embedding"))).drop("v")
+
+    out = J.process_full(chunks, voiced, roster(t), folder(t.spark, "full"), SCALED, GATES)
+    return out.select("recording_id", "segment_index", "chunk_index", "kind", r6("start_time").alias("start_time"), r6("end_time").alias("end_time"), "text", "speaker_id", "speaker_label", r6("similarity").alias("similarity"), "reason", "display_label", "was_influenced")
 
 
 def event_stream(t):
