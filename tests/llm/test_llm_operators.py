@@ -165,7 +165,8 @@ def brute_components(texts, words, percent):
 
 @pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
 def test_jaccard_components(spark, docs, words, percent, monkeypatch):
-    monkeypatch.setattr(jaccard, "LARGE", 2)  # also split groups
+    monkeypatch.setattr(jaccard, "NODE", 4)  # many nodes, and components with nodes of their own
+    monkeypatch.setattr(jaccard, "OWN_NODES", 2)
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, words, percent).collect()}
     assert got == brute_components(texts, words, percent)
@@ -175,18 +176,36 @@ def test_jaccard_components(spark, docs, words, percent, monkeypatch):
     assert got == brute_components(list(odd.items()), words, percent)
 
 
-def test_part_hashes_lose_no_link():
-    rng = np.random.default_rng(0)
-    for percent in (90, 80):
-        classes = jaccard.SizeClasses(percent)
-        for k in range(600):
-            a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 300)), dtype=np.uint64))
-            d = int(rng.integers(0, len(a) // 4 + 1))
-            b = np.unique(np.concatenate([rng.permutation(a)[d // 2 :], rng.integers(0, 2**63, d - d // 2, dtype=np.uint64)]))
-            both = len(np.intersect1d(a, b))
-            if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
-                for seed in (0, 1):
-                    assert len(np.intersect1d(np.concatenate(jaccard.part_hashes(a, classes, seed)), np.concatenate(jaccard.part_hashes(b, classes, seed))))
+def test_shared_slots_of_chunks():
+    """Counts of shared slots, summed over ranges and chunks, against a count of all documents."""
+    rng = np.random.default_rng(5)
+    docs = [(i, np.unique(rng.integers(0, 512, 30).astype(np.uint64) << np.uint64(55))) for i in range(24)]
+    rows = [r for k in range(3) for r in jaccard.slot_rows(k, docs[8 * k : 8 * k + 8], 5)]
+    total = {r["chunk"]: np.frombuffer(r["shared"], np.int32).copy() for r in rows if r["ids"]}
+    for i in range(5):
+        part = [r for r in rows if r["range"] == i]
+        found = jaccard.shared_slots([np.cumsum(jaccard.from_planes(r["slots"], np.uint64), dtype=np.uint64) for r in part], [jaccard.from_planes(r["owners"], np.uint16) for r in part])
+        for r, owners in zip(part, found, strict=True):
+            np.add.at(total[r["chunk"]], owners, 1)
+    for i, s in docs:
+        assert total[i // 8][i % 8] == sum(any(x in t for j, t in docs if j != i) for x in s)
+
+
+def test_links_connect_what_pairs_connect():
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(0, 2**63, int(rng.integers(0, 9)), dtype=np.uint64)])) for _ in range(40)]
+    found = jaccard.links([(i, i, s) for i, s in enumerate(sets[:25])], [(i + 25, i + 25, s) for i, s in enumerate(sets[25:])], 80)
+    assert all((a < 25) != (b < 25) and jaccard.linked(sets[a], sets[b], 80) for a, b in found)
+
+    def roots(pairs):
+        root = list(range(40))
+        for _ in range(40):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert roots(found) == roots([(i, j) for i in range(25) for j in range(25, 40) if jaccard.linked(sets[i], sets[j], 80)])
 
 
 def test_shingles_of_blocks():

@@ -17,10 +17,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session has none, as in tests on one machine, a temporary folder is set.
+    Only where the session has none and runs on one machine, as in tests, a temporary folder is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-voxspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -34,7 +36,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder; survives the loss of any executor."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.scratch = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialized tables that nothing to come reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,21 +1,25 @@
 """N-gram Jaccard join with signature trees, exact and as connected components.
 
-1. A document's shingle hashes are dealt into parts, by hash alone. Two sets that link differ in a
-   bounded number of shingles, so a bounded number of parts; with more parts than that some are equal.
-   Their number is chosen per pair of neighbouring size classes, with spare ones, so that each
-   document may leave out its smallest parts: with e parts sure to be equal, parts under a size that
-   at most e - 1 of its parts fall short of. Equal parts have equal sizes, so one always remains.
-2. Documents that share a part hash are joined by a star, not in pairs; the connected groups of
-   these stars hold every link. Large groups are split by dealing the parts anew within each: documents
-   that link share a part every time, those that met by chance, over a common line, seldom do again. Within a batch a part hash with many documents is replaced by one of
-   its own, so a hot hash arrives once for each batch.
-3. A group is dealt into blocks by hash and every pair of blocks is one small task. It builds
-   signature trees, whose nodes hold OR-combined bitmaps, size ranges and the most shingles that share
-   a bit, and walks two trees at once; node pairs whose greatest possible overlap is too small are
-   pruned. Leaf pairs not yet connected are compared exactly.
-4. Connected components of the links.
-
-Equality of shingles and of whole sets is judged on 64-bit and 128-bit hashes.
+A set of shingles can link only if enough of its shingles are in other documents too. So:
+
+1. Texts are read once, in chunks. A chunk sends its distinct shingles, as 48-bit slots in order, to
+   ranges of the slots, each once however many of its documents hold it; a range answers how many
+   slots each document shares with others. Documents below ``percent`` of their size link with none.
+2. For the rest the exact shingles are counted. Ordered by count, then value, two sets that link
+   have one of their first ``n - ceil(n * percent / 100) + 1`` shingles in common: their signatures.
+3. Sets are sorted by their least shingle, so that near copies lie together, and neighbours are
+   compared; what links is one component from then on.
+4. The tree: its lowest level are nodes of up to ``NODE`` sets in order of component and least
+   shingle, with size range and components. Their OR-combined signatures are kept sparse, one row a
+   set bit, so the walk of all node pairs is an equality join on the bits: pairs without a common bit
+   have too small a greatest overlap and never meet. Pairs that can't link by size range or are one
+   component are pruned too. Of a pair only the sets that have common bits go on.
+5. A pair of nodes is one small task: below each node a tree of dense OR-combined bitmaps with size
+   ranges, both walked at once, pairs pruned by their greatest possible overlap; leaf pairs not yet
+   connected are compared exactly.
+6. Connected components of all links.
+
+Equality of shingles and of whole sets is judged on 64-bit and 128-bit hashes; slots only filter.
 
 Defined results: null text equals the empty text; documents without words link with nothing; rows
 that repeat a doc_id are one node, each row with its own set size; a null doc_id has a null
@@ -25,121 +29,167 @@ component; empty tables give an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxspark.llm.common import documents, materialize, partitions
+from voxspark.llm.common import discard, documents, materialize, partitions
 from voxspark.llm.graph import components
-from voxspark.llm.shingles import mix, shingle_set
-
-BLOCK = 64
-LARGE = 4096
-ROUNDS = 4
-SPARE = 1.4
-CROWD = 8
+from voxspark.llm.shingles import shingle_set
+
+CHUNK = 1 << 19
+CHUNK_DOCS = 60_000
+RANGE = 2_000_000
+SLOT_BITS = 48
+NODE = 64
+OWN_NODES = 32
+NEIGHBOURS = 6
 BITS = 2048
 LEAF = 8
+BROADCAST_IDS = 1_000_000
 _U = np.uint64
 
 
-class SizeClasses:
-    """Ranges of set sizes such that documents that link are in one class or in neighbouring ones."""
-
-    def __init__(self, percent: int):
-        self.percent, self.low = percent, [1, 2]
-
-    def of(self, n: int) -> int:
-        while self.low[-1] <= n:
-            self.low.append(max(self.low[-1] + 1, (self.low[-1] - 1) * 100 // self.percent + 1))
-        return bisect_right(self.low, n) - 1
-
-    def parts(self, c: int) -> tuple[int, int]:
-        """For links between class c and c or c + 1: number of parts, how many of them are surely equal."""
-        while len(self.low) < c + 2:
-            self.of(self.low[-1])
-        top = self.low[c + 1] - 1
-        differ = (top + top * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
-        m = int((differ + 1) * SPARE) + 1
-        return m, m - differ
-
-
-def part_hashes(hashes: np.ndarray, classes: SizeClasses, seed: int = 0) -> list[np.ndarray]:
-    """Hashes of the document's parts, for its own size class and the one below. A seed deals the parts anew."""
-    dealt = mix(hashes + _U(seed)) if seed else hashes
-    out, own = [], classes.of(len(hashes))
-    for c in range(max(0, own - 1), own + 1):
-        m, equal = classes.parts(c)
-        place = ((dealt >> _U(20)) % _U(m)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        sizes = np.bincount(place, minlength=m)
-        sums = np.zeros(m, _U)
-        filled = np.flatnonzero(sizes)
-        sums[filled] = np.add.reduceat(hashes[order], np.concatenate([[0], np.cumsum(sizes[filled])[:-1]]))
-        least = np.sort(sizes)[equal - 1]  # at most equal - 1 parts are smaller
-        kept = np.flatnonzero(sizes >= least)
-        out.append(mix(mix(sums[kept]) + mix(kept.astype(_U) * _U(1 << 20) + _U(c))))
-    return out
-
-
-def _sizes(words: int):
-    """Set size and digest of each document."""
+def digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Bytes of equal weight together, so that compression finds the empty ones."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def from_planes(data: bytes, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+
+
+# ---- 1. which documents share enough slots
+
+SENT = pa.schema([("chunk", pa.int64()), ("range", pa.int64()), ("slots", pa.binary()), ("owners", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("shared", pa.binary())])
+SENT_DDL = "chunk long, range long, slots binary, owners binary, ids array<long>, sizes array<long>, digests array<binary>, shared binary"
+SEVERAL = 65535
+
 
+def slot_rows(chunk: int, docs: list[tuple[int | None, np.ndarray]], ranges: int) -> list[dict]:
+    """What a chunk sends: its slots by range with their owner in the chunk, and a row of its documents.
+
+    A slot of several documents of the chunk is known to be shared: it is counted here and sent without owner.
+    """
+    linkable = [s if d is not None else s[:0] for d, s in docs]
+    owner = np.repeat(np.arange(len(docs)), [len(s) for s in linkable])
+    slot = (np.concatenate(linkable) if linkable else np.empty(0, _U)) >> _U(64 - SLOT_BITS)
+    order = np.argsort(slot)
+    slot, owner = slot[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.empty(0, np.int64)
+    many = np.diff(np.append(first, len(slot))) > 1
+    shared = np.bincount(owner[np.repeat(many, np.diff(np.append(first, len(slot))))], minlength=len(docs)).astype(np.int32)
+    slot, owner = slot[first], np.where(many, SEVERAL, owner[first]).astype(np.uint16)
+    at = np.searchsorted(slot, np.array([-(-(i << SLOT_BITS) // ranges) for i in range(ranges + 1)], dtype=_U)).tolist()
+    none = {"slots": None, "owners": None, "ids": None, "sizes": None, "digests": None, "shared": None}
+    rows = [none | {"chunk": chunk, "range": i, "slots": planes(np.diff(slot[x:y], prepend=_U(0))), "owners": planes(owner[x:y])} for i, (x, y) in enumerate(zip(at, at[1:], strict=False)) if y > x]
+    return [*rows, none | {"chunk": chunk, "range": -1 - chunk % 4096, "ids": [d for d, _ in docs], "sizes": [len(s) for _, s in docs], "digests": [digest(s) for _, s in docs], "shared": shared.tobytes()}]
+
+
+def _send_slots(words: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
         for b in batches:
-            sets = [shingle_set(t, words) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "digest"])
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                held.append((doc, shingle_set(text, words)))
+                size += len(held[-1][1])
+                if size >= CHUNK or len(held) >= CHUNK_DOCS:
+                    yield pa.RecordBatch.from_pylist(slot_rows(chunk, held, ranges), SENT)
+                    chunk, held, size = chunk + 1, [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(slot_rows(chunk, held, ranges), SENT)
 
     return run
 
 
-def digest(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-
-
-def _parts(words: int, percent: int):
-    """Part hashes of each document, and that of its whole set."""
+def shared_slots(slots: list[np.ndarray], owners: list[np.ndarray]) -> list[np.ndarray]:
+    """For each chunk of a range the owners of slots that another chunk, or several documents, hold."""
+    every, owner = np.concatenate(slots), np.concatenate(owners)
+    order = np.argsort(every)
+    s = every[order]
+    same = s[1:] == s[:-1]
+    again = np.zeros(len(s), bool)
+    again[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    again &= owner != SEVERAL
+    cuts = np.cumsum([len(x) for x in slots])[:-1]
+    return [o[g] for o, g in zip(np.split(owner, cuts), np.split(again, cuts), strict=True)]
+
+
+def _judge_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by range, for each chunk how many slots of each owner are shared; document rows pass."""
+    at, held = None, []
+
+    def answer() -> pa.RecordBatch:
+        found = shared_slots([np.cumsum(from_planes(r["slots"], _U), dtype=_U) for r in held], [from_planes(r["owners"], np.uint16) for r in held])
+        rows = []
+        for r, o in zip(held, found, strict=True):
+            owners, counts = np.unique(o, return_counts=True)
+            rows.append(dict.fromkeys(SENT.names) | {"chunk": r["chunk"], "range": r["range"], "owners": owners.astype(np.uint16).tobytes(), "shared": counts.astype(np.int32).tobytes()})
+        return pa.RecordBatch.from_pylist(rows, SENT)
+
+    for b in batches:
+        for i in range(b.num_rows):
+            r = b.slice(i, 1).to_pylist()[0]
+            if r["range"] != at and held:
+                yield answer()
+                held = []
+            at = r["range"]
+            if at < 0:
+                yield pa.RecordBatch.from_pylist([r], SENT)
+            else:
+                held.append(r)
+    if held:
+        yield answer()
+
+
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("linkable", pa.bool_())])
+
+
+def _sum_slots(percent: int):
+    """From rows sorted by chunk and range, so that a chunk's document row comes first."""
+
+    def out(r: dict, shared: np.ndarray) -> pa.RecordBatch:
+        n = np.array(r["sizes"], dtype=np.int64)
+        linkable = (shared >= -(-n * percent // 100)) & (n > 0) & np.array([i is not None for i in r["ids"]], dtype=bool)
+        return pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(n), pa.array(r["digests"], pa.binary()), pa.array(linkable)], schema=SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = SizeClasses(percent)
+        row, shared = None, None
         for b in batches:
-            docs, rows, first = b.column("doc_id").to_pylist(), [], set()
-            for doc, text in zip(docs, b.column("text").to_pylist(), strict=True):
-                s = shingle_set(text, words)
-                if not len(s) or doc is None:
-                    rows.append(np.empty(0, _U))
-                    continue
-                d = digest(s)
-                # a copy in this batch: its whole set's hash is enough
-                rows.append(np.concatenate([np.frombuffer(d[:8], _U), *([] if d in first else part_hashes(s, classes))]))
-                first.add(d)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r.view(np.int64) for r in _thin(docs, rows)], pa.list_(pa.int64()))], ["doc_id", "parts"])
+            for r in b.to_pylist():
+                if r["ids"] is not None:
+                    if row:
+                        yield out(row, shared)
+                    row, shared = r, np.frombuffer(r["shared"], np.int32).astype(np.int64)
+                else:
+                    shared[np.frombuffer(r["owners"], np.uint16)] += np.frombuffer(r["shared"], np.int32)
+        if row:
+            yield out(row, shared)
 
     return run
 
 
-def _thin(docs: list[int], rows: list[np.ndarray]) -> list[np.ndarray]:
-    """In one batch, a hash of over CROWD documents becomes one of the batch's own; only the smallest doc_id keeps the shared one too."""
-    lengths = np.array([len(r) for r in rows])
-    if not lengths.sum():
-        return rows
-    owner, all_hashes = np.repeat(np.arange(len(rows)), lengths), np.concatenate(rows)
-    _, inverse, counts = np.unique(all_hashes, return_inverse=True, return_counts=True)
-    crowded = counts[inverse] > CROWD
-    if not crowded.any():
-        return rows
-    ids = np.array([-1 if d is None else d for d in docs], dtype=np.int64)[owner]
-    least = np.full(len(counts), np.iinfo(np.int64).max)
-    np.minimum.at(least, inverse, ids)
-    leader = crowded & (ids == least[inverse])
-    local = np.where(crowded, mix(all_hashes ^ mix(least[inverse].astype(_U))), all_hashes)
-    owner, local = np.concatenate([owner, owner[leader]]), np.concatenate([local, all_hashes[leader]])
-    order = np.argsort(owner, kind="stable")
-    return np.split(local[order], np.cumsum(np.bincount(owner, minlength=len(rows)))[:-1])
+def sketches(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, digest, linkable): linkable documents share enough slots with others."""
+    n = partitions(texts.sparkSession)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    ranges = max(n, -(-size // (5 * RANGE)))
+    sent = texts.mapInArrow(_send_slots(words, ranges), SENT_DDL)
+    judged = sent.repartitionById(n, F.pmod("range", F.lit(n)).cast("int")).sortWithinPartitions("range").mapInArrow(_judge_slots, SENT_DDL)
+    summed = judged.repartition(n, "chunk").sortWithinPartitions("chunk", "range").mapInArrow(_sum_slots(percent), "doc_id long, n_shingles long, digest binary, linkable boolean")
+    return materialize(summed, "sketch")
+
+
+# ---- dense trees below two nodes
 
 
 class Tree:
@@ -192,117 +242,182 @@ def pairs_of(a: Tree, b: Tree, percent: int) -> Iterator[tuple[int, int]]:
         todo += [(la - da, lb - db, x[k : k + 4096], y[k : k + 4096]) for k in range(0, len(x), 4096)]
 
 
-def links(first: list[tuple[int, np.ndarray]], second: list[tuple[int, np.ndarray]] | None, percent: int) -> list[tuple[int, int]]:
-    """(node, smallest node connected with it in this task) of a block with itself or with a second one."""
+#: node, component so far, set
+Member = tuple[int, int, np.ndarray]
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def links(first: list[Member], second: list[Member] | None, percent: int) -> list[tuple[int, int]]:
+    """Links of the sets of one node, or of two, that connect components; no more than connect them."""
     if not first or second == []:
         return []
-    first = sorted(first, key=lambda x: len(x[1]))
-    second = first if second is None else sorted(second, key=lambda x: len(x[1]))
-    root = {n: n for n, _ in [*first, *second]}
+    first = sorted(first, key=lambda x: len(x[2]))
+    second = first if second is None else sorted(second, key=lambda x: len(x[2]))
+    root = {c: c for _, c, _ in [*first, *second]}
 
     def find(n: int) -> int:
         while root[n] != n:
             root[n] = n = root[root[n]]
         return n
 
-    a = Tree([s for _, s in first])
-    b = a if second is first else Tree([s for _, s in second])
+    a = Tree([s for *_, s in first])
+    b, found = a if second is first else Tree([s for *_, s in second]), []
     for i, j in pairs_of(a, b, percent):
-        x, y = find(first[i][0]), find(second[j][0])
-        if x != y:
-            s, t = a.sets[i], b.sets[j]
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            if 100 * both >= percent * (len(s) + len(t) - both):
-                root[max(x, y)] = min(x, y)
-    return [(n, find(n)) for n in root if find(n) != n]
+        x, y = find(first[i][1]), find(second[j][1])
+        if x != y and linked(a.sets[i], b.sets[j], percent):
+            root[max(x, y)] = min(x, y)
+            found.append((first[i][0], second[j][0]))
+    return found
 
 
-def _compare(percent: int):
-    """Streams rows sorted by (component, i, j); a task's rows are held together, 2 * BLOCK sets or so."""
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def solve(rows: list[tuple[int, int, bytes]], i: int, j: int) -> list[tuple[int, int]]:
-        side = lambda k: [(doc, np.frombuffer(s, _U)) for block, doc, s in rows if block == k]
-        return links(side(i), None if i == j else side(j), percent)
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=LINKS)
+
+
+def _compare_neighbours(percent: int):
+    """Sets in order: each is compared with the first one of its least shingle and with the few before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        recent: list[tuple[int, int, np.ndarray]] = []
+        head = None
+        for b in batches:
+            found = []
+            for node, least, hashes in zip(b.column("node").to_pylist(), b.column("least").to_pylist(), b.column("hashes").to_pylist(), strict=True):
+                s = np.frombuffer(hashes, _U)
+                if head is None or head[1] != least:
+                    head = (node, least, s)
+                for other, _, t in [head, *recent[::-1]]:
+                    if other != node and linked(s, t, percent):
+                        found.append((node, other))
+                        break
+                recent = [*recent[1 - NEIGHBOURS :], (node, least, s)]
+            yield _links(found)
 
-        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+    return run
+
+
+def _compare_nodes(percent: int):
+    """Streams rows sorted by (i, j); the sets of one pair of nodes, 2 * NODE at most, are held together."""
 
+    def solve(rows: list[tuple], i: int, j: int) -> list[tuple[int, int]]:
+        side = lambda k: [(n, c, np.frombuffer(s, _U)) for leaf, n, c, s in rows if leaf == k]
+        return links(side(i), None if i == j else side(j), percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("component", "i", "j", "block", "node", "hashes")]
             found = []
-            for component, i, j, block, node, hashes in zip(*columns, strict=True):
-                if (component, i, j) != key:
-                    found += solve(held, *key[1:]) if held else []
-                    key, held = (component, i, j), []
-                held.append((block, node, hashes))
-            yield out(found)
+            for i, j, leaf, node, component, hashes in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "leaf", "node", "component", "hashes")), strict=True):
+                if (i, j) != key:
+                    found += solve(held, *key) if held else []
+                    key, held = (i, j), []
+                held.append((leaf, node, component, hashes))
+            yield _links(found)
         if held:
-            yield out(solve(held, *key[1:]))
+            yield _links(solve(held, *key))
 
     return run
 
 
-def _set_batches(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = pa.array([shingle_set(t, words).tobytes() for t in b.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("node"), sets], ["node", "hashes"])
+# ---- the whole join
 
-    return run
 
+def _set_rows(words: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("hashes", pa.binary())])
 
-def _new_parts(percent: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = SizeClasses(percent)
         for b in batches:
-            parts = [np.concatenate(part_hashes(np.frombuffer(h, _U), classes, seed)).view(np.int64) for h in b.column("hashes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("component"), b.column("node"), pa.array(parts, pa.list_(pa.int64()))], ["component", "node", "parts"])
+            sets = [shingle_set(t, words) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
     return run
 
 
-def _several(chosen: DataFrame) -> DataFrame:
-    """Nodes of components of two and more, with the component's size."""
-    sizes = chosen.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return chosen.join(sizes, "component")
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [np.frombuffer(h, np.int64) for h in b.column("hashes").to_pylist()]
+        for at in range(0, len(sets), 256):
+            part = sets[at : at + 256]
+            node = np.repeat(b.column("node").to_numpy()[at : at + 256], [len(s) for s in part])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(node)], ["shingle", "node"])
+
+
+def signatures(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, least, bits): the shingles of which two sets that link have one in common; sets that can't link are left out."""
+    rows = sets.mapInArrow(_shingle_rows, "shingle long, node long")
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    shared = rows.join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("s"), F.min("shingle").alias("least"))
+    spare = F.size("s") - F.ceil(F.col("n") * percent / 100) + 1
+    found = shared.join(sets.select("node", "n"), "node").where(spare > 0)
+    return found.select("node", "n", "least", F.slice("s.shingle", F.lit(1), spare.cast("int")).alias("bits"))
+
+
+def links_of_sets(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables of links (a, b) of the sets (node, n, hashes), as many as connect what is connected."""
+    n = partitions(sets.sparkSession)
+    signed = materialize(signatures(sets, percent), "signatures")
+    ordered = sets.join(signed.select("node", "least"), "node").repartitionByRange(n, "least", "n", "node").sortWithinPartitions("least", "n", "node")
+    near = materialize(ordered.select("node", "least", "hashes").mapInArrow(_compare_neighbours(percent), "a long, b long"), "near")
+    found = components(near)
+    labelled = materialize(signed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+    own = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= OWN_NODES)
+    placed = labelled.join(own, "component", "left").withColumn("own", F.when(F.col("members").isNotNull(), F.col("component")).otherwise(F.lit(-1)))
+    # position in the order, cut into nodes; written, so that it stays
+    leaf = F.shiftright(F.monotonically_increasing_id(), NODE.bit_length() - 1)
+    placed = placed.repartitionByRange(n, "own", "least", "node").sortWithinPartitions("own", "least", "node")
+    leaves = materialize(placed.select("node", "n", "component", "bits", leaf.alias("leaf")), "leaves")
+    bits = leaves.select(F.explode("bits").alias("bit"), "leaf", "component", "n", "node")
+    ranges = [f(c).alias(f"{p}_{c}") for c in ("component", "n") for p, f in (("min", F.min), ("max", F.max))]
+    nodes = bits.groupBy("bit", "leaf").agg(*ranges, F.collect_list("node").alias("nodes"))
+    apart = bits.groupBy("bit").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("bit")
+    nodes = materialize(nodes.join(apart, "bit"), "nodes")
+    a, b = nodes.alias("a"), nodes.alias("b")
+    several = "(a.min_component <> a.max_component OR b.min_component <> b.max_component OR a.min_component <> b.min_component)"
+    fits = f"a.max_n * 100 >= {percent} * b.min_n AND b.max_n * 100 >= {percent} * a.min_n"
+    met = a.join(b, F.expr(f"a.bit = b.bit AND a.leaf <= b.leaf AND {several} AND {fits}"))
+    members = F.array_union(F.transform("a.nodes", lambda x: F.struct(F.col("a.leaf").alias("leaf"), x.alias("node"))), F.transform("b.nodes", lambda x: F.struct(F.col("b.leaf").alias("leaf"), x.alias("node"))))
+    pairs = met.select(F.col("a.leaf").alias("i"), F.col("b.leaf").alias("j"), F.explode(members).alias("m")).select("i", "j", "m.leaf", "m.node").distinct()
+    dealt = pairs.join(leaves.select("node", "component"), "node").join(sets.select("node", "hashes"), "node")
+    dealt = dealt.repartition(n, "i", "j").sortWithinPartitions("i", "j", "leaf", "node")
+    across = materialize(dealt.mapInArrow(_compare_nodes(percent), "a long, b long"), "across")
+    discard(signed, labelled, leaves, nodes)
+    return near, across
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row; links: 100 * intersection >= percent * union."""
-    n = partitions(docs.sparkSession)
     texts = documents(docs, id_col, text_col)
-    sketch = materialize(texts.mapInArrow(_sizes(words), "doc_id long, n_shingles long, digest binary"), "sketch")
-    # hashed twice rather than kept: the part hashes are as large as the texts and are needed once
-    shared = texts.mapInArrow(_parts(words, percent), "doc_id long, parts array<long>").select("doc_id", F.explode("parts").alias("part"))
-    stars = shared.withColumn("least", F.min("doc_id").over(Window.partitionBy("part"))).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    groups = materialize(components(stars), "groups")
-    # equal sets: one stands for all
-    member = groups.join(sketch.select(F.col("doc_id").alias("node"), "digest").distinct(), "node")
-    stands = member.groupBy("component", "digest").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("copies"))
-    equal = member.join(stands.where("copies > 1").select("digest", "least"), "digest").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    chosen = materialize(_several(stands.select("component", F.col("least").alias("node"))).drop("size"), "chosen")
-    sets = materialize(texts.withColumnRenamed("doc_id", "node").join(chosen.select("node"), "node").mapInArrow(_set_batches(words), "node long, hashes binary"), "sets")
-    before = None
-    for seed in range(1, ROUNDS + 1):
-        sized = _several(chosen)
-        large = sized.where(F.col("size") > LARGE).drop("size")
-        left = large.count()
-        if not left or before and left > 0.9 * before:  # groups that stay large are near copies
-            break
-        before = left
-        again = sets.join(large, "node").mapInArrow(_new_parts(percent, seed), "component long, node long, parts array<long>").select("component", "node", F.explode("parts").alias("part"))
-        least = F.min("node").over(Window.partitionBy("component", "part"))
-        split = components(again.withColumn("least", least).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
-        chosen = materialize(sized.where(F.col("size") <= LARGE).drop("size").unionByName(split), "chosen")
-    final = _several(chosen).select("component", "node", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    sets = sets.join(final, "node")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tasks = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "hashes")
-    dealt = tasks.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    found = dealt.mapInArrow(_compare(percent), "a long, b long")
-    joined = components(found.unionByName(equal)).withColumnRenamed("node", "doc_id")
-    return sketch.select("doc_id", "n_shingles").join(joined, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    sketch = sketches(texts, words, percent)
+    known = sketch.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("linkable").alias("linkable"))
+    known = materialize(known.where("copies > 1 OR linkable"), "known")
+    wanted = known.where("linkable").select(F.col("least").alias("doc_id"), "digest")
+    ids = wanted.select("doc_id").distinct()
+    few = wanted.count() <= BROADCAST_IDS
+    chosen = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_set_rows(words), "doc_id long, digest binary, hashes binary")
+    chosen = chosen.join(wanted, ["doc_id", "digest"], "left_semi").groupBy("digest").agg(F.first("hashes").alias("hashes"))
+    sets = materialize(chosen.select(F.monotonically_increasing_id().alias("node"), "digest", (F.octet_length("hashes") / 8).cast("long").alias("n"), "hashes"), "sets")
+    name = sets.join(known, "digest").select("node", "least")
+    tables = links_of_sets(sets, percent)
+    found = tables[0].unionByName(tables[1])
+    edges = found.join(name.withColumnsRenamed({"node": "a", "least": "x"}), "a").join(name.withColumnsRenamed({"node": "b", "least": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # rows that repeat a doc_id with other sets connect what each of them is connected with
+    counted = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
+    twice = materialize(counted.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other").select("doc_id"), "twice")
+    repeat = not twice.isEmpty()
+    if repeat:
+        edges = edges.unionByName(counted.join(twice, "doc_id").join(known, "digest").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct())
+    joined = components(edges)
+    discard(sets, *tables)
+    label = known.join(joined.withColumnRenamed("node", "least"), "least", "left").select("digest", F.coalesce("component", "least").alias("label"))
+    rows = sketch.withColumn("key", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("digest"))).join(label.withColumnRenamed("digest", "key"), "key", "left")
+    if not repeat:
+        return rows.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    own = joined.join(twice, F.col("node") == F.col("doc_id"), "left_semi").select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
+    return rows.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("own", "label", "doc_id").alias("component_id"))
