@@ -219,27 +219,44 @@ def test_shingles_of_blocks():
         s.BLOCK = 1 << 20
 
 
-def test_packing(spark):
-    df, texts = odd_documents(spark)
-    ranks, t = pieces.tokenizer_path("byte_bpe_50k.tiktoken"), pieces.hf_tokenizer(pieces.tokenizer_path("byte_bpe_50k.json"))
-    rows = packing.pack(df.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), ranks).collect()
-    docs, sequences = defaultdict(list), defaultdict(list)
+def check_packing(rows, texts, t):
+    """Every document's pieces, by (doc_id, doc_tokens, place), make up its ids; sequences have no gaps and hold 1024 at most."""
+    want = sorted(((i, [*t.encode(x or "", add_special_tokens=False).ids, 0]) for i, x in texts), key=str)
+    pieces_wanted = sorted((str(i), s, zlib.crc32(array.array("I", ids[s:e]).tobytes()), e - s, len(ids)) for i, ids in want for c in [packing.cuts(len(ids), 1024)] for s, e in zip(c, c[1:], strict=False))
+    assert sorted((str(r.doc_id), r.start, r.ids_crc32, r.length, r.doc_tokens) for r in rows) == pieces_wanted
+    sequences = defaultdict(list)
     for r in rows:
-        docs[r.doc_id].append(r)
         sequences[r.sequence_id].append((r.offset, r.length))
-    for i, text in dict(x for x in texts if x[0] is not None).items():
-        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
-        at = 0
-        for r in sorted(docs[i], key=lambda r: r.start):
-            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(array.array("I", ids[at : at + r.length]).tobytes())
-            at += r.length
-        assert at == len(ids)
     for s in sequences.values():
         at = 0
         for offset, length in sorted(s):
             assert offset == at
             at += length
         assert at <= 1024
+    return len(sequences), sum(len(ids) for _, ids in want)
+
+
+def test_packing(spark, docs, monkeypatch):
+    path = pieces.tokenizer_path("byte_bpe_50k.json")
+    t = pieces.hf_tokenizer(path)
+    df, texts = odd_documents(spark)
+    df = df.unionByName(df.where("doc_id IS NULL"))
+    check_packing(packing.pack(df, path).collect(), [*texts, (None, BASE)], t)
+    rows, texts = packing.pack(docs, path).collect(), [(r.doc_id, r.text) for r in docs.collect()]
+    sequences, ids = check_packing(rows, texts, t)
+    assert sequences <= 1.01 * ids / 1024 + 1  # little padding
+    monkeypatch.setattr(packing, "PER_GROUP", 64)
+    check_packing(packing.pack(docs.repartition(3), path).collect(), texts, t)
+    assert packing.pack(df.limit(0), path).count() == 0
+
+
+def test_byte_bpe_equals_the_library():
+    path = pieces.tokenizer_path("byte_bpe_50k.json")
+    t, e, rng = pieces.hf_tokenizer(path), pieces.byte_bpe(path), np.random.default_rng(2)
+    parts = ["the ", "Hello", "  ", "\n", "é", "<|endoftext|>", "don't", "1234", "!!", "日本", "\u00a0", "😀", "a" * 50, "\t", "İ"]
+    for _ in range(300):
+        s = "".join(rng.choice(parts, 30))
+        assert e.encode(s, allowed_special="all") == t.encode(s, add_special_tokens=False).ids
 
 
 def test_fill_is_closest():

@@ -1,8 +1,10 @@
 """Packing of token pieces into sequences by minimum bin slack.
 
-Each document is encoded where it is read and cut after every ``capacity`` ids; whole pieces are
+Each document is encoded where it is read, by the byte-level vocabulary and merges of a tokenizers
+json, and cut after every ``capacity`` ids; whole pieces are
 sequences of their own. A remainder of over half the capacity is cut once more, after that half, so
-that no piece needs a window almost alone. What remains is dealt into groups by hash. In a group the
+that no piece needs a window almost alone. All are dealt into groups by their place in the written
+table, so no key, null or repeated, makes a large group. In a group the
 longest remaining piece opens a sequence; a dynamic program over a bitset of reachable sums picks,
 from the multiset of remaining lengths, the one that fills the window closest to capacity, and
 backtracking gives how many pieces of each length it takes.
@@ -15,9 +17,7 @@ sequence follow each other without gaps. Only (doc, start, length, checksum) row
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -25,42 +25,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxspark.llm.common import documents, materialize
-from voxspark.llm.pieces import PieceCache, byte_ranks, spaced
+from voxspark.llm.pieces import byte_bpe
 
 CAPACITY = 1024
-CLOSING_ID = 0
+CLOSING = bytes(4)  # id 0
 PER_GROUP = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-@cache
-def id_bytes(ranks: str) -> PieceCache:
-    """Little-endian unsigned 32-bit ids of pieces."""
-    e = byte_ranks(ranks)
-    return PieceCache(lambda pieces: [e.encode(p, allowed_special="all") for p in pieces], lambda ids: array("I", ids).tobytes())
+def encode_bytes(text: str, tokenizer: str) -> bytes:
+    """Little-endian unsigned 32-bit ids of a text and the closing id."""
+    ids = byte_bpe(tokenizer).encode_to_numpy(text, allowed_special="all")
+    return ids.astype("<u4", copy=False).tobytes() + CLOSING
 
 
-def encode_bytes(text: str, ranks: str) -> bytes:
-    pieces = spaced(text)
-    if pieces is None:
-        return array("I", byte_ranks(ranks).encode(text, allowed_special="all")).tobytes()
-    return b"".join(id_bytes(ranks).values(pieces))
+def cuts(n: int, capacity: int) -> list[int]:
+    """Where a document of n ids is cut: every capacity ids, and a remainder of over half of that once more."""
+    found = [*range(0, n, capacity), n]
+    if n % capacity > capacity // 2:
+        found.insert(-1, found[-2] + capacity // 2)
+    return found
 
 
-def _cut(ranks: str, capacity: int):
-    closing = array("I", [CLOSING_ID]).tobytes()
-
+def _cut(tokenizer: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[int, int, int, int, int]] = []
-            half = capacity // 2
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = memoryview(encode_bytes(text, ranks) + closing)
+                ids = memoryview(encode_bytes(text, tokenizer))
                 n = len(ids) // 4
-                cuts = [*range(0, n, capacity), n]
-                if cuts[-1] - cuts[-2] > half and n % capacity:
-                    cuts.insert(-1, cuts[-2] + half)
-                out += [(doc, s, e - s, zlib.crc32(ids[4 * s : 4 * e]), n) for s, e in zip(cuts, cuts[1:], strict=False)]
+                at = cuts(n, capacity)
+                out += [(doc, s, e - s, zlib.crc32(ids[4 * s : 4 * e]), n) for s, e in zip(at, at[1:], strict=False)]
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -110,14 +105,15 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
     return sequences
 
 
-def pack(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece."""
-    pieces = materialize(documents(docs, id_col, text_col).mapInArrow(_cut(ranks, capacity), PIECES), "pieces")
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece. tokenizer: a byte-level json."""
+    pieces = materialize(documents(docs, id_col, text_col).mapInArrow(_cut(tokenizer, capacity), PIECES), "pieces")
     groups = max(1, -(-pieces.count() // PER_GROUP))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    # by place in the written table, so that pieces of one doc_id, or of none, spread like all others
+    place = F.monotonically_increasing_id()
+    dealt = pieces.withColumn("group", F.pmod(F.shiftright(place, 33) * 977 + place.bitwiseAND((1 << 33) - 1), F.lit(groups)))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], ignore_index=True)
         sequences = pack_lengths(pdf["length"].tolist(), capacity)
         order = [p for s in sequences for p in s]
         out = pdf.take(order)

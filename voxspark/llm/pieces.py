@@ -8,7 +8,7 @@ piece by piece and equal pieces are encoded once. Any other text goes to the lib
 
 from __future__ import annotations
 
-import base64
+import json
 import os
 import re
 from collections.abc import Callable
@@ -60,15 +60,32 @@ def sentence_pieces(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+def _byte_names() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 @cache
-def byte_ranks(path: str):
-    """Byte-level BPE from a rank file; the closing token is recognised in texts as the json's default has it."""
+def byte_bpe(path: str):
+    """Byte-level BPE of a tokenizers json, run by tiktoken, which is several times as fast.
+
+    tiktoken merges the pair whose result has the smallest id. That is the json's order only if the
+    ids of its merges rise, and only if every longer entry comes from a merge; both are checked here.
+    """
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+    with open(path, encoding="utf-8") as f:
+        read = json.load(f)
+    names, special = _byte_names(), {t["content"]: t["id"] for t in read["added_tokens"]}
+    vocab = read["model"]["vocab"]
+    ranks = {bytes(names[c] for c in t): i for t, i in vocab.items() if t not in special}
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in read["model"]["merges"]]
+    if merged != sorted(merged) or {*merged} != {i for t, i in ranks.items() if len(t) > 1}:
+        raise ValueError(f"{path}: the merges aren't in the order of their ids")
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def spaced(text: str) -> list[str] | None:
