@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from voxspark.llm import bpe, exact_dedup, jaccard, packing, pieces, quality, secret_scan, suffix_dedup, token_counts, topk, url_rules
+from voxspark.llm.common import from_planes
 from voxspark.llm.shingles import shingle_set
 
 SF = "/root/testdata/sf0.001"
@@ -134,13 +135,30 @@ def test_bpe_round(spark, docs, leaf):
 
 def test_joins_of_cut_words():
     path = pieces.tokenizer_path("word_bpe_49k.json")
-    t, rng = pieces.hf_tokenizer(path), np.random.default_rng(1)
-    parts = ["the ", "Hello", "  ", "\n", "é", "<|endoftext|>", "<|start", "oftext|>", "don't", "1234", "!!", "日本", "a" * 50]
-    for _ in range(60):
-        s = "".join(rng.choice(parts, 40))
-        cuts = [len(s) * k // 4 for k in range(5)]
-        nodes = [(s[a:b], *bpe.encode_node(s[a:b], path)) for a, b in zip(cuts, cuts[1:], strict=False)]
-        assert bpe.join_tree(nodes, path).tolist() == t.encode(s, add_special_tokens=False).ids
+    t, v, rng = pieces.hf_tokenizer(path), bpe.bpe(path), np.random.default_rng(1)
+    parts = ["the ", "Hello", "  ", "\n", "é", "e\u0301", "<|endoftext|>", "<|start", "oftext|>", "don't", "'s", "'re'", "1234", "²", "!!", "-" * 30, "日本", "\U0001f600", "\u0901x", "İ", "Σ", "a" * 50, "ab" * 40]
+    for n in range(300):
+        s = "".join(rng.choice(parts, int(rng.integers(1, 60))))
+        want = t.encode(s, add_special_tokens=False).ids
+        assert v.encode(s) == want and v.decode(want) == t.decode(want, skip_special_tokens=False)
+        found = []
+        for unit in v.units(s):
+            found += [unit] if isinstance(unit, int) else bpe.join_tree([v.node(x) for x in bpe.cut(unit, max(1, len(unit) // 5))], v).tolist()
+        assert found == want
+
+
+@pytest.mark.parametrize("kind", ["letters", "one letter", "signs", "words", "accents"])
+def test_windows_stay_small(kind):
+    """Unsplit text is encoded again only near its joins."""
+    path = pieces.tokenizer_path("word_bpe_49k.json")
+    t, v, rng = pieces.hf_tokenizer(path), bpe.bpe(path), np.random.default_rng(2)
+    letters = {"letters": "etaoinshrdlucmfwyp", "one letter": "a", "signs": ".-=_#*", "words": "etaoin shrdlu", "accents": "eéaàoöuüß"}[kind]
+    s = "".join(rng.choice([*letters], 200_000))
+    tally: list[int] = []
+    leaves = bpe.cut(v.normalised(s), 5000)
+    assert bpe.join_tree([v.node(x) for x in leaves], v, tally).tolist() == t.encode(s, add_special_tokens=False).ids
+    # sides of one letter never fall into step
+    assert len(leaves) == 64 and (sum(tally) < len(s) // 10 or kind == "one letter")
 
 
 def brute_components(texts, words, percent):
@@ -184,7 +202,7 @@ def test_shared_slots_of_chunks():
     total = {r["chunk"]: np.frombuffer(r["shared"], np.int32).copy() for r in rows if r["ids"]}
     for i in range(5):
         part = [r for r in rows if r["range"] == i]
-        found = jaccard.shared_slots([np.cumsum(jaccard.from_planes(r["slots"], np.uint64), dtype=np.uint64) for r in part], [jaccard.from_planes(r["owners"], np.uint16) for r in part])
+        found = jaccard.shared_slots([np.cumsum(from_planes(r["slots"], np.uint64), dtype=np.uint64) for r in part], [from_planes(r["owners"], np.uint16) for r in part])
         for r, owners in zip(part, found, strict=True):
             np.add.at(total[r["chunk"]], owners, 1)
     for i, s in docs:
