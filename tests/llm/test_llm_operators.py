@@ -299,3 +299,28 @@ def test_top_k(spark):
     v = {i: np.floor(64 * np.array(e)) for i, e, _ in rows if e and None not in e and np.isfinite(e).all()}
     for q in [i for i in v if i % 50 == 0]:
         assert got[q] == sorted(((i, int(v[q] @ x)) for i, x in v.items() if i != q), key=lambda x: (-x[1], x[0]))[:20]
+
+
+def test_lists_are_read_as_far_as_needed():
+    """Exact for any vectors; with structure, reading stops early."""
+    rng = np.random.default_rng(8)
+    plain = np.floor(64 * rng.normal(0, 0.2, (900, 12)))
+    tilted = np.floor(64 * rng.normal(0, 0.2, (900, 12)) * 0.3 ** np.arange(12))
+    for v, most in ((plain, 1.0), (tilted, 0.6), (plain[:5], 1.0), (np.zeros((40, 3)), 1.0)):
+        q, tally = v[: min(len(v), 30)], []
+        own = np.arange(len(v))[:, None] == np.arange(len(q))[None, :]
+        found = dict(topk.nra(topk.Lists(v), q, own, 10, np.full(len(q), -np.inf), tally))
+        for i in range(len(q)):
+            score = v @ q[i]
+            score[i] = -np.inf
+            want = [c for c in np.lexsort((np.arange(len(v)), -score))[:10] if score[c] > -np.inf]
+            assert set(want) <= set(found[i].tolist()) and i not in found[i]
+        assert sum(tally) <= most * v.size * len(q)
+
+
+def test_top_k_of_odd_rows(spark):
+    rows = [(20 * (i % 3), [float(i % 2), 1e7], 1) for i in range(50)] + [(None, [1.0, 1.0], 1), (40, [1.0], 2), (41, [2.0], 2), (60, None, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 20 = 0"), 3).collect()))
+    assert [r[:2] for r in got if r[0] in (0, 20)] == [(q, i) for q in (0, 20) for i in (1, 2, 3)]
+    assert topk.top_k(df.limit(0), df.limit(0), 3).count() == 0
