@@ -49,6 +49,19 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def joinable(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """The table, broadcast if it has so few narrow rows; beyond that joins shuffle both sides."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
