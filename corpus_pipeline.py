@@ -2,15 +2,15 @@
 
 Every stage takes all that its predecessor kept. Stages 1 to 4 return the columns of documents.
 Null texts count as empty; rows with a null doc_id are scored like others, are never taken for near
-copies, and are packed.
+copies, have their secrets masked (a null text stays null) and are packed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxspark.llm.common import materialize, read_table, text_of
+from voxspark.llm.common import fresh, joinable, materialize, read_table, text_of
 from voxspark.llm.exact_dedup import exact_duplicates
 from voxspark.llm.jaccard import jaccard_components
 from voxspark.llm.packing import pack
@@ -24,38 +24,46 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """What tells rows apart, also those that repeat a doc_id: the id and a digest of the text."""
+    return F.struct(F.col("doc_id").cast("long").alias("id"), F.unhex(F.sha2(F.encode(text_of(docs), "UTF-8"), 256)).alias("sha"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; of its repeated rows one.
 
-    The dropped ids are joined, fewer than the kept ones, and only documents that repeat an id are
+    The dropped rows are joined, fewer than the kept ones, and only documents that repeat an id are
     grouped by it.
     """
-    ids, digest = F.col("doc_id").cast("long"), F.sha2(F.encode(text_of(docs), "UTF-8"), 256)
-    judged = materialize(exact_duplicates(docs), "judged")
-    gone = judged.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    twice = judged.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn("__digest", digest)
-    same = lambda other: ids.eqNullSafe(other["__id"]) & (F.col("__digest") == other["__sha"])
+    judged, key = materialize(exact_duplicates(docs), "judged"), fresh(docs, "row_key")
+    named = judged.select(F.struct(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha")).alias(key), "kept")
+    gone = joinable(named.where("NOT kept").select(key).distinct())
+    repeats = named.where("kept").groupBy(key).count().where("count > 1").select(key)
+    rows = docs.withColumn(key, _row_key(docs))
+    same = lambda other: rows[key].eqNullSafe(other[key])
     left = rows.join(gone, same(gone), "left_anti")
-    repeated = left.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "__digest"])
-    return left.join(twice, same(twice), "left_anti").unionByName(repeated).drop("__digest")
+    if repeats.isEmpty():
+        return left.drop(key)
+    repeats = joinable(repeats)
+    one = left.join(repeats, same(repeats), "left_semi").dropDuplicates([key])
+    return left.join(repeats, same(repeats), "left_anti").unionByName(one).drop(key)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, the smallest doc_id, of each group linked by five-word shingles at 0.8 or more stays.
 
     Rows are told apart by a 64-bit hash of doc_id and text, so texts under a repeated doc_id are judged
-    each on its own; rows with a null doc_id have none.
+    each on its own; rows with a null doc_id have none and stay.
     """
-    digest = F.sha2(F.encode(text_of(docs), "UTF-8"), 256)
-    rows = docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), digest)))
-    linked = jaccard_components(rows, words=5, percent=80, id_col="__row").where("doc_id <> component_id")
-    linked = materialize(linked.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")).distinct(), "near")
-    members = linked.unionByName(linked.select(F.col("__group").alias("__row"), "__group").distinct())
-    named = members.join(rows.select("__row", F.col("doc_id").cast("long").alias("__id")).distinct(), "__row")
-    stays = named.groupBy("__group").agg(F.min_by("__row", F.struct("__id", "__row")).alias("__row"))
-    gone = members.select("__row").join(stays.select("__row"), "__row", "left_anti")
-    return rows.join(gone, "__row", "left_anti").select(docs.columns)
+    row, group, number = fresh(docs, "row_hash"), fresh(docs, "row_group"), fresh(docs, "row_id")
+    rows = docs.withColumn(row, F.when(F.col("doc_id").isNotNull(), F.xxhash64(_row_key(docs))))
+    linked = jaccard_components(rows, words=5, percent=80, id_col=row).where("doc_id <> component_id")
+    linked = materialize(linked.select(F.col("doc_id").alias(row), F.col("component_id").alias(group)).distinct(), "near")
+    members = joinable(linked.unionByName(linked.select(F.col(group).alias(row), group).distinct()))
+    named = rows.select(row, F.col("doc_id").cast("long").alias(number)).join(members, row).distinct()
+    stays = named.groupBy(group).agg(F.min_by(row, F.struct(number, row)).alias(row))
+    gone = materialize(named.select(row).distinct().join(stays.select(row), row, "left_anti"), "gone")
+    return rows.join(joinable(gone), row, "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +74,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all texts in sequences of 1024 ids."""
-    return pack(docs, tokenizer_path("byte_bpe_50k.tiktoken"))
+    return pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("secrets", secrets), ("packing", packing)]
