@@ -1,12 +1,15 @@
 """Secret scan with assignment-aware lexing.
 
 Three base kinds are fixed patterns. Besides them each text is lexed into name-literal pairs: an
-assignment is a name (bare, dotted, quoted or a shell export), an operator (``=``, ``:``, ``:=``,
-``=>``) and a value made of quoted literals, bare words and earlier names joined by ``+`` or ``.``.
-A table of constants, one per text, carries literal spans from name to name, so
-``A = "x7Gk..."; db_password = A`` reports the literal where it is written. A target name is split at
-case changes and separators and its words weigh in; the literal adds its length and variety. Spans
-of kind ``target`` are literals that reach ``threshold``.
+assignment is a name (bare, dotted, quoted or a shell export), perhaps a declared type, an operator
+(``=``, ``:``, ``:=``, ``=>``) and a value made of quoted literals (with escapes, in threes over several
+lines, side by side), bare words and earlier names joined by ``+`` or ``.``, perhaps within a call;
+``a = b = "..."`` gives both names the literal. XML elements and bearer headers are pairs too.
+A table of constants, one per text, carries literal spans from name to name, also through
+``"${A}"``, so ``A = "x7Gk..."; db_password = A`` reports the literal where it is written. A target name
+is split at case changes and separators and its words weigh in; the literal adds its length and
+variety. Spans of kind ``target`` are literals that reach ``threshold``. Comments are lexed like code:
+a secret there is one. Block scalars of YAML and constants passed by position aren't followed.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive; a span
 found twice as a target counts once; names are seen in text order, so a later assignment to the same
@@ -31,18 +34,30 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGNED = 6
 
+MASK = "[SECRET]"
+
 #: Words of a target name and their weights.
-SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "private": 1, "access": 1, "auth": 2, "api": 1, "key": 2, "signing": 1, "session": 1, "cookie": 1, "bearer": 2, "pin": 1, "salt": 1}
+SENSITIVE = {"password": 3, "passwd": 3, "pass": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "private": 1, "access": 1, "auth": 2, "authorization": 2, "api": 1, "key": 2, "signing": 1, "session": 1, "cookie": 1, "bearer": 2, "pin": 1, "salt": 1}
 
+#: Quoted literals: over several lines in threes, else in one line, with escapes.
+QUOTED = r"""\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"""
+BARE = r"[\w$+/.@%^&*!~{}=-]+"
 PAIR = re.compile(
-    r"""(?<![\w$.-])(?P<name>[A-Za-z_$][\w$.-]*+)(?P<q>["'`]?)[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*"""
-    r"""(?P<value>(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[\w$+/.@%^&*!~{}=-]+)"""
-    r"""(?:[ \t]*[+.][ \t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[\w$]+))*)""",
-    re.ASCII,
+    rf"""(?<![\w$.-])(?P<name>[A-Za-z_$][\w$.-]*+)(?P<q>["'`]?)[ \t]*"""
+    # a declared type between name and literal
+    rf"""(?::[ \t]*[A-Za-z_][\w.]*(?:[\[<][\w., |\]>]*)?(?:[ \t]*\|[ \t]*[\w.]+)*[ \t]*(?==[^=]))?"""
+    rf"""(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*"""
+    rf"""(?P<value>(?:\w*\([ \t]*)?(?:{QUOTED}|{BARE})(?:[ \t]*[+.][ \t]*(?:{QUOTED}|[\w$]+)|[ \t]*(?:{QUOTED}))*)""",
+    re.ASCII | re.DOTALL,
 )
-TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`]+)""")
+#: A value that is itself the target of a further assignment.
+CHAINED = re.compile(r"[ \t]*=(?!=)")
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*)>(?P<value>[^<>\n]+)</(?P=name)>", re.ASCII)
+HEADER = re.compile(r"(?P<name>[Bb]earer)[ \t]+(?P<value>[A-Za-z0-9._~+/=-]{16,})", re.ASCII)
+TERM = re.compile(r""""{3}((?:[^\\]|\\.)*?)"{3}|'{3}((?:[^\\]|\\.)*?)'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`]+)""", re.DOTALL)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 NAME_LIKE = re.compile(r"\$?\{?([A-Za-z_][\w.]*)\}?\+?", re.ASCII)
+REFERENCE = re.compile(r"\$(?:\{([A-Za-z_]\w*)\}|([A-Za-z_]\w*))|\{([A-Za-z_]\w*)\}", re.ASCII)
 
 
 def name_score(name: str) -> int:
@@ -60,28 +75,65 @@ def literal_score(literal: str) -> int:
     return 1 + (classes >= 2) + (max(Counter(literal).values()) <= max(2, len(literal) // 3))
 
 
+#: Start, end and whether a literal is quoted.
+Literal = tuple[int, int, bool]
+
+
+def literals_of(text: str, start: int, end: int, constants: dict[str, list[Literal]]) -> list[Literal]:
+    """The literals that a value is made of; names of constants stand for theirs."""
+    found: list[Literal] = []
+    for t in TERM.finditer(text, start, end):
+        bare = t.lastindex == 6
+        value = t[t.lastindex] if t.lastindex else ""
+        known = NAME_LIKE.fullmatch(value) if bare else REFERENCE.fullmatch(value)
+        name = next((g for g in known.groups() if g), "") if known else ""
+        if name in constants:
+            found += constants[name]
+        elif value:
+            found.append((*t.span(t.lastindex), not bare))
+    return found
+
+
+def assignments(text: str) -> Iterator[tuple[list[str], list[Literal]]]:
+    """Target names and the literals that reach them, in text order."""
+    constants: dict[str, list[Literal]] = {}
+    names: list[str] = []
+    at = 0
+    while m := PAIR.search(text, at):
+        names.append(m["name"])
+        if NAME_LIKE.fullmatch(m["value"]) and CHAINED.match(text, m.end()):
+            at = m.start("value")  # a = b = "...": both names get the literal
+            continue
+        found = literals_of(text, *m.span("value"), constants)
+        constants.update(dict.fromkeys(names, found))
+        yield names, found
+        names, at = [], max(m.end(), at + 1)
+
+
 def target_spans(text: str, threshold: int = 5) -> list[tuple[int, int]]:
-    """Spans of literals that reach a sensitive name, directly or through constants."""
-    constants: dict[str, list[tuple[int, int, bool]]] = {}
-    found: dict[tuple[int, int], None] = {}
-    for m in PAIR.finditer(text):
-        literals: list[tuple[int, int, bool]] = []
-        for t in TERM.finditer(text, m.start("value"), m.end("value")):
-            bare = t.lastindex == 4
-            known = NAME_LIKE.fullmatch(t[4]) if bare else None
-            if known and known[1] in constants:
-                literals += constants[known[1]]
-            else:
-                literals.append((*t.span(t.lastindex), not bare))
-        name = m["name"]
-        constants[name] = literals
-        weight = name_score(name)
-        if weight >= 2:
-            for start, end, quoted in literals:
-                value = text[start:end]
-                # a bare word counts only when it does not read like a plain word
-                if (quoted or re.search(r"\d", value)) and weight + literal_score(value) >= threshold:
-                    found[start, end] = None
+    """Spans of literals that reach a sensitive name, directly or through constants.
+
+    Name and literal both count: a literal of score 0 (short, empty, or the mask) is never a span.
+    """
+    found: set[tuple[int, int]] = set()
+
+    def weigh(names: list[str], literals: list[Literal]) -> None:
+        weight = max(map(name_score, names))
+        if weight < 2:
+            return
+        for start, end, quoted in literals:
+            value = text[start:end]
+            score = 0 if MASK in value else literal_score(value)
+            # a bare word counts only when it does not read like a plain word
+            if score and weight + score >= threshold and (quoted or re.search(r"\d", value)):
+                found.add((start, end))
+
+    if "=" in text or ":" in text:
+        for names, literals in assignments(text):
+            weigh(names, literals)
+    for pattern in (ELEMENT, HEADER) if "</" in text or "earer" in text else ():
+        for m in pattern.finditer(text):
+            weigh([m["name"]] if pattern is ELEMENT else ["authorization " + m["name"]], [(*m.span("value"), pattern is ELEMENT)])
     return sorted(found)
 
 
@@ -90,7 +142,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= MIN_ASSIGNED]
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    spans += [(s, 3, e) for s, e in target_spans(text)] if "=" in text or ":" in text else []
+    spans += [(s, 3, e) for s, e in target_spans(text)]
     return sorted(spans)
 
 
@@ -98,7 +150,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def redact(text: str, mask: str = "[SECRET]") -> str:
+def redact(text: str, mask: str = MASK) -> str:
     """The text with every span, overlapping ones merged, replaced by the mask."""
     out, at = [], 0
     for s, _, e in scan(text):
