@@ -7,10 +7,10 @@ A set of shingles can link only if enough of its shingles are in other documents
    slots each document shares with others. Documents below ``percent`` of their size link with none.
 2. For the rest the exact shingles are counted. Ordered by count, then value, two sets that link
    have one of their first ``n - ceil(n * percent / 100) + 1`` shingles in common: their signatures.
-3. Sets are sorted by their least shingle, so that near copies lie together, and neighbours are
-   compared; what links is one component from then on.
-4. The tree: its lowest level are nodes of up to ``NODE`` sets in order of component and least
-   shingle, with size range and components. Their OR-combined signatures are kept sparse, one row a
+3. Sets are sorted by their least and by their greatest shingle, so that near copies lie together,
+   and every ``NODE`` neighbours are compared; what links is one component from then on.
+4. The tree: its lowest level are nodes of up to ``NODE`` sets, in order of their component if it is
+   large and of their most frequent signature, with size range and components. Their OR-combined signatures are kept sparse, one row a
    set bit, so the walk of all node pairs is an equality join on the bits: pairs without a common bit
    have too small a greatest overlap and never meet. Pairs that can't link by size range or are one
    component are pruned too. Of a pair only the sets that have common bits go on.
@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxspark.llm.common import discard, documents, materialize, partitions
+from voxspark.llm.common import discard, documents, from_planes, materialize, partitions, planes
 from voxspark.llm.graph import components
 from voxspark.llm.shingles import shingle_set
 
@@ -47,7 +47,7 @@ RANGE = 2_000_000
 SLOT_BITS = 48
 NODE = 64
 OWN_NODES = 32
-NEIGHBOURS = 6
+NEIGHBOURS = 8
 BITS = 2048
 LEAF = 8
 BROADCAST_IDS = 1_000_000
@@ -58,16 +58,6 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Bytes of equal weight together, so that compression finds the empty ones."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
-
-
-def from_planes(data: bytes, dtype: type) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
-
-
 # ---- 1. which documents share enough slots
 
 SENT = pa.schema([("chunk", pa.int64()), ("range", pa.int64()), ("slots", pa.binary()), ("owners", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("shared", pa.binary())])
@@ -282,23 +272,19 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _compare_neighbours(percent: int):
-    """Sets in order: each is compared with the first one of its least shingle and with the few before it."""
+    """Sets in order: every NODE of them are compared with each other and with the last few before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: list[tuple[int, int, np.ndarray]] = []
-        head = None
+        held: list[Member] = []
         for b in batches:
             found = []
-            for node, least, hashes in zip(b.column("node").to_pylist(), b.column("least").to_pylist(), b.column("hashes").to_pylist(), strict=True):
-                s = np.frombuffer(hashes, _U)
-                if head is None or head[1] != least:
-                    head = (node, least, s)
-                for other, _, t in [head, *recent[::-1]]:
-                    if other != node and linked(s, t, percent):
-                        found.append((node, other))
-                        break
-                recent = [*recent[1 - NEIGHBOURS :], (node, least, s)]
+            for node, hashes in zip(b.column("node").to_pylist(), b.column("hashes").to_pylist(), strict=True):
+                held.append((node, node, np.frombuffer(hashes, _U)))
+                if len(held) == NODE + NEIGHBOURS:
+                    found += links(held, None, percent)
+                    held = held[-NEIGHBOURS:]
             yield _links(found)
+        yield _links(links(held, None, percent))
 
     return run
 
@@ -330,12 +316,12 @@ def _compare_nodes(percent: int):
 
 
 def _set_rows(words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("hashes", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("hashes", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, words) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array([int(s[at] >> _U(1)) if len(s) else 0 for s in sets], pa.int64()) for at in (0, -1))], schema=schema)
 
     return run
 
@@ -350,41 +336,46 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def signatures(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, n, least, bits): the shingles of which two sets that link have one in common; sets that can't link are left out."""
+    """(node, n, bits, held): the shingles of which two sets that link have one in common, rarest first, and how many
+    sets hold the last of them; sets that can't link are left out."""
     rows = sets.mapInArrow(_shingle_rows, "shingle long, node long")
     common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    shared = rows.join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("s"), F.min("shingle").alias("least"))
+    shared = rows.join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("s"))
     spare = F.size("s") - F.ceil(F.col("n") * percent / 100) + 1
     found = shared.join(sets.select("node", "n"), "node").where(spare > 0)
-    return found.select("node", "n", "least", F.slice("s.shingle", F.lit(1), spare.cast("int")).alias("bits"))
+    return found.select("node", "n", F.slice("s.shingle", F.lit(1), spare.cast("int")).alias("bits"), F.element_at("s.held", spare.cast("int")).alias("held"))
 
 
 def links_of_sets(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Two tables of links (a, b) of the sets (node, n, hashes), as many as connect what is connected."""
     n = partitions(sets.sparkSession)
     signed = materialize(signatures(sets, percent), "signatures")
-    ordered = sets.join(signed.select("node", "least"), "node").repartitionByRange(n, "least", "n", "node").sortWithinPartitions("least", "n", "node")
-    near = materialize(ordered.select("node", "least", "hashes").mapInArrow(_compare_neighbours(percent), "a long, b long"), "near")
+    able = sets.select("node", "low", "high", "hashes").join(signed.select("node"), "node", "left_semi")
+    orders = [able.repartitionByRange(n, c, "node").sortWithinPartitions(c, "node").select("node", "hashes") for c in ("low", "high")]
+    near = materialize(orders[0].mapInArrow(_compare_neighbours(percent), "a long, b long").unionByName(orders[1].mapInArrow(_compare_neighbours(percent), "a long, b long")).distinct(), "near")
     found = components(near)
     labelled = materialize(signed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
     own = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= OWN_NODES)
     placed = labelled.join(own, "component", "left").withColumn("own", F.when(F.col("members").isNotNull(), F.col("component")).otherwise(F.lit(-1)))
-    # position in the order, cut into nodes; written, so that it stays
-    leaf = F.shiftright(F.monotonically_increasing_id(), NODE.bit_length() - 1)
-    placed = placed.repartitionByRange(n, "own", "least", "node").sortWithinPartitions("own", "least", "node")
-    leaves = materialize(placed.select("node", "n", "component", "bits", leaf.alias("leaf")), "leaves")
-    bits = leaves.select(F.explode("bits").alias("bit"), "leaf", "component", "n", "node")
+    # position in the order, cut into nodes and places in them; written, so that both stay
+    order = ("own", "held", F.element_at("bits", -1), "node")
+    placed = placed.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    position = F.monotonically_increasing_id()
+    place = [F.shiftright(position, NODE.bit_length() - 1).alias("leaf"), position.bitwiseAND(NODE - 1).cast("int").alias("place")]
+    leaves = materialize(placed.select("node", "n", "component", "bits", *place), "leaves")
+    bits = leaves.select(F.explode("bits").alias("bit"), "leaf", "component", "n", F.expr("shiftleft(1L, place)").alias("member"))
     ranges = [f(c).alias(f"{p}_{c}") for c in ("component", "n") for p, f in (("min", F.min), ("max", F.max))]
-    nodes = bits.groupBy("bit", "leaf").agg(*ranges, F.collect_list("node").alias("nodes"))
+    nodes = bits.groupBy("bit", "leaf").agg(*ranges, F.bit_or("member").alias("members"))
     apart = bits.groupBy("bit").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("bit")
     nodes = materialize(nodes.join(apart, "bit"), "nodes")
     a, b = nodes.alias("a"), nodes.alias("b")
     several = "(a.min_component <> a.max_component OR b.min_component <> b.max_component OR a.min_component <> b.min_component)"
     fits = f"a.max_n * 100 >= {percent} * b.min_n AND b.max_n * 100 >= {percent} * a.min_n"
     met = a.join(b, F.expr(f"a.bit = b.bit AND a.leaf <= b.leaf AND {several} AND {fits}"))
-    members = F.array_union(F.transform("a.nodes", lambda x: F.struct(F.col("a.leaf").alias("leaf"), x.alias("node"))), F.transform("b.nodes", lambda x: F.struct(F.col("b.leaf").alias("leaf"), x.alias("node"))))
-    pairs = met.select(F.col("a.leaf").alias("i"), F.col("b.leaf").alias("j"), F.explode(members).alias("m")).select("i", "j", "m.leaf", "m.node").distinct()
-    dealt = pairs.join(leaves.select("node", "component"), "node").join(sets.select("node", "hashes"), "node")
+    pairs = met.groupBy(F.col("a.leaf").alias("i"), F.col("b.leaf").alias("j")).agg(F.bit_or("a.members").alias("x"), F.bit_or("b.members").alias("y"))
+    members = lambda leaf, mask: F.expr(f"transform(filter(sequence(0, {NODE - 1}), k -> (shiftrightunsigned({mask}, k) & 1L) = 1L), k -> struct({leaf} AS leaf, k AS place))")
+    both = pairs.select("i", "j", F.explode(members("i", "x")).alias("m")).unionByName(pairs.where("i <> j").select("i", "j", F.explode(members("j", "y")).alias("m")))
+    dealt = both.select("i", "j", "m.leaf", "m.place").join(leaves.select("leaf", "place", "node", "component"), ["leaf", "place"]).join(sets.select("node", "hashes"), "node")
     dealt = dealt.repartition(n, "i", "j").sortWithinPartitions("i", "j", "leaf", "node")
     across = materialize(dealt.mapInArrow(_compare_nodes(percent), "a long, b long"), "across")
     discard(signed, labelled, leaves, nodes)
@@ -400,9 +391,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     wanted = known.where("linkable").select(F.col("least").alias("doc_id"), "digest")
     ids = wanted.select("doc_id").distinct()
     few = wanted.count() <= BROADCAST_IDS
-    chosen = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_set_rows(words), "doc_id long, digest binary, hashes binary")
-    chosen = chosen.join(wanted, ["doc_id", "digest"], "left_semi").groupBy("digest").agg(F.first("hashes").alias("hashes"))
-    sets = materialize(chosen.select(F.monotonically_increasing_id().alias("node"), "digest", (F.octet_length("hashes") / 8).cast("long").alias("n"), "hashes"), "sets")
+    chosen = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_set_rows(words), "doc_id long, digest binary, hashes binary, low long, high long")
+    chosen = chosen.join(wanted, ["doc_id", "digest"], "left_semi").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("hashes", "low", "high")))
+    sets = materialize(chosen.select(F.monotonically_increasing_id().alias("node"), "digest", (F.octet_length("hashes") / 8).cast("long").alias("n"), "hashes", "low", "high"), "sets")
     name = sets.join(known, "digest").select("node", "least")
     tables = links_of_sets(sets, percent)
     found = tables[0].unionByName(tables[1])
