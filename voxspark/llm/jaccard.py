@@ -82,7 +82,7 @@ def slot_rows(chunk: int, docs: list[tuple[int | None, np.ndarray]], ranges: int
     at = np.searchsorted(slot, np.array([-(-(i << SLOT_BITS) // ranges) for i in range(ranges + 1)], dtype=_U)).tolist()
     none = {"slots": None, "owners": None, "ids": None, "sizes": None, "digests": None, "shared": None}
     rows = [none | {"chunk": chunk, "range": i, "slots": planes(np.diff(slot[x:y], prepend=_U(0))), "owners": planes(owner[x:y])} for i, (x, y) in enumerate(zip(at, at[1:], strict=False)) if y > x]
-    return [*rows, none | {"chunk": chunk, "range": -1 - chunk % 4096, "ids": [d for d, _ in docs], "sizes": [len(s) for _, s in docs], "digests": [digest(s) for _, s in docs], "shared": shared.tobytes()}]
+    return [*rows, none | {"chunk": chunk, "range": -1 - ((chunk >> 32) + chunk) % 4096, "ids": [d for d, _ in docs], "sizes": [len(s) for _, s in docs], "digests": [digest(s) for _, s in docs], "shared": shared.tobytes()}]
 
 
 def _send_slots(words: int, ranges: int):
