@@ -4,9 +4,10 @@ import array
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxspark.llm import bpe, exact_dedup, jaccard, packing, pieces, quality, secret_scan, suffix_dedup, token_counts, topk, url_rules
@@ -116,6 +117,39 @@ def test_repeated_bytes(spark, frequent):
     assert sorted(map(tuple, suffix_dedup.repeated_bytes(df, chunk=900, frequent=frequent).collect()), key=key) == sorted(repeats(texts), key=key)
 
 
+def test_repeated_bytes_in_small_buckets(spark, docs):
+    wanted = sorted(repeats([(r.doc_id, r.text) for r in docs.collect()]))
+    assert sorted(map(tuple, suffix_dedup.repeated_bytes(docs, chunk=50_000, bucket=2_000).collect())) == wanted
+
+
+def test_equal_runs_are_in_order_of_their_bytes():
+    rng = np.random.default_rng(7)
+    data = bytes(rng.integers(97, 99, 400, dtype=np.uint8)) + b"ab" * 60 + bytes(rng.integers(97, 99, 60, dtype=np.uint8))
+    data += data[100:300] + data[390:480]
+    starts = np.arange(len(data) - suffix_dedup.MATCH + 1)
+    text = np.frombuffer(data + bytes(16), np.uint8)
+    words = np.zeros(len(text) - 7, np.uint64)
+    for i in range(8):
+        words = (words << np.uint64(8)) | text[i : i + len(words)]
+    members, runs = suffix_dedup.equal_runs(words, starts)
+    keys = [data[i : i + suffix_dedup.MATCH] for i in members.tolist()]
+    counts = Counter(data[i : i + suffix_dedup.MATCH] for i in starts.tolist())
+    assert keys == sorted(keys) and Counter(keys) == {k: c for k, c in counts.items() if c > 1}
+    assert runs.tolist() == [i for i, k in enumerate(keys) if i == 0 or keys[i - 1] != k]
+
+
+def test_buckets_keep_equal_anchors_together():
+    texts = [bytes([97 + i % 5]) * 20 + b"x" * (30 + i) for i in range(20)]
+    found = suffix_dedup.buckets(texts, np.zeros(20, np.uint8), 120)
+    assert sorted(np.concatenate(found).tolist()) == list(range(20)) and len(found) == 5
+    assert all(len({texts[i][:20] for i in f.tolist()}) == 1 for f in found)
+
+
+def test_every_thins_across_batches():
+    batches = [pa.RecordBatch.from_pydict({"key": list(range(a, b))}) for a, b in ((0, 4), (4, 4), (4, 11))]
+    assert [k for b in suffix_dedup._every(3)(iter(batches)) for k in b.column("key").to_pylist()] == [0, 3, 6, 9]
+
+
 def test_repeated_bytes_of_the_table(spark, docs):
     assert sorted(map(tuple, suffix_dedup.repeated_bytes(docs, chunk=50_000).collect())) == sorted(repeats([(r.doc_id, r.text) for r in docs.collect()]))
 

@@ -7,13 +7,15 @@ it whose hash is smallest, leftmost on ties; equal strings have equal anchors at
 2. Each chunk sends its distinct anchor hashes with their numbers of documents, in ranges of the
    hash; the answer is one byte an anchor: in one document only, in several, or in very many.
 3. Suffixes whose anchor is in several documents are dealt into ranges of the anchor's leading bytes by
-   sampled splitters; equal keys never straddle a splitter, so no run of equal strings crosses a
-   boundary. Neighbouring suffixes of one anchor travel as one stretch of text, each distinct stretch
+   splitters sampled from the anchors so dealt, in numbers that grow with the input; equal keys never
+   straddle a splitter, so no run of equal strings crosses a boundary. Neighbouring suffixes of one anchor travel as one stretch of text, each distinct stretch
    of a chunk once, with its smallest doc_id. Suffixes of very frequent anchors travel singly, dealt
    by their whole first MATCH bytes, so a frequent line with ever other neighbours spreads out.
-4. In a range the suffixes are sorted by multikey quicksort, sixteen bytes being one character: only
-   runs of equal characters go on to the next. Runs that last MATCH bytes are equal strings; those whose
-   doc_id is not the smallest of the run are marked. The answer, a bit a suffix, returns to its chunk.
+4. A range is cut once more by its anchors into buckets of about ``BUCKET`` bytes, so that ranges may
+   outgrow it where the input has more than ``MAX_RANGES`` of them. In a bucket the suffixes are sorted
+   by multikey quicksort, eight bytes being one character: runs of equal characters go on to the next,
+   and those that hold one character only go on unsorted. Runs that last MATCH bytes are equal strings;
+   those whose doc_id is not the smallest of the run are marked. The answer, a bit a suffix, returns to its chunk.
 5. Each chunk covers the marked strings and reports its documents.
 
 Defined results: null text equals the empty text; rows that repeat a doc_id don't remove each other's
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxspark.llm.common import documents, materialize, new_path, partitions
+from voxspark.llm.common import discard, documents, materialize, new_path, partitions
 from voxspark.llm.shingles import mix
 
 MATCH = 50
@@ -41,7 +43,10 @@ CHUNK = 2_000_000
 STEP = 1 << 18
 FREQUENT = 4096
 RANGE_BYTES = 4_000_000
+MAX_RANGES = 1 << 20
+BUCKET = 8_000_000
 SAMPLED_CHUNKS = 64
+SAMPLED_KEYS = 256
 _U = np.uint64
 _TABLE = np.random.default_rng(4099).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0xC2B2AE3D27D4EB4F
@@ -116,8 +121,8 @@ def hash_ranges(hashes: np.ndarray, n: int) -> np.ndarray:
 class Selected:
     """A chunk's suffixes whose anchors are in several documents, dealt into ranges.
 
-    slots: distinct stretches (text, smallest document, range); uses: (slot, first start, last start,
-    document) of every occurrence.
+    slots: distinct stretches (text, smallest document, range, place of the anchor in the text); uses:
+    (slot, first start, last start, document) of every occurrence.
     """
 
     def __init__(self, s: Stretches, flags: np.ndarray, cuts: list[bytes], ranges: int):
@@ -128,22 +133,25 @@ class Selected:
         heads = np.array([s.data[p : p + K] for p in s.anchor[chosen].tolist()], dtype=f"S{K}")
         dealt = np.searchsorted(keys, heads, side="right").tolist() if len(chosen) else []
         slots: dict[bytes, int] = {}
-        self.owner, self.range, self.uses = [], [], []
+        self.owner, self.range, self.place, self.uses = [], [], [], []
 
-        def slot(text: bytes, doc: int, to: int) -> int:
+        def slot(text: bytes, doc: int, to: int, place: int) -> int:
             found = slots.setdefault(text, len(slots))
             if found == len(self.owner):  # documents come in order of their ids
                 self.owner.append(s.ids[doc])
                 self.range.append(to)
+                self.place.append(place)
             return found
 
-        for f, a, b, d, to in zip(flag[chosen].tolist(), s.first[chosen].tolist(), s.last[chosen].tolist(), s.doc[chosen].tolist(), dealt, strict=True):
+        columns = (c[chosen].tolist() for c in (s.anchor, s.first, s.last, s.doc))
+        for f, p, a, b, d, to in zip(flag[chosen].tolist(), *columns, dealt, strict=True):
             if f == 1:
-                self.uses.append((slot(s.data[a : b + MATCH], d, to), a, b, d))
+                self.uses.append((slot(s.data[a : b + MATCH], d, to, p - a), a, b, d))
             else:
                 for w in range(a, b + 1):
                     text = s.data[w : w + MATCH]
-                    self.uses.append((slot(text, d, int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "big") % ranges), w, w, d))
+                    to = int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "big") % ranges
+                    self.uses.append((slot(text, d, to, p - w), w, w, d))
         self.texts = [*slots]
         self.order = sorted(range(len(self.texts)), key=self.range.__getitem__)
 
@@ -159,34 +167,29 @@ class Selected:
 
 
 def equal_runs(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes that agree in MATCH bytes with another one, run by run, and where each run begins.
+    """Suffixes that agree in MATCH bytes with another one, in order of their bytes, and where each run of equals begins.
 
-    words[i]: the eight bytes at place i as a number. Multikey quicksort: sorted by the next characters
-    at a time, two words being one character, and only runs of equal characters go on.
+    words[i]: the eight bytes at place i as a number. Multikey quicksort, all runs of a depth at once: the
+    runs of equal characters go on to the next character, where only runs with several are sorted.
     """
-    active, run = np.arange(len(starts)), np.zeros(len(starts), _U)
-    for depth in range(0, MATCH, 16):
-        one, two = words[starts[active] + depth], words[np.minimum(starts[active] + depth + 8, len(words) - 1)]
-        if depth + 8 >= MATCH:
-            two = np.zeros(len(two), _U)
-            one = one >> _U(8 * max(0, depth + 8 - MATCH))
-        elif depth + 16 > MATCH:
-            two = two >> _U(8 * (depth + 16 - MATCH))
-        # one number for (run, one, two): sorted fast, and checked below
-        order = np.argsort(mix(mix(mix(run) + one) ^ two))
-        for exact in (False, True):
-            if exact:
-                order = np.lexsort((two, one, run))
-            a, k, l, r = active[order], one[order], two[order], run[order]
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (l[1:] != l[:-1]) | (r[1:] != r[:-1])])
-            if exact or new.sum() == 1 + (np.diff(mix(mix(mix(r) + k) ^ l)) != 0).sum():
-                break
-        number = np.cumsum(new)
-        several = np.bincount(number)[number] > 1
-        active, run = a[several], number[several].astype(_U)
+    active, run = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    new = np.arange(len(starts)) == 0
+    for depth in range(0, MATCH, 8):
         if not len(active):
             break
-    return active, np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(active) else np.empty(0, np.int64)
+        char = words[starts[active] + depth] >> _U(8 * max(0, depth + 8 - MATCH))
+        begin = np.flatnonzero(new)
+        unequal = np.maximum.reduceat(char, begin) != np.minimum.reduceat(char, begin)
+        several = np.flatnonzero(unequal[run])
+        if len(several):
+            order = several[np.argsort(char[several]) if len(begin) == 1 else np.lexsort((char[several], run[several]))]
+            active[several], char[several] = active[order], char[order]
+        new = np.concatenate([[True], (char[1:] != char[:-1]) | (run[1:] != run[:-1])])
+        run = np.cumsum(new) - 1
+        repeated = (np.bincount(run) > 1)[run]
+        active, new = active[repeated], new[repeated]
+        run = np.cumsum(new) - 1
+    return active, np.flatnonzero(new)
 
 
 def _chunk_rows(target: int):
@@ -273,8 +276,13 @@ def _send_suffixes(cuts: list[bytes], ranges: int):
                 rows = []
                 for to, slots in chosen.by_range():
                     texts = [chosen.texts[x] for x in slots]
-                    rows.append((r["chunk"], to, np.array([chosen.owner[x] for x in slots], np.int64).tobytes(), np.array([len(t) - MATCH + 1 for t in texts], np.uint8).tobytes(), b"".join(texts)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["chunk", "range", "docs", "counts", "texts"])
+                    docs = np.array([chosen.owner[x] for x in slots], np.int64)
+                    counts = np.array([len(t) - MATCH + 1 for t in texts], np.uint8)
+                    places = np.array([chosen.place[x] for x in slots], np.uint8)
+                    rows.append((r["chunk"], to, docs.tobytes(), counts.tobytes(), places.tobytes(), b"".join(texts)))
+                types = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+                columns = [pa.array([x[k] for x in rows], t) for k, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "range", "docs", "counts", "places", "texts"])
 
     return run
 
@@ -305,18 +313,40 @@ def mark_repeats(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return [parts[u] if d == owner[u] else np.ones(counts[u], bool) for u, d in zip(same.tolist(), docs.tolist(), strict=True)]
 
 
-def _judge_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for at, rows in _by_range(batches):
-        texts, docs, cuts = [], [], []
-        for r in rows:
-            place = 0
-            for n in np.frombuffer(r["counts"], np.uint8).tolist():
-                texts.append(r["texts"][place : place + n + MATCH - 1])
-                place += n + MATCH - 1
-            docs.append(np.frombuffer(r["docs"], np.int64))
-            cuts.append(len(texts))
-        marks = mark_repeats(texts, np.concatenate(docs))
-        yield _answers(at, [r["chunk"] for r in rows], [np.packbits(np.concatenate(marks[x:y])).tobytes() for x, y in zip([0, *cuts], cuts, strict=False)])
+def buckets(texts: list[bytes], places: np.ndarray, size: int) -> list[np.ndarray]:
+    """The stretches in buckets of about size bytes by their anchors; equal anchors share a bucket."""
+    total = sum(map(len, texts))
+    if total <= size:
+        return [np.arange(len(texts))]
+    heads = np.array([t[p : p + K] for t, p in zip(texts, places.tolist(), strict=True)], dtype=f"S{K}")
+    order = np.argsort(heads, kind="stable")
+    lengths = np.cumsum(np.array([len(t) for t in texts], np.int64)[order])
+    first = np.flatnonzero(np.concatenate([[True], heads[order][1:] != heads[order][:-1]]))
+    bucket = (lengths[first] - 1) // size
+    return np.split(order, first[np.flatnonzero(np.diff(bucket)) + 1])
+
+
+def _judge_suffixes(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, rows in _by_range(batches):
+            texts, docs, cuts = [], [], []
+            for r in rows:
+                place = 0
+                for n in np.frombuffer(r["counts"], np.uint8).tolist():
+                    texts.append(r["texts"][place : place + n + MATCH - 1])
+                    place += n + MATCH - 1
+                docs.append(np.frombuffer(r["docs"], np.int64))
+                cuts.append(len(texts))
+            owners = np.concatenate(docs)
+            places = np.concatenate([np.frombuffer(r["places"], np.uint8) for r in rows])
+            marks: list[np.ndarray | None] = [None] * len(texts)
+            for some in buckets(texts, places, size):
+                for i, m in zip(some.tolist(), mark_repeats([texts[i] for i in some.tolist()], owners[some]), strict=True):
+                    marks[i] = m
+            packed = [np.packbits(np.concatenate(marks[x:y])).tobytes() for x, y in zip([0, *cuts], cuts, strict=False)]
+            yield _answers(at, [r["chunk"] for r in rows], packed)
+
+    return run
 
 
 def removed_bytes(s: Stretches, chosen: Selected, answers: dict[int, bytes]) -> np.ndarray:
@@ -354,14 +384,43 @@ def _report(cuts: list[bytes], ranges: int):
 
 
 def _sample_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leading bytes of some anchors that are dealt by them."""
     for b in batches:
         for r in b.to_pylist():
-            s = Stretches(r["data"], r["sizes"], r["ids"])
-            few = np.argsort(s.hash)[:256]
+            s, flags = Stretches(r["data"], r["sizes"], r["ids"]), _joined(r["flags"] or [])
+            known = np.unique(s.hash)
+            dealt = np.flatnonzero(flags[np.searchsorted(known, s.hash)] == 1) if len(known) else np.empty(0, np.int64)
+            few = dealt[np.argsort(mix(s.hash[dealt]))[:SAMPLED_KEYS]]
             yield pa.RecordBatch.from_arrays([pa.array([r["data"][p : p + K] for p in s.anchor[few].tolist()], pa.binary())], ["key"])
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, frequent: int = FREQUENT) -> DataFrame:
+def _every(step: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for b in batches:
+            yield b.take(pa.array(range(-seen % step, b.num_rows, step), pa.int64()))
+            seen += b.num_rows
+
+    return run
+
+
+def splitters(flagged: DataFrame, chunks: int, ranges: int, n: int) -> list[bytes]:
+    """At most ranges - 1 keys between the ranges.
+
+    One chunk of SAMPLED_CHUNKS, and that many at least, gives SAMPLED_KEYS keys; they are sorted on the
+    cluster and thinned to about four a range, so that the driver sees at most 4 * MAX_RANGES of K bytes.
+    """
+    taken = max(SAMPLED_CHUNKS, chunks // SAMPLED_CHUNKS)
+    few = flagged.where(F.pmod(F.xxhash64("chunk"), F.lit(1 << 30)) < (1 << 30) * min(1.0, taken / max(1, chunks)))
+    keys = materialize(few.mapInArrow(_sample_keys, "key binary"), "splitters")
+    step = max(1, keys.count() // (4 * ranges))
+    thinned = keys.repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(_every(step), "key binary")
+    sample = sorted(bytes(r["key"]) for r in thinned.collect())
+    discard(keys)
+    return sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
+
+
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, frequent: int = FREQUENT, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     path = new_path(spark, "chunks")
@@ -370,14 +429,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, "chunk").saveAsTable(table)
     chunks = spark.table(table)
     size, count = chunks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)), F.count(F.lit(1))).first()
-    ranges = max(n, -(-size // RANGE_BYTES))
-    few = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(1 << 20)) < (1 << 20) * min(1.0, SAMPLED_CHUNKS / max(1, count)))
-    sample = sorted(r["key"] for r in few.mapInArrow(_sample_keys, "key binary").collect())
-    cuts = sorted({bytes(sample[i * len(sample) // ranges]) for i in range(1, ranges)}) if sample else []
+    ranges = max(n, min(MAX_RANGES, -(-size // RANGE_BYTES)))
     dealt = lambda df: df.repartitionById(n, F.pmod("range", F.lit(n)).cast("int")).sortWithinPartitions("range", "chunk")
     told = lambda df, name: df.groupBy("chunk").agg(F.collect_list(F.struct("range", "answer")).alias(name))
     flags = materialize(dealt(chunks.mapInArrow(_send_anchors(ranges), "chunk long, range int, hashes binary, counts binary")).mapInArrow(_judge_anchors(frequent), ANSWER), "anchors")
     flagged = chunks.join(told(flags, "flags"), "chunk", "left")
-    sent = flagged.mapInArrow(_send_suffixes(cuts, ranges), "chunk long, range int, docs binary, counts binary, texts binary")
-    marks = materialize(dealt(sent).mapInArrow(_judge_suffixes, ANSWER), "suffixes")
+    cuts = splitters(flagged, count, ranges, n)
+    sent = flagged.mapInArrow(_send_suffixes(cuts, ranges), "chunk long, range int, docs binary, counts binary, places binary, texts binary")
+    marks = materialize(dealt(sent).mapInArrow(_judge_suffixes(bucket), ANSWER), "suffixes")
     return flagged.join(told(marks, "marks"), "chunk", "left").mapInArrow(_report(cuts, ranges), RESULT)
