@@ -62,6 +62,19 @@ def test_sounds(spark):
     assert {r.t: r.k for r in df.collect()} == want
 
 
+def test_white_space_of_any_kind_at_the_ends(spark):
+    df = spark.createDataFrame([("[MUSIC]\n",), ("\t[blank_audio]\r\n",), ("\u00a0 \u3000",), ("\ufeffHello\u2028",), (None,)], "text string")
+    t = F.col("text")
+    got = [tuple(r) for r in df.select(X.is_bracketed_marker(t), X.is_blank_audio(t), X.classify_sound(t), X.trim(t)).collect()]
+    assert got == [
+        (True, False, "environmental", "[MUSIC]"),
+        (True, True, "blank", "[blank_audio]"),
+        (False, False, "blank", ""),
+        (False, False, "speech", "Hello"),
+        (False, False, "blank", None),
+    ]
+
+
 def test_split_markers(spark):
     def model(ws):
         out, i = [], 0

@@ -9,7 +9,7 @@ import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["E3_detect_phrases", "P6_categorize_phrase", "J5_align_overlap", "E6_merge_same_speaker", "C7_infer_conversation", "J3_pool_frames", "A6_silhouette", "T6_phrase_windows"]
+NAMES = ["E3_detect_phrases", "P1_is_bracketed_marker", "P4_is_blank_audio", "P5_classify_sound", "P6_categorize_phrase", "P7_strip_blank_markers", "P9_drop_unusable_phrases", "P18_build_segment", "A21_join_text", "H4_normalize_word", "H6_fuzzy_match", "J5_align_overlap", "E6_merge_same_speaker", "C7_infer_conversation", "J3_pool_frames", "A6_silhouette", "T6_phrase_windows"]
 
 
 def canon(v):

@@ -13,9 +13,20 @@ HUMAN_STEMS = [
 ]
 
 
+#: What counts as white space at the ends of a text.
+WHITE = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: The same as a DuckDB expression.
+WHITE_SQL = " || ".join(f"chr({ord(c)})" for c in WHITE)
+
+
+def trim(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def is_bracketed_marker(text: Column) -> Column:
     """The trimmed text is one [...] or (...) without a line break inside."""
-    return F.coalesce(F.trim(text).rlike(r"\A(?:\[[^\n\r]*\]|\([^\n\r]*\))\z"), F.lit(False))
+    return F.coalesce(trim(text).rlike(r"\A(?:\[[^\n\r]*\]|\([^\n\r]*\))\z"), F.lit(False))
 
 
 def is_human_voice(text: Column) -> Column:
@@ -28,26 +39,26 @@ def is_environmental(text: Column) -> Column:
 
 
 def is_blank_audio(text: Column) -> Column:
-    return F.coalesce(F.upper(F.trim(text)).startswith("[BLANK") | (F.upper(F.trim(text)) == "AUDIO]"), F.lit(False))
+    return F.coalesce(F.upper(trim(text)).startswith("[BLANK") | (F.upper(trim(text)) == "AUDIO]"), F.lit(False))
 
 
 def classify_sound(text: Column) -> Column:
     return (
-        F.when(F.coalesce(F.trim(text), F.lit("")) == "", "blank").when(is_blank_audio(text), "blank").when(~is_bracketed_marker(text), "speech")
+        F.when(F.coalesce(trim(text), F.lit("")) == "", "blank").when(is_blank_audio(text), "blank").when(~is_bracketed_marker(text), "speech")
         .when(is_human_voice(text), "human_voice").otherwise("environmental")
     )
 
 
 def categorize_phrase(texts: Column) -> Column:
     """blank, environmental or speech, from an array of word texts."""
-    filled = F.filter(texts, lambda t: F.coalesce(F.trim(t), F.lit("")) != "")
+    filled = F.filter(texts, lambda t: F.coalesce(trim(t), F.lit("")) != "")
     return (
         F.when(F.forall(filled, is_blank_audio), "blank").when(F.forall(filled, is_environmental), "environmental").otherwise("speech")
     )
 
 
 def strip_blank_markers(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?i)\[BLANK[_\s]*AUDIO\]", ""))
+    return trim(F.regexp_replace(text, r"(?i)\[BLANK[_\s]*AUDIO\]", ""))
 
 
 def is_effectively_empty(texts: Column) -> Column:
@@ -56,7 +67,7 @@ def is_effectively_empty(texts: Column) -> Column:
 
 
 def normalize_word(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-zA-Z0-9_\s]", ""))
+    return trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-zA-Z0-9_\s]", ""))
 
 
 def fuzzy_match(a: Column, b: Column) -> Column:

@@ -21,7 +21,7 @@ def detect_phrases(words: DataFrame, keys: list[str], gap: float = 0.2) -> DataF
 
 
 def join_text(words: Column, separator: str = "") -> Column:
-    return F.trim(F.array_join(F.transform(words, lambda w: w["text"]), separator))
+    return X.trim(F.array_join(F.transform(words, lambda w: w["text"]), separator))
 
 
 def map_words_to_segments(words: DataFrame, segments: DataFrame, keys: list[str], bucket: float = 15.0) -> DataFrame:

@@ -9,6 +9,7 @@ from voxspark.functions import text as X
 from voxspark.functions import vectors as V
 from voxspark.operators import overlap as O
 from voxspark.operators import phrases as P
+from voxspark.plans.q_text import NORM, TRIMMED
 from voxspark.plans.registry import query
 
 CHUNK = ["recording_id", "channel_id", "chunk_index"]
@@ -20,15 +21,15 @@ def _(t):
     return P.detect_phrases(t.words, CHUNK).drop("words").withColumns(R6("start", "end"))
 
 
-@query("A21_join_text", "SELECT recording_id, channel_id, chunk_index, phrase_id, trim(text) AS text FROM phrases")
+@query("A21_join_text", f"SELECT recording_id, channel_id, chunk_index, phrase_id, {TRIMMED} AS text FROM phrases")
 def _(t):
     return P.detect_phrases(t.words, CHUNK).select(*CHUNK, "phrase_id", P.join_text(F.col("words")).alias("text"))
 
 
 @query(
     "P9_drop_unusable_phrases",
-    r"""SELECT recording_id, chunk_index, phrase_id, n_words FROM (
-            SELECT recording_id, chunk_index, phrase_id, count(*) AS n_words, bool_or(trim(regexp_replace(text, '\[BLANK[_\s]*AUDIO\]', '', 'gi')) <> '') AS filled, min_by("start", pos) AS s, max_by("end", pos) AS e
+    rf"""SELECT recording_id, chunk_index, phrase_id, n_words FROM (
+            SELECT recording_id, chunk_index, phrase_id, count(*) AS n_words, bool_or(trim(regexp_replace(text, '\[BLANK[_\s]*AUDIO\]', '', 'gi'), {X.WHITE_SQL}) <> '') AS filled, min_by("start", pos) AS s, max_by("end", pos) AS e
             FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY recording_id, chunk_index ORDER BY pos) AS BIGINT) AS phrase_id
                   FROM (SELECT *, CASE WHEN "start" - lag("end") OVER (PARTITION BY recording_id, chunk_index ORDER BY pos) >= 0.05 AND pos % 17 IN (0, 1) THEN 1 WHEN "start" - lag("end") OVER (PARTITION BY recording_id, chunk_index ORDER BY pos) >= 0.2 THEN 1 ELSE 0 END AS n FROM marked_words)) GROUP BY ALL)
         WHERE filled AND e > s AND NOT (phrase_id = 0)""",
@@ -125,7 +126,6 @@ def _(t):
     return with_previous(t).select("recording_id", "chunk_index", F.when(F.col("prev_words").isNotNull(), F.size("prev_words")).cast("long").alias("n_previous"))
 
 
-NORM = r"trim(regexp_replace(lower(text), '[^a-zA-Z0-9_\s]', '', 'g'))"
 J5 = f"""
     WITH c AS (SELECT recording_id, chunk_index, any_value(overlap) AS overlap, list({NORM} ORDER BY pos) AS n, list(text ORDER BY pos) AS x, list("start" ORDER BY pos) AS s, list("end" ORDER BY pos) AS e FROM overlap_words GROUP BY ALL),
     p AS (SELECT *, lag(n) OVER w AS pn, lag(s) OVER w AS ps, lag(e) OVER w AS pe FROM c WINDOW w AS (PARTITION BY recording_id ORDER BY chunk_index)),

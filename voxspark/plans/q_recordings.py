@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxspark.functions import text as X
 from voxspark.plans.q_phrases import CHUNK
 from voxspark.plans.q_speakers import r6
+from voxspark.plans.q_text import TRIMMED
 from voxspark.plans.registry import query
 from voxspark.sources import recordings as R
 
@@ -187,7 +188,7 @@ def _(t):
 
 @query(
     "P18_build_segment",
-    """SELECT recording_id, chunk_index, phrase_id, round(o + "start", 6) AS start_time, round(o + "end", 6) AS end_time, trim(text) AS text, n_words FROM (SELECT *, 10.0 * chunk_index AS o FROM phrases)""",
+    f"""SELECT recording_id, chunk_index, phrase_id, round(o + "start", 6) AS start_time, round(o + "end", 6) AS end_time, {TRIMMED} AS text, n_words FROM (SELECT *, 10.0 * chunk_index AS o FROM phrases)""",
 )
 def _(t):
     from voxspark.operators.phrases import detect_phrases

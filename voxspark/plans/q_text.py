@@ -8,9 +8,11 @@ from voxspark.functions import text as X
 from voxspark.plans.registry import query
 
 STEMS = "|".join(X.HUMAN_STEMS)
-BRACKETED = r"regexp_full_match(trim(text), '\[[^\n\r]*\]|\([^\n\r]*\)')"
+TRIMMED = f"trim(text, {X.WHITE_SQL})"
+BRACKETED = rf"regexp_full_match({TRIMMED}, '\[[^\n\r]*\]|\([^\n\r]*\)')"
 HUMAN = f"regexp_matches(lower(text), '{STEMS}')"
-BLANK = "(starts_with(upper(trim(text)), '[BLANK') OR upper(trim(text)) = 'AUDIO]')"
+BLANK = f"(starts_with(upper({TRIMMED}), '[BLANK') OR upper({TRIMMED}) = 'AUDIO]')"
+NORM = rf"trim(regexp_replace(lower(text), '[^a-zA-Z0-9_\s]', '', 'g'), {X.WHITE_SQL})"
 ENV = f"({BRACKETED} AND NOT {HUMAN})"
 KEYS = ["recording_id", "chunk_index", "pos"]
 
@@ -23,8 +25,8 @@ _per_word("P1_is_bracketed_marker", X.is_bracketed_marker, BRACKETED)
 _per_word("P2_is_human_voice", X.is_human_voice, HUMAN)
 _per_word("P3_is_environmental", X.is_environmental, ENV)
 _per_word("P4_is_blank_audio", X.is_blank_audio, BLANK)
-_per_word("P5_classify_sound", X.classify_sound, f"CASE WHEN trim(text) = '' OR {BLANK} THEN 'blank' WHEN NOT {BRACKETED} THEN 'speech' WHEN {HUMAN} THEN 'human_voice' ELSE 'environmental' END")
-_per_word("H4_normalize_word", X.normalize_word, r"trim(regexp_replace(lower(text), '[^a-zA-Z0-9_\s]', '', 'g'))")
+_per_word("P5_classify_sound", X.classify_sound, f"CASE WHEN {TRIMMED} = '' OR {BLANK} THEN 'blank' WHEN NOT {BRACKETED} THEN 'speech' WHEN {HUMAN} THEN 'human_voice' ELSE 'environmental' END")
+_per_word("H4_normalize_word", X.normalize_word, NORM)
 
 
 @query(
@@ -39,7 +41,7 @@ def _(t):
 
 @query(
     "P7_strip_blank_markers",
-    r"""SELECT recording_id, chunk_index, trim(regexp_replace(string_agg(text, ' ' ORDER BY pos), '\[BLANK[_\s]*AUDIO\]', '', 'gi')) AS text FROM marked_words GROUP BY ALL""",
+    rf"""SELECT recording_id, chunk_index, trim(regexp_replace(string_agg(text, ' ' ORDER BY pos), '\[BLANK[_\s]*AUDIO\]', '', 'gi'), {X.WHITE_SQL}) AS text FROM marked_words GROUP BY ALL""",
 )
 def _(t):
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), " ")
@@ -55,7 +57,7 @@ def _(t):
     return rows.select("recording_id", "chunk_index", "part", X.is_effectively_empty(F.col("texts")).alias("is_empty"))
 
 
-PAIRED = "SELECT recording_id, chunk_index, pos, trim(regexp_replace(lower(text), '[^a-zA-Z0-9_\\s]', '', 'g')) AS a, lead(trim(regexp_replace(lower(text), '[^a-zA-Z0-9_\\s]', '', 'g'))) OVER (PARTITION BY recording_id, chunk_index ORDER BY pos) AS b FROM words"
+PAIRED = f"SELECT recording_id, chunk_index, pos, {NORM} AS a, lead({NORM}) OVER (PARTITION BY recording_id, chunk_index ORDER BY pos) AS b FROM words"
 FUZZY = "CASE WHEN a = '' OR b = '' THEN false ELSE contains(a, b) OR contains(b, a) OR 1 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE) >= 0.75 END"
 
 

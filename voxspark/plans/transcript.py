@@ -18,7 +18,7 @@ from voxspark.operators.speakers import assign_enrolled_only, score_candidates
 
 def join_split_markers(words: Column) -> Column:
     """A word that opens a bracket takes the following words up to the one that closes it; an unclosed one stays as it is."""
-    index = lambda w, i: F.struct(i.alias("i"), F.ltrim(w["text"]).startswith("[").alias("o"), F.rtrim(w["text"]).endswith("]").alias("c"))
+    index = lambda w, i: F.struct(i.alias("i"), X.trim(w["text"]).startswith("[").alias("o"), X.trim(w["text"]).endswith("]").alias("c"))
     marks = F.transform(words, index)
     closers = F.transform(F.filter(marks, lambda m: m["c"]), lambda m: m["i"])
 
@@ -95,7 +95,7 @@ def merge_transcript(phrases: DataFrame, roster: DataFrame, offset: Column, keys
     speech = held.withColumns({c: F.col(f"__own.{c}") for c in SPOKEN} | {"reason": F.when(F.col("__own").isNull(), "inherited").otherwise(F.col("__own.reason"))})
     speech = P.drop_unusable(speech.drop("__own").withColumn("words", F.filter("words", lambda w: ~X.is_blank_audio(w["text"]))))
     nobody = {c: F.lit(None).cast(kind) for c, kind in zip(SPOKEN, SPOKEN_TYPES, strict=True)}
-    filled = F.filter("words", lambda w: F.coalesce(F.trim(w["text"]), F.lit("")) != "")
+    filled = F.filter("words", lambda w: F.coalesce(X.trim(w["text"]), F.lit("")) != "")
     env = rows.where("kind = 'environmental'").withColumn("words", filled).where((F.size("words") > 0) & (F.col("end") != F.col("start"))).withColumns(nobody)
     out = build_segments(speech.unionByName(env), offset)
     if transcripts is None:
