@@ -9,7 +9,7 @@ import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["E3_detect_phrases", "P1_is_bracketed_marker", "P4_is_blank_audio", "P5_classify_sound", "P6_categorize_phrase", "P7_strip_blank_markers", "P9_drop_unusable_phrases", "P18_build_segment", "A21_join_text", "H4_normalize_word", "H6_fuzzy_match", "J5_align_overlap", "E6_merge_same_speaker", "C7_infer_conversation", "J3_pool_frames", "A6_silhouette", "T6_phrase_windows"]
+NAMES = ["E3_detect_phrases", "P1_is_bracketed_marker", "P4_is_blank_audio", "P5_classify_sound", "P6_categorize_phrase", "P7_strip_blank_markers", "P9_drop_unusable_phrases", "P18_build_segment", "A21_join_text", "H4_normalize_word", "H6_fuzzy_match", "J5_align_overlap", "E6_merge_same_speaker", "C7_infer_conversation", "C14_reapply_boosting", "C14_switch_enrollments", "J3_pool_frames", "A6_silhouette", "T6_phrase_windows"]
 
 
 def canon(v):
@@ -34,3 +34,11 @@ def test_same_rows(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_other_gates_and_rosters_change_labels(spark):
+    labels = lambda name: Counter(r.display_label for r in __spark_entry__.queries()[name](spark, SF).collect())
+    counts = {r.display_label: r.n for r in __spark_entry__.queries()["C14_reapply_boosting"](spark, SF).collect()}
+    assert counts != dict(labels("C7_infer_conversation"))
+    switched = __spark_entry__.queries()["C14_switch_enrollments"](spark, SF).collect()
+    assert "S0" in labels("C7_infer_conversation") and not any(r.display_label == "S0" for r in switched)

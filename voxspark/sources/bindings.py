@@ -156,3 +156,7 @@ SQL = {
                CASE WHEN similarity >= 0.2 AND margin < 0.02 THEN 'ambiguous_match' WHEN similarity >= 0.2 THEN 'confident_match' WHEN similarity < 0.1 THEN 'below_minimum_threshold' ELSE 'no_confident_match' END AS reason
         FROM (SELECT *, similarity - lead(similarity) OVER (PARTITION BY ord ORDER BY rank) AS margin FROM ranked) WHERE rank = 1""",
 }
+#: The same against another roster: without its first enrollment.
+SQL["other_roster"] = "SELECT * FROM roster WHERE enrollment_id <> 0"
+SQL["other_ranked"] = SQL["ranked"].replace("roster r", "other_roster r")
+SQL["other_assigned"] = SQL["assigned"].replace("FROM ranked", "FROM other_ranked")
