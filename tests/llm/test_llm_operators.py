@@ -2,6 +2,7 @@
 
 import array
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -163,6 +164,25 @@ def test_url_rules(spark):
     assert got[4][2] is None and got[5][2:] == ("net/", "block") and got[6][2] is None and got[7][2] == "net/" and got[8][3] == "allow"
 
 
+def test_url_rules_open_at_the_start_of_a_range(spark):
+    """One host fills most ranges, so its rules open ranges before them; against the rule as stated."""
+    rng = random.Random(5)
+    hosts = ["hot.example.net"] * 60 + ["example.net", "net", "a..net", ".net", "net.", "b.example.org", "org", "examplenet", ""]
+    urls = [f"https://{rng.choice(hosts)}/{rng.choice(['', 'en/', 'en/x', 'de/', 'fr'])}" for _ in range(600)] * 2 + [None]
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("hot.example.net", "/en/x", "block"), ("org", "/fr", "block"), ("net", "/", "block"), ("", "/", "block"), (None, None, None)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(df, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+
+    def judged(url):
+        host, _, path = (url or "://").split("://", 1)[1].partition("/")
+        path = "/" + path
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if host and fits else (None, "allow")
+
+    assert got == {i: judged(u) for i, u in enumerate(urls)}
+    assert url_rules.judge_urls(df.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -2,9 +2,10 @@
 
 A host is turned into a key of its reversed labels, each ended by a dot (``a.example.net`` ->
 ``net.example.a.``), so a rule's host covers exactly the keys that start with its own key: an
-interval. URLs are dealt into ranges by sampled splitters on (key, row hash), so one host with very
-many pages spreads over several ranges; a rule goes to every range that its interval touches. Each
-range is sorted and swept once with a stack of the active, nested rules.
+interval. URLs and rules are sorted into ranges of (key, kind, row hash) by Spark's range
+partitioning, so one host with very many pages spreads over several ranges. The rules open at the
+start of a range are those whose key is a prefix of the range's first key; a range's few prefixes
+find them in an equality join. Each range is swept once with a stack of the active, nested rules.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and matches no rule;
 repeated rows give repeated results; of matching rules the one with the longest host + path wins,
@@ -14,17 +15,13 @@ with an empty host matches nothing.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxspark.llm.common import partitions
-
-LAST = "\U0010ffff"
-SAMPLED_PER_RANGE = 64
+from voxspark.llm.common import materialize, partitions
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -61,30 +58,35 @@ def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.assign(rule=pd.Series(rules, out.index, dtype=object), verdict=pd.Series(verdicts, out.index, dtype=object))
 
 
+def prefixes(key: Column) -> Column:
+    """All keys that cover a key: its first label, its first two, up to itself."""
+    parts = F.split(key, r"\.")  # the last, after the closing dot, is empty
+    upto = lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "."), F.lit("."))
+    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), upto)
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict) for each page. rules: host, path, verdict."""
-    spark, n = pages.sparkSession, partitions(pages.sparkSession)
+    n = partitions(pages.sparkSession)
     host, path = split_url(pages[url_col].cast("string"))
     urls = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"))
-    urls = urls.withColumns({"key": host_key(F.col("host")), "tie": F.xxhash64("page_id", "host", "path")})
-    sample = sorted((r["key"], r["tie"]) for r in urls.select("key", "tie").orderBy(F.xxhash64("tie")).limit(SAMPLED_PER_RANGE * n).collect())
-    cuts = sorted({sample[i * len(sample) // n] for i in range(1, n)} if sample else set())
-
-    @F.pandas_udf("int")
-    def range_of(key: pd.Series, tie: pd.Series) -> pd.Series:
-        return pd.Series([bisect_right(cuts, x) for x in zip(key, tie, strict=True)], dtype="int32")
-
-    @F.pandas_udf("array<int>")
-    def ranges_of(key: pd.Series) -> pd.Series:
-        return pd.Series([[*range(bisect_left(cuts, (k,)), bisect_right(cuts, (k + LAST,)) + 1)] for k in key], dtype=object)
-
+    id_type, none = urls.schema["page_id"].dataType, F.lit(None).cast("string")
+    rows = urls.select(
+        F.lit(1).alias("kind"), host_key(F.col("host")).alias("key"), F.xxhash64("page_id", "host", "path").alias("tie"),
+        "page_id", "host", "path", none.alias("rule"), none.alias("verdict"),
+    )
     part = lambda c: F.coalesce(rules[c].cast("string"), F.lit(""))
-    opened = rules.select(part("host").alias("host"), part("path").alias("path"), part("verdict").alias("verdict")).where("host <> ''").distinct()
-    opened = opened.withColumn("key", host_key(F.col("host"))).select(
-        F.explode(ranges_of("key")).alias("bucket"), F.lit(0).alias("kind"), "key", F.lit(None).cast(urls.schema["page_id"].dataType).alias("page_id"), "host", "path", F.concat("host", "path").alias("rule"), "verdict"
-    )
-    rows = urls.select(range_of("key", "tie").alias("bucket"), F.lit(1).alias("kind"), "key", "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
-    dealt = opened.unionByName(rows).repartitionByRange(n, "bucket").sortWithinPartitions("bucket", "key", "kind")
-    id_type = urls.schema["page_id"].dataType.simpleString()
-    found = dealt.mapInPandas(sweep, f"page_id {id_type}, host string, path string, rule string, verdict string")
+    parts = rules.select(part("host").alias("host"), part("path").alias("path"), part("verdict").alias("verdict"))
+    opened = parts.where("host <> ''").distinct().select(
+        F.lit(0).alias("kind"), host_key(F.col("host")).alias("key"), F.xxhash64("host", "path", "verdict").alias("tie"),
+        F.lit(None).cast(id_type).alias("page_id"), "host", "path", F.concat("host", "path").alias("rule"), "verdict",
+    )
+    dealt = opened.unionByName(rows).repartitionByRange(n, "key", "kind", "tie").withColumn("bucket", F.spark_partition_id())
+    dealt = materialize(dealt, "ranges")
+    begun = dealt.groupBy("bucket").agg(F.min("key").alias("first")).where("first <> ''")
+    begun = begun.select("bucket", F.explode(prefixes(F.col("first"))).alias("key"))
+    carried = opened.join(begun, "key").select(dealt.columns)
+    swept = dealt.unionByName(carried).repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int"))
+    ordered = swept.sortWithinPartitions("bucket", "key", "kind").drop("tie")
+    found = ordered.mapInPandas(sweep, f"page_id {id_type.simpleString()}, host string, path string, rule string, verdict string")
     return found.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
