@@ -3,7 +3,8 @@
 A frequent-items sketch (the Misra-Gries family, ``approx_top_k``) names digests that may be
 frequent. Their exact counts and winners are verified in a second aggregation, which is at most
 ``counters`` rows, and broadcast, so the rows of frequent digests never shuffle. All other digests
-have fewer rows than rows / counters and go through an ordinary shuffle.
+have fewer rows than rows / counters and go through an ordinary shuffle: their winners come from
+partial aggregates and meet the rows in a join, so no group is ever held.
 
 Defined results: null text equals the empty text; empty texts are copies of each other; rows that
 repeat a doc_id count as rows of their group, and all rows of the winning doc_id are kept; a group
@@ -13,7 +14,7 @@ result; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxspark.llm.common import documents, materialize
@@ -29,10 +30,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     winners = base.join(F.broadcast(suspects), "digest", "left_semi").groupBy("digest").agg(*stats).where("group_size > 1")
     winners = materialize(winners.coalesce(1), "winners")
     heavy = base.join(F.broadcast(winners), "digest")
-    same = Window.partitionBy("digest")
-    rest = base.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
-        "digest", "doc_id", F.max("doc_id").over(same).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size")
-    )
+    rest = base.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    rest = rest.join(rest.groupBy("digest").agg(*stats), "digest").select("digest", "doc_id", "keep_id", "group_size")
     return heavy.select(rest.columns).unionByName(rest).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
     )
