@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxspark.functions import vectors as V
+from voxspark.operators.beside import beside
 from voxspark.operators.speakers import enrollment_pairs
 
 
@@ -27,10 +28,7 @@ def silhouette(samples: DataFrame, keys: list[str], cluster: str) -> DataFrame:
     unit = samples.withColumn("__u", V.l2_normalize(F.col("embedding")))
     mean = V.mean_vector(unit, [*keys, cluster], "__u", "__m").join(unit.groupBy(*keys, cluster).agg(F.count(F.lit(1)).alias("__n")), [*keys, cluster])
     lists = mean.groupBy(*keys).agg(F.collect_list(F.struct(F.col(cluster).alias("c"), F.col("__m").alias("m"), F.col("__n").alias("n"))).alias("__all"))
-    k = keys or ["__k"]
-    if not keys:
-        unit, lists = unit.withColumn("__k", F.lit(0)), lists.withColumn("__k", F.lit(0))
-    rows = unit.join(lists, k)
+    rows = unit.join(lists, keys) if keys else beside(unit, mean, lists)
     own = F.get(F.filter("__all", lambda s: s["c"] == F.col(cluster)), F.lit(0))
     distance = lambda s: 1 - V.dot(F.col("__u"), s["m"])
     others = F.filter("__all", lambda s: s["c"] != F.col(cluster))
@@ -39,7 +37,7 @@ def silhouette(samples: DataFrame, keys: list[str], cluster: str) -> DataFrame:
     high = F.greatest(a, b)
     value = F.when(high > 0, (b - a) / high).otherwise(0.0)
     enough = (F.size("__all") > 1)
-    return rows.select(*k, F.when(enough, value).alias("__s")).groupBy(*k).agg(F.when(F.count(F.lit(1)) >= 2, F.avg("__s")).alias("silhouette")).select(*keys, "silhouette")
+    return rows.select(*keys, F.when(enough, value).alias("__s")).groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= 2, F.avg("__s")).alias("silhouette")).select(*keys, "silhouette")
 
 
 def simplified_silhouette(roster: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxspark.config import Clustering
 from voxspark.functions import vectors as V
+from voxspark.operators.beside import beside
 
 
 def score_candidates(phrases: DataFrame, roster: DataFrame, key: str | None = None, vector: str = "embedding") -> DataFrame:
@@ -15,15 +16,14 @@ def score_candidates(phrases: DataFrame, roster: DataFrame, key: str | None = No
     roster: idx, name, centroid (and the key). A key's roster is one row with one array, so phrases meet
     it in an equality join and never multiply.
     """
-    k = key or "__roster"
-    if key is None:
-        roster, phrases = roster.withColumn(k, F.lit(0)), phrases.withColumn(k, F.lit(0))
-    lists = roster.groupBy(k).agg(F.array_sort(F.collect_list(F.struct("idx", "name", V.l2_normalize(F.col("centroid")).alias("c")))).alias("__list"))
-    scored = phrases.join(lists, k, "left").withColumn("__v", V.l2_normalize(F.col(vector)))
+    speaker = F.struct("idx", "name", V.l2_normalize(F.col("centroid")).alias("c"))
+    lists = roster.groupBy(*([key] if key else [])).agg(F.array_sort(F.collect_list(speaker)).alias("__list"))
+    scored = phrases.join(lists, key, "left") if key else beside(phrases, roster, lists)
+    scored = scored.withColumn("__v", V.l2_normalize(F.col(vector)))
     one = lambda s: F.struct((-F.when(F.col("__v").isNotNull() & (F.size("__v") == F.size(s["c"])), V.dot(F.col("__v"), s["c"])).otherwise(0.0)).alias("minus"), s["idx"].alias("idx"), s["name"].alias("name"))
     ordered = F.array_sort(F.transform("__list", one))
     plain = F.transform(ordered, lambda c: F.struct(c["idx"].alias("idx"), c["name"].alias("name"), (-c["minus"]).alias("similarity")))
-    return scored.withColumn("candidates", F.coalesce(plain, F.array().cast("array<struct<idx:int,name:string,similarity:double>>"))).drop("__list", "__v", *([k] if key is None else []))
+    return scored.withColumn("candidates", F.coalesce(plain, F.array().cast("array<struct<idx:int,name:string,similarity:double>>"))).drop("__list", "__v")
 
 
 def nth(candidates: Column, n: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voxspark.config import Clustering, Inference, Overlap
 from voxspark.operators import inference as I
+from voxspark.operators.beside import beside
 from voxspark.operators.overlap import align_overlap, previous_chunk, single_word_dedup
 from voxspark.operators.phrases import absorb_short_phrases, detect_phrases, filter_segments, group_by_speaker_run, map_words_to_segments
 from voxspark.operators.speakers import assign_enrolled_only, score_candidates
@@ -54,8 +55,8 @@ def segment(words: DataFrame, keys: list[str], method: str = "text-gap", acousti
 
 def job_grid(recordings: DataFrame, settings: DataFrame) -> DataFrame:
     """Each recording under each setting: settings are one array of at most a few rows, exploded beside each recording."""
-    listed = settings.select(F.lit(0).alias("__k"), F.struct(*settings.columns).alias("s")).groupBy("__k").agg(F.sort_array(F.collect_list("s")).alias("__all"))
-    return recordings.withColumn("__k", F.lit(0)).join(listed, "__k").withColumn("settings", F.explode("__all")).drop("__k", "__all")
+    listed = settings.agg(F.sort_array(F.collect_list(F.struct(*settings.columns))).alias("__all"))
+    return beside(recordings, settings, listed).withColumn("settings", F.explode("__all")).drop("__all")
 
 
 def process_quick(segments: DataFrame, roster: DataFrame, clustering: Clustering = Clustering(), inference: Inference = Inference()) -> DataFrame:
