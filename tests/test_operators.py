@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from voxspark.config import Clustering, Overlap, UnknownClustering
 from voxspark.functions import text as X
 from voxspark.functions import vectors as V
+from voxspark.operators import beside as B
 from voxspark.operators import clustering as C
+from voxspark.operators import metrics as M
 from voxspark.operators import overlap as O
 from voxspark.operators import phrases as P
 from voxspark.plans.transcript import join_split_markers
@@ -136,3 +138,82 @@ def test_online_clusterer(spark):
     unknown = spark.createDataFrame([(1, i, -1, voice(s)) for i, s in enumerate((1, 1, 5, 9))], "recording_id long, segment_index int, speaker_id int, embedding array<double>")
     ids = [r.unknown_id for r in C.cluster_unknowns(unknown, ["recording_id"], ["segment_index"], UnknownClustering()).orderBy("segment_index").collect()]
     assert ids == [-100, -100, -101, -102]
+
+
+def fold(rows, config, start=None, at=None, to=None):
+    """The clusterer in plain loops: centroids as (vector, count); speakers from `start` on anew, or a correction at `at`."""
+    unit = lambda v: v / np.linalg.norm(v)
+    centroids, out = [], []
+
+    def blend(i, v, sign):
+        c, n = centroids[i]
+        if sign > 0 or n > 1:
+            centroids[i] = (unit(c * n + sign * v), n + sign)
+
+    def assign(v):
+        s = [float(c @ v) for c, _ in centroids]
+        order = sorted(range(len(s)), key=lambda i: -s[i])
+        if s and s[order[0]] >= config.similarity:
+            if len(s) > 1 and s[order[0]] - s[order[1]] < config.margin:
+                return -1
+            blend(order[0], v, 1)
+            return order[0]
+        if len(s) < config.num_speakers:
+            centroids.append((v, 1))
+            return len(s)
+        return -1
+
+    for i, (old, env, v) in enumerate(rows):
+        if v is None or (start is not None and env):
+            out.append(old)
+            continue
+        v = unit(np.array(v))
+        new = assign(v)
+        if i == at:
+            if 0 <= old < len(centroids) and old != to:
+                blend(old, v, -1)
+            if to < len(centroids) and old != to:
+                blend(to, v, 1)
+            out.append(to)
+        else:
+            out.append(old if i < (at if start is None else start) else new)
+    return out
+
+
+def test_recluster_and_reassign_against_a_sequential_model(spark):
+    rng = np.random.default_rng(3)
+    voices, config, data, rows = rng.normal(size=(4, 8)), Clustering(0.6, 0.4, 0.1, 3), {}, []
+    for k in range(12):
+        said = [None if rng.random() < 0.1 else (voices[rng.integers(4)] + 0.5 * rng.normal(size=8)).tolist() for _ in range(15)]
+        olds = fold([(0, False, v) for v in said], config, at=-1)
+        data[k] = [(o, bool(rng.random() < 0.2), v) for o, v in zip(olds, said, strict=True)]
+        rows += [(k, i, o, e, v) for i, (o, e, v) in enumerate(data[k])]
+    df = spark.createDataFrame(rows, "recording_id int, segment_index int, speaker_id int, is_environmental boolean, embedding array<double>")
+    other = Clustering(0.4, 0.2, 0.0, 4)
+    got = C.recluster_from(df.withColumn("from_index", F.lit(5)), ["recording_id"], ["segment_index"], other).orderBy("recording_id", "segment_index").collect()
+    assert [r.new_speaker_id for r in got] == [s for k in data for s in fold(data[k], other, start=5)]
+    fixes = spark.createDataFrame([(k, 4, 1) for k in data if k != 11], "recording_id int, segment_index int, to_speaker int")
+    got = C.reassign_segment(df.drop("is_environmental"), fixes, ["recording_id"], ["segment_index"], config).orderBy("recording_id", "segment_index").collect()
+    want = [s for k in data for s in ([o for o, _, _ in data[k]] if k == 11 else fold(data[k], config, at=4, to=1))]
+    assert [r.new_speaker_id for r in got] == want
+
+
+def test_pca_against_eigenvectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5)) * np.array([9.0, 4.0, 1.0, 0.5, 0.1]) + 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(300, None)], "i int, embedding array<double>")
+    got = sorted((r.i, r.x, r.y) for r in M.pca_2d(df, "i").collect())
+    centred = x - x.mean(axis=0)
+    _, axes = np.linalg.eigh(centred.T @ centred)
+    want = centred @ axes[:, [-1, -2]]
+    assert [r[0] for r in got] == list(range(300))
+    assert np.allclose(np.abs([r[1:] for r in got]), np.abs(want), atol=1e-6)
+
+
+@pytest.mark.parametrize("bound", [10, 0])
+def test_one_row_beside_all(spark, monkeypatch, bound):
+    monkeypatch.setattr(B, "BROADCAST_ITEMS", bound)
+    listed = spark.createDataFrame([(i,) for i in range(3)], "v int")
+    one = listed.agg(F.sort_array(F.collect_list("v")).alias("all"))
+    got = B.beside(spark.range(50).repartition(7), listed, one).collect()
+    assert sorted((r.id, tuple(r.all)) for r in got) == [(i, (0, 1, 2)) for i in range(50)]

@@ -16,7 +16,7 @@ def chunks(t):
 
 CH = "(SELECT clip, frame AS chunk_index, [feat[3] * 8, feat[4] * 8] AS audio FROM frames)"
 AUDIO = f"(SELECT clip, flatten(list(audio ORDER BY chunk_index)) AS audio FROM {CH} GROUP BY clip)"
-SAMPLES = "(SELECT (clip % 100) AS clip, row_number() OVER (PARTITION BY clip % 100 ORDER BY clip, frame) - 1 AS i, feat[3] / 2 AS x FROM frames)"
+SAMPLES = "(SELECT (clip // 150) AS clip, row_number() OVER (PARTITION BY clip // 150 ORDER BY clip, frame) - 1 AS i, feat[3] / 2 AS x FROM frames)"
 
 
 def audio(t):
@@ -59,8 +59,8 @@ SPEECH = f"(SELECT clip, count(*) FILTER (WHERE n = 64 AND level > 0.03) * 64 /
 def samples(t):
     from pyspark.sql import Window
 
-    order = Window.partitionBy(F.col("clip") % 100).orderBy("clip", "frame")
-    return t.frames.select((F.col("clip") % 100).alias("group"), (F.row_number().over(order) - 1).alias("i"), (F.element_at("feat", 3) / 2).alias("x")).withColumnRenamed("group", "clip")
+    order = Window.partitionBy(F.floor(F.col("clip") / 150)).orderBy("clip", "frame")
+    return t.frames.select((F.floor(F.col("clip") / 150)).alias("group"), (F.row_number().over(order) - 1).alias("i"), (F.element_at("feat", 3) / 2).alias("x")).withColumnRenamed("group", "clip")
 
 
 @query("A18_speech_content", f"SELECT clip, round(s, 6) AS speech_seconds, round(total, 6) AS total_seconds, round(s / total, 6) AS speech_ratio FROM {SPEECH}")
@@ -113,7 +113,7 @@ def _(t):
 
 @query(
     "T2_speech_segments",
-    """WITH f AS (SELECT clip % 100 AS grp, row_number() OVER (PARTITION BY clip % 100 ORDER BY clip, frame) - 1 AS frame, feat[3] * 10 AS p FROM frames),
+    """WITH f AS (SELECT clip // 150 AS grp, row_number() OVER (PARTITION BY clip // 150 ORDER BY clip, frame) - 1 AS frame, feat[3] * 10 AS p FROM frames),
        l AS (SELECT *, coalesce(max(CASE WHEN p >= 0.35 THEN frame END) OVER (PARTITION BY grp ORDER BY frame), -1) AS loud FROM f),
        e AS (SELECT *, coalesce(last_value(CASE WHEN p >= 0.5 THEN 1 WHEN frame - loud >= 3 THEN 0 END IGNORE NULLS) OVER (PARTITION BY grp ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS st FROM l),
        n AS (SELECT *, CASE WHEN st = 1 AND coalesce(lag(st) OVER (PARTITION BY grp ORDER BY frame), 0) = 0 THEN 1 ELSE 0 END AS b FROM e),
@@ -121,7 +121,7 @@ def _(t):
        SELECT grp AS "group", segment_index, round(CAST(greatest(0, min(frame) * 0.1 - 0.15) AS DOUBLE), 6) AS "start", round(CAST((max(frame) + 1) * 0.1 AS DOUBLE), 6) AS "end" FROM s WHERE st = 1 GROUP BY grp, segment_index HAVING (max(frame) + 1 - min(frame)) * 0.1 >= 0.3""",
 )
 def _(t):
-    p = t.frames.select((F.col("clip") % 100).alias("group"), "clip", "frame", (F.element_at("feat", 3) * 10).alias("p"))
+    p = t.frames.select((F.floor(F.col("clip") / 150)).alias("group"), "clip", "frame", (F.element_at("feat", 3) * 10).alias("p"))
     from pyspark.sql import Window
 
     rows = p.select("group", (F.row_number().over(Window.partitionBy("group").orderBy("clip", "frame")) - 1).alias("frame"), "p")

@@ -130,7 +130,7 @@ def _(t):
 def _(t):
     words = t.marked_words.withColumn("text", F.concat(F.lit(" "), F.col("text")))
     phrases = detect_phrases(words, CHUNK)
-    number = F.pmod(F.xxhash64(*CHUNK, "phrase_id"), F.lit(500)).alias("v")
+    number = F.pmod(F.xxhash64(*CHUNK, "phrase_id"), F.lit(t.n_voices)).alias("v")
     vectors = t.voices.select(F.col("ord").alias("v"), "embedding")
     rows = phrases.select("*", number).join(vectors, "v", "left").withColumn("embedding", F.when(F.col("phrase_id") % 4 != 3, F.col("embedding")))
     said = words.groupBy(*CHUNK).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda w: w["text"]), "").alias("text"), F.max_by("end", "pos").alias("end"))
@@ -143,7 +143,7 @@ def _(t):
     chunks = t.overlap_chunks.withColumn("words", F.transform("words", lambda w: w.withField("text", F.concat(F.lit(" "), w["text"]))))
 
     def voiced(phrases):
-        number = F.pmod(F.xxhash64("recording_id", "chunk_index", "phrase_id"), F.lit(500)).alias("v")
+        number = F.pmod(F.xxhash64("recording_id", "chunk_index", "phrase_id"), F.lit(t.n_voices)).alias("v")
         vectors = t.voices.select(F.col("ord").alias("v"), "embedding")
         return phrases.select("*", number).join(vectors, "v", "left").withColumn("embedding", F.when(F.col("phrase_id") % 4 != 3, F.col("embedding"))).drop("v")
 
@@ -176,7 +176,7 @@ def _(t):
 def _(t):
     schema = t.table("embeddings").schema
     rows = L.chunk_stream(t.spark, f"{t.sf_dir}/embedding[s].parquet", schema)
-    phrases = rows.select((F.col("vec_id") % 20).alias("recording_id"), (F.col("label") % 2).alias("channel_id"), F.col("vec_id").alias("ord"), F.lit(10.0).alias("duration"), F.when(F.col("vec_id") < 20, 0.0).otherwise(1.5).alias("overlap"), (F.col("vec_id") % 97 == 0).alias("is_final"), F.lit(0.5).alias("start"), F.col("embedding").cast("array<double>").alias("embedding"))
+    phrases = rows.select(F.floor(F.col("vec_id") / 25).alias("recording_id"), (F.col("label") % 2).alias("channel_id"), F.col("vec_id").alias("ord"), F.lit(10.0).alias("duration"), F.when(F.col("vec_id") % 25 == 0, 0.0).otherwise(1.5).alias("overlap"), (F.col("vec_id") % 97 == 0).alias("is_final"), F.lit(0.5).alias("start"), F.col("embedding").cast("array<double>").alias("embedding"))
     out = L.live_transcript(phrases, ONLINE)
     return L.run_available(out, folder(t.spark, "live"), folder(t.spark, "state"), "append").withColumn("start_time", r6("start_time"))
 
@@ -188,3 +188,50 @@ def _(t):
     query = L.log_stream(logs, path, folder(t.spark, "state")).trigger(availableNow=True).start()
     query.awaitTermination()
     return t.spark.read.parquet(path).groupBy("session_id", "type").agg(F.count(F.lit(1)).alias("n")).withColumn("session_id", F.col("session_id").cast("long"))
+
+
+#: The table's events as chunks of channels, in seconds of wall time; the same in SQL.
+WALL = "epoch_us(ts) / 1e6"
+
+
+def event_chunks(t):
+    wall = (F.unix_micros("at") / 1e6).alias("wall_time")
+    return event_stream(t).select(F.col("user_id").alias("recording_id"), F.col("event_type").alias("channel_id"), F.col("event_id").alias("chunk_id"), wall)
+
+
+@query("S15_chunk_stream", f"SELECT user_id AS recording_id, event_type AS channel_id, event_id AS chunk_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY {WALL}, event_id) - 1 AS arrival FROM events")
+def _(t):
+    got = L.run_available(event_chunks(t), folder(t.spark, "chunks"), folder(t.spark, "state"), "append")
+    order = Window.partitionBy("recording_id", "channel_id").orderBy("wall_time", "chunk_id")
+    return got.select("recording_id", "channel_id", "chunk_id", (F.row_number().over(order) - 1).cast("long").alias("arrival"))
+
+
+@query("T1_ordered_chunks", f"SELECT user_id AS recording_id, event_type AS channel_id, event_id AS chunk_id, row_number() OVER (PARTITION BY user_id ORDER BY {WALL}, event_id) - 1 AS sequence, false AS is_late FROM events")
+def _(t):
+    out = L.ordered_chunks(event_chunks(t))
+    return L.run_available(out, folder(t.spark, "ordered"), folder(t.spark, "state"), "append").drop("wall_time")
+
+
+KINDS = {"signup": "start", "click": "speech", "view": "pause", "error": "stop", "purchase": "enroll"}
+LIFE = "PARTITION BY recording_id, channel_id ORDER BY wall, event_id"
+
+
+@query(
+    "T8_session_lifecycle",
+    f"""WITH e AS (SELECT user_id AS recording_id, CAST(event_id % 2 AS INTEGER) AS own, event_id, {WALL} AS wall, event_type AS kind, value FROM events),
+       c AS (SELECT e.*, channel_id FROM e, (SELECT 0 AS channel_id UNION ALL SELECT 1) WHERE kind IN ('signup', 'error', 'purchase') OR own = channel_id),
+       s AS (SELECT *, coalesce(sum(CAST(kind = 'signup' AS INTEGER)) OVER up, 0) AS session, sum(CAST(kind = 'purchase' AS INTEGER)) OVER up AS n_enrolled,
+                    last_value(CASE WHEN kind IN ('signup', 'error') THEN kind END IGNORE NULLS) OVER ({LIFE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state
+             FROM c WINDOW up AS ({LIFE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+       p AS (SELECT *, coalesce(sum(CAST(kind IN ('view', 'error') AS INTEGER)) OVER (PARTITION BY recording_id, channel_id, session ORDER BY wall, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part
+             FROM s WHERE state = 'signup' AND kind <> 'signup'),
+       g AS (SELECT recording_id, session, channel_id, part, max(event_id) FILTER (WHERE kind IN ('view', 'error')) AS last_event, max(wall) FILTER (WHERE kind IN ('view', 'error')) AS wall, sum(value) FILTER (WHERE kind = 'click') AS seconds,
+                    bool_or(kind = 'error') AS is_final, max(n_enrolled) AS n_enrolled FROM p GROUP BY ALL)
+       SELECT recording_id, CAST(session AS BIGINT) AS session, channel_id, last_event, round(seconds, 6) AS seconds, is_final, row_number() OVER (PARTITION BY recording_id, session, channel_id ORDER BY part) > 1 AS follows, CAST(n_enrolled AS BIGINT) AS n_enrolled
+       FROM g WHERE last_event IS NOT NULL AND seconds IS NOT NULL""",
+)
+def _(t):
+    kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("event_type")]
+    rows = event_stream(t).select(F.col("user_id").alias("recording_id"), (F.col("event_id") % 2).cast("int").alias("channel_id"), "event_id", (F.unix_micros("at") / 1e6).alias("wall_time"), kind.alias("kind"), F.col("value").alias("seconds"))
+    out = L.session_lifecycle(rows)
+    return L.run_available(out, folder(t.spark, "sessions"), folder(t.spark, "state"), "append").withColumn("seconds", r6("seconds"))

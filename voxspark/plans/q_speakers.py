@@ -16,7 +16,7 @@ from voxspark.plans.registry import query
 SCALED = Clustering(similarity=0.2, minimum=0.1, margin=0.02)
 r6 = lambda c: F.round(c, 6)
 v6 = lambda c: F.transform(c, lambda x: F.round(x, 6))
-NEXT = "SELECT v.ord, v.recording_id, v.embedding AS a, n.embedding AS b FROM voices v JOIN voices n ON n.recording_id = v.recording_id AND n.ord = v.ord + 20"
+NEXT = "SELECT * FROM (SELECT ord, recording_id, embedding AS a, lead(embedding) OVER (PARTITION BY recording_id ORDER BY ord) AS b FROM voices) WHERE b IS NOT NULL"
 
 
 def neighbours(t):

@@ -51,7 +51,12 @@ class Tables:
     @cached_property
     def voices(self) -> DataFrame:
         e = self.table("embeddings")
-        return e.select((F.col("vec_id") % 20).alias("recording_id"), F.col("vec_id").alias("ord"), F.col("label"), V.doubles(F.col("embedding")).alias("embedding"))
+        return e.select(F.floor(F.col("vec_id") / 25).alias("recording_id"), F.col("vec_id").alias("ord"), F.col("label"), V.doubles(F.col("embedding")).alias("embedding"))
+
+    @cached_property
+    def n_voices(self) -> int:
+        """How many voices there are, 1 at least; from the file's own counts."""
+        return max(1, self.table("embeddings").count())
 
     @cached_property
     def samples(self) -> DataFrame:
@@ -71,7 +76,7 @@ class Tables:
         begin = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
         return e.select(
             F.col("user_id").alias("recording_id"), (F.row_number().over(order) - 1).alias("segment_index"), F.round(begin, 3).alias("start"), (F.round(begin, 3) + 60 * F.col("value")).alias("end"),
-            F.col("event_type").alias("speaker"), (F.col("value") / 500).alias("confidence"), (F.col("event_id") % 500).alias("vec_id"), "event_id",
+            F.col("event_type").alias("speaker"), (F.col("value") / 500).alias("confidence"), (F.col("event_id") % self.n_voices).alias("vec_id"), "event_id",
         )
 
     @cached_property
@@ -118,7 +123,7 @@ SQL = {
               FROM (SELECT recording_id, k AS chunk_index, t, CASE WHEN k = 0 THEN 0 ELSE 10 * k - 3 END AS f, CASE WHEN k = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(1.5 AS DOUBLE) END AS overlap
                     FROM (SELECT recording_id, t, unnest(range(0, 1 + CAST(greatest(0, ceil((len(t) - 10) / 10)) AS BIGINT))) AS k
                           FROM (SELECT doc_id AS recording_id, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '') AS t FROM documents) WHERE len(t) > 0)))""",
-    "voices": "SELECT vec_id % 20 AS recording_id, vec_id AS ord, label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings",
+    "voices": "SELECT vec_id // 25 AS recording_id, vec_id AS ord, label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings",
     "samples": "SELECT label AS enrollment_id, vec_id AS sample_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings",
     "roster": """
         SELECT enrollment_id, 'S' || enrollment_id AS name, CASE WHEN enrollment_id < 5 THEN 'm0' ELSE 'm1' END AS model_id, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS centroid
@@ -127,7 +132,7 @@ SQL = {
               GROUP BY enrollment_id, i) GROUP BY enrollment_id)""",
     "segments": """
         SELECT user_id AS recording_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS segment_index, round(epoch_us(ts) / 1e6, 3) AS "start", round(epoch_us(ts) / 1e6, 3) + 60 * value AS "end",
-               event_type AS speaker, value / 500 AS confidence, event_id % 500 AS vec_id, event_id FROM events""",
+               event_type AS speaker, value / 500 AS confidence, event_id % (SELECT greatest(1, count(*)) FROM embeddings) AS vec_id, event_id FROM events""",
     "frame_logits": """
         SELECT user_id AS clip, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, list_transform([1, 2, 3, 4, 5, 6, 7], lambda j: ((event_id * j) % 11) / CAST(2 AS DOUBLE)) AS logits FROM events""",
     "frames": """
