@@ -9,6 +9,7 @@ from voxspark.llm.bpe import encode_decode
 from voxspark.llm.common import read_table
 from voxspark.llm.exact_dedup import exact_duplicates
 from voxspark.llm.jaccard import jaccard_components
+from voxspark.llm.merkle import merkle_manifest
 from voxspark.llm.packing import pack
 from voxspark.llm.pieces import tokenizer_path
 from voxspark.llm.quality import score_documents
@@ -64,7 +65,19 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table, table.where(F.col("vec_id") % 20 == 0), 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_suffix_dedup, op4_url_rules, op5_quality, op6_exact_dedup, op7_bpe, op8_jaccard_join, op9_packing, op10_exact_top_k)}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(read_table(spark, sf_dir, "documents"))
+
+
+ALL = (
+    op1_secret_scan, op2_token_counts, op3_suffix_dedup, op4_url_rules, op5_quality, op6_exact_dedup, op7_bpe, op8_jaccard_join, op9_packing, op10_exact_top_k,
+    op12_merkle,
+)
+QUERIES = {f.__name__: f for f in ALL}
+
+#: CRC-32 of a decimal number's text in SQL: a byte at a time, a bit at a time.
+CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
 
 ORACLES = {
     "op4_url_rules": r"""
@@ -96,4 +109,21 @@ ORACLES = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+    "op12_merkle": f"""
+        WITH RECURSIVE d AS (SELECT *, CASE WHEN {CRC32.format("doc_id")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents),
+        f AS (SELECT doc_id, coalesce('1' || source, '0') AS source, text, other, concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                     coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head FROM d),
+        l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS other FROM f),
+        b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM l),
+        u AS (SELECT 0 AS h, source, idx, n, leaf AS hash FROM b
+              UNION ALL SELECT h + 1, source, idx // 3, any_value((n + 2) // 3), sha256(string_agg(hash, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY h, source, idx // 3),
+        s AS (SELECT source, hash, row_number() OVER (ORDER BY source) - 1 AS idx, count(*) OVER () AS n FROM u WHERE n = 1),
+        r AS (SELECT 0 AS h, idx, n, hash FROM s UNION ALL SELECT h + 1, idx // 3, any_value((n + 2) // 3), sha256(string_agg(hash, '' ORDER BY idx)) FROM r WHERE n > 1 GROUP BY h, idx // 3),
+        i AS (SELECT source, b.idx AS leaf_idx, u.h, u.idx, u.hash, b.idx // CAST(3 ** u.h AS BIGINT) AS own FROM b JOIN u USING (source) WHERE u.n > 1 AND u.idx // 3 = b.idx // CAST(3 ** (u.h + 1) AS BIGINT)
+              UNION ALL SELECT b.source, b.idx, 1000 + r.h, r.idx, r.hash, s.idx // CAST(3 ** r.h AS BIGINT) FROM b JOIN s USING (source) JOIN r ON r.n > 1 AND r.idx // 3 = s.idx // CAST(3 ** (r.h + 1) AS BIGINT)),
+        p AS (SELECT source, leaf_idx, h, coalesce(string_agg(hash, '' ORDER BY idx) FILTER (WHERE idx < own), '') AS a, coalesce(string_agg(hash, '' ORDER BY idx) FILTER (WHERE idx > own), '') AS z FROM i GROUP BY ALL),
+        q AS (SELECT source, leaf_idx, string_agg(a || z, '' ORDER BY h) AS proof, list(a || '|' || z ORDER BY h) AS steps FROM p GROUP BY ALL)
+        SELECT doc_id, leaf, s.hash AS subroot, (SELECT hash FROM r WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+               list_reduce(list_prepend(other, coalesce(steps, [])), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root, folded_root = (SELECT hash FROM r WHERE n = 1) AS verified
+        FROM b JOIN s USING (source) LEFT JOIN q ON q.source = b.source AND q.leaf_idx = b.idx""",
 }
