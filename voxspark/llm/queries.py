@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxspark.llm.bpe import encode_decode
 from voxspark.llm.common import read_table
+from voxspark.llm.conversations import damage, repair_report
 from voxspark.llm.exact_dedup import exact_duplicates
 from voxspark.llm.jaccard import jaccard_components
 from voxspark.llm.merkle import merkle_manifest
@@ -65,13 +66,18 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table, table.where(F.col("vec_id") % 20 == 0), 20)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "conversations")
+    return repair_report(damage(table), table)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(read_table(spark, sf_dir, "documents"))
 
 
 ALL = (
     op1_secret_scan, op2_token_counts, op3_suffix_dedup, op4_url_rules, op5_quality, op6_exact_dedup, op7_bpe, op8_jaccard_join, op9_packing, op10_exact_top_k,
-    op12_merkle,
+    op11_conversations, op12_merkle,
 )
 QUERIES = {f.__name__: f for f in ALL}
 
