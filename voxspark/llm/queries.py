@@ -10,6 +10,7 @@ from voxspark.llm.common import read_table
 from voxspark.llm.conversations import damage, repair_report
 from voxspark.llm.exact_dedup import exact_duplicates
 from voxspark.llm.jaccard import jaccard_components
+from voxspark.llm.lang_id import predict_languages
 from voxspark.llm.merkle import merkle_manifest
 from voxspark.llm.packing import pack
 from voxspark.llm.pieces import tokenizer_path
@@ -75,9 +76,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(read_table(spark, sf_dir, "documents"))
 
 
+def op13_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(read_table(spark, sf_dir, "documents"))
+
+
 ALL = (
     op1_secret_scan, op2_token_counts, op3_suffix_dedup, op4_url_rules, op5_quality, op6_exact_dedup, op7_bpe, op8_jaccard_join, op9_packing, op10_exact_top_k,
-    op11_conversations, op12_merkle,
+    op11_conversations, op12_merkle, op13_lang_id,
 )
 QUERIES = {f.__name__: f for f in ALL}
 
