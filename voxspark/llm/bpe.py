@@ -27,10 +27,9 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -222,16 +221,16 @@ def cut(text: str, leaf: int) -> list[bytes]:
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digests(doc_ids: list, rows: list[list[int]], v: Bpe) -> pd.DataFrame:
+def digests(doc_ids: pa.Array, rows: list[list[int]], v: Bpe) -> pa.RecordBatch:
+    """One row a text; ids never leave Arrow."""
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-    return pd.DataFrame(
-        {
-            "doc_id": pd.array(doc_ids, dtype="Int64"),
-            "n_tokens": [len(r) for r in rows],
-            "ids_sha256": [sha(" ".join(map(str, r))) for r in rows],
-            "decoded_sha256": [sha(v.decode(r)) for r in rows],
-        }
-    )
+    columns = [
+        doc_ids,
+        pa.array([len(r) for r in rows], pa.int64()),
+        pa.array([sha(" ".join(map(str, r))) for r in rows], pa.string()),
+        pa.array([sha(v.decode(r)) for r in rows], pa.string()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 LEAVES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("unit", pa.int32()), ("k", pa.int32()), ("special", pa.int32()), ("text", pa.binary())])
@@ -243,12 +242,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     rows = documents(docs, id_col, text_col)
     is_long = F.char_length("text") > leaf
 
-    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = bpe(tokenizer)
-        for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                part = pdf[at : at + 64]
-                yield digests(part["doc_id"].tolist(), [v.encode(t) for t in part["text"]], v)
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                yield digests(part.column("doc_id"), [v.encode(t) for t in part.column("text").to_pylist()], v)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = bpe(tokenizer)
@@ -265,14 +264,16 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             nodes = [(b"", np.array([s], np.int32), np.zeros(1, np.uint8)) if t is None else v.node(t) for t, s in zip(b.column("text").to_pylist(), b.column("special").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([planes(n[1]) for n in nodes], pa.binary()), pa.array([n[2].tobytes() for n in nodes], pa.binary())], [*b.schema.names, "ids", "gaps"])
 
-    def concatenated(pdf: pd.DataFrame) -> pd.DataFrame:
+    def concatenated(part: pa.Table) -> pa.Table:
         v, out = bpe(tokenizer), []
-        for _, unit in pdf.sort_values(["unit", "k"]).groupby("unit"):
-            nodes = [(r.text, from_planes(r.ids, np.int32), np.frombuffer(r.gaps, np.uint8)) for r in unit.itertuples(index=False)]
+        part = part.sort_by([("unit", "ascending"), ("k", "ascending")])
+        rows = zip(*(part.column(c).to_pylist() for c in ("unit", "text", "ids", "gaps")), strict=True)
+        for _, unit in groupby(rows, key=lambda r: r[0]):
+            nodes = [(text, from_planes(ids, np.int32), np.frombuffer(gaps, np.uint8)) for _, text, ids, gaps in unit]
             out += join_tree(nodes, v).tolist()
-        return digests(pdf["doc_id"].tolist()[:1], [out], v)
+        return pa.Table.from_batches([digests(part.column("doc_id").combine_chunks()[:1], [out], v)])
 
     dealt = rows.where(is_long).withColumn("row", F.monotonically_increasing_id()).mapInArrow(leaves, LEAVES_DDL)
     dealt = dealt.repartition(partitions(docs.sparkSession), "row", "unit", "k")
     encoded = dealt.mapInArrow(encode_leaves, f"{LEAVES_DDL}, ids binary, gaps binary")
-    return rows.where(~is_long).mapInPandas(short, RESULT).unionByName(encoded.groupBy("row").applyInPandas(concatenated, RESULT))
+    return rows.where(~is_long).mapInArrow(short, RESULT).unionByName(encoded.groupBy("row").applyInArrow(concatenated, RESULT))

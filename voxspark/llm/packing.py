@@ -18,8 +18,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,12 +113,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     place = F.monotonically_increasing_id()
     dealt = pieces.withColumn("group", F.pmod(F.shiftright(place, 33) * 977 + place.bitwiseAND((1 << 33) - 1), F.lit(groups)))
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        sequences = pack_lengths(pdf["length"].tolist(), capacity)
-        order = [p for s in sequences for p in s]
-        out = pdf.take(order)
-        number = [n for n, s in enumerate(sequences) for _ in s]
-        offset = out["length"].groupby(number).cumsum() - out["length"]
-        return out.assign(sequence_id=[(int(g) << 32) + n for g, n in zip(out["group"], number, strict=True)], offset=offset).drop(columns="group")
+    def group(part: pa.Table) -> pa.Table:
+        lengths, (g,) = part.column("length").to_pylist(), set(part.column("group").to_pylist())
+        sequences = pack_lengths(lengths, capacity)
+        number = [(g << 32) + n for n, s in enumerate(sequences) for _ in s]
+        offset = [x for s in sequences for x in accumulate([lengths[p] for p in s[:-1]], initial=0)]
+        out = part.drop_columns(["group"]).take([p for s in sequences for p in s])  # ids never leave Arrow
+        return out.append_column("sequence_id", pa.array(number, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    return dealt.groupBy("group").applyInPandas(group, f"{PIECES}, sequence_id long, offset long")
+    return dealt.groupBy("group").applyInArrow(group, f"{PIECES}, sequence_id long, offset long")

@@ -17,7 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +37,13 @@ def host_key(host: Column) -> Column:
     return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
-def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (range, key, kind); kind 0 opens a rule, kind 1 is a url."""
+def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (range, key, kind); kind 0 opens a rule, kind 1 is a url. Ids never leave Arrow."""
     bucket, stack = None, []
-    for pdf in batches:
+    for batch in batches:
         rules, verdicts = [], []
-        urls = (pdf["kind"] == 1).to_numpy()
-        for b, kind, key, path, rule, verdict in zip(pdf["bucket"], pdf["kind"], pdf["key"], pdf["path"], pdf["rule"], pdf["verdict"], strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("bucket", "kind", "key", "path", "rule", "verdict"))
+        for b, kind, key, path, rule, verdict in zip(*columns, strict=True):
             if b != bucket:
                 bucket, stack = b, []
             while stack and not key.startswith(stack[-1][0]):
@@ -54,8 +55,9 @@ def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = min(fits, default=None)
             rules.append(best and best[2])
             verdicts.append(best and best[4])
-        out = pdf.loc[urls, ["page_id", "host", "path"]]
-        yield out.assign(rule=pd.Series(rules, out.index, dtype=object), verdict=pd.Series(verdicts, out.index, dtype=object))
+        urls = batch.filter(pc.equal(batch.column("kind"), 1))
+        found = [urls.column("page_id"), urls.column("host"), urls.column("path"), pa.array(rules, pa.string()), pa.array(verdicts, pa.string())]
+        yield pa.RecordBatch.from_arrays(found, ["page_id", "host", "path", "rule", "verdict"])
 
 
 def prefixes(key: Column) -> Column:
@@ -88,5 +90,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     carried = opened.join(begun, "key").select(dealt.columns)
     swept = dealt.unionByName(carried).repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int"))
     ordered = swept.sortWithinPartitions("bucket", "key", "kind").drop("tie")
-    found = ordered.mapInPandas(sweep, f"page_id {id_type.simpleString()}, host string, path string, rule string, verdict string")
+    found = ordered.mapInArrow(sweep, f"page_id {id_type.simpleString()}, host string, path string, rule string, verdict string")
     return found.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
