@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_live_assignment_equals_the_batch_fold(spark):
     q = __spark_entry__.queries()
-    live = {r.ord: (r.speaker_id, r.reason) for r in q["T5_live_transcript"](spark, SF).collect()}
+    live = {r.ord: (r.speaker_id, r.reason) for r in q["T5_live_assignment"](spark, SF).collect()}
     fold = {r.ord: (r.speaker_id, r.reason) for r in q["C1_assign_speakers"](spark, SF).collect()}
     assert live == fold
 

@@ -20,6 +20,23 @@ def detect_phrases(words: DataFrame, keys: list[str], gap: float = 0.2) -> DataF
     return out.withColumns({"start": F.element_at("words", 1)["start"], "end": F.element_at("words", -1)["end"], "n_words": F.size("words")})
 
 
+def phrases_of(words: Column, gap: float = 0.2) -> Column:
+    """detect_phrases of one array of words, as an array of (phrase_id, words, start, end, n_words)."""
+    timed = F.array_sort(F.filter(words, lambda w: w["start"].isNotNull() & w["end"].isNotNull()))
+
+    def split(ws: Column) -> Column:
+        begins = lambda w, i: (i == 0) | (w["start"] - F.get(ws, i - 1)["end"] >= gap)
+        firsts = F.filter(F.transform(ws, lambda w, i: F.when(begins(w, i), i)), lambda i: i.isNotNull())
+
+        def phrase(first: Column, k: Column, all_firsts: Column) -> Column:
+            part = F.slice(ws, first + 1, F.coalesce(F.get(all_firsts, k + 1), F.size(ws)) - first)
+            return F.struct(k.cast("long").alias("phrase_id"), part.alias("words"), F.element_at(part, 1)["start"].alias("start"), F.element_at(part, -1)["end"].alias("end"), F.size(part).alias("n_words"))
+
+        return V.let(firsts, lambda fs: F.transform(fs, lambda f, k: phrase(f, k, fs)))
+
+    return V.let(timed, split)
+
+
 def join_text(words: Column, separator: str = "") -> Column:
     return X.trim(F.array_join(F.transform(words, lambda w: w["text"]), separator))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxspark.config import Clustering, Inference, Overlap
@@ -70,26 +70,37 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_overlap(aligned: DataFrame, *keep: str) -> DataFrame:
+    """Words of aligned chunks without those shared with the chunk before. aligned: words, prev_words, overlap, merge_index.
+
+    Merged chunks lose the matched words and their times move back by the overlap; others lose a repeated first word.
+    """
+    merged = F.col("merge_index") > 0
+    rest = F.slice("words", F.col("merge_index") + 1, F.greatest(F.size("words") - F.col("merge_index"), F.lit(0)))
+    back = lambda c: F.greatest(F.lit(0.0), c - F.col("overlap"))
+    moved = F.transform(rest, lambda w: w.withField("start", F.when(w["start"].isNotNull(), back(w["start"]))).withField("end", F.when(w["end"].isNotNull(), back(w["end"]))))
+    rows = aligned.withColumns({"words": F.when(merged, moved).otherwise(F.col("words")), "prev_words": F.when(~merged, F.col("prev_words"))})
+    return single_word_dedup(rows).select(*keep, "words")
+
+
+def said_until(words: Column) -> Column:
+    """Where the last kept word of a chunk ends: what it adds to its recording's time."""
+    last = F.get(words, F.size(words) - 1)
+    return F.coalesce(F.nullif(last["end"], F.lit(0.0)), last["start"], F.lit(0.0))
+
+
 def dedupe_chunks(chunks: DataFrame, path: str, overlap: Overlap = Overlap()) -> DataFrame:
     """Chunks of a recording without the words they share with the one before, and their place in the recording.
 
-    chunks: recording_id, chunk_index, overlap, words (pos, text, start, end). Merged chunks lose the matched words
-    and their times move back by the overlap; others lose a repeated first word. A chunk starts where the last kept
+    chunks: recording_id, chunk_index, overlap, words (pos, text, start, end). A chunk starts where the last kept
     words of those before end. Words before are those transcribed, not what deduping left of them.
     """
     before = previous_chunk(chunks.select("recording_id", "chunk_index", "overlap", "words"), ["recording_id"], ["chunk_index"])
     # written once, as the alignment is dear; of the words before, what follows needs the last
     aligned = written(align_overlap(before, overlap).select("recording_id", "chunk_index", "overlap", "words", "merge_index", F.slice("prev_words", -1, 1).alias("prev_words")), path)
-    merged = F.col("merge_index") > 0
-    rest = F.slice("words", F.col("merge_index") + 1, F.greatest(F.size("words") - F.col("merge_index"), F.lit(0)))
-    back = lambda c: F.greatest(F.lit(0.0), c - F.col("overlap"))
-    moved = F.transform(rest, lambda w: w.withField("start", F.when(w["start"].isNotNull(), back(w["start"]))).withField("end", F.when(w["end"].isNotNull(), back(w["end"]))))
-    rows = aligned.withColumns({"words": F.when(merged, moved).otherwise(F.col("words")), "prev_words": F.when(~merged, F.col("prev_words"))})
-    rows = single_word_dedup(rows).select("recording_id", "chunk_index", "words")
-    last = F.get("words", F.size("words") - 1)
-    said = F.coalesce(F.nullif(last["end"], F.lit(0.0)), last["start"], F.lit(0.0))
+    rows = cut_overlap(aligned, "recording_id", "chunk_index")
     before = Window.partitionBy("recording_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("time_offset", F.coalesce(F.sum(said).over(before), F.lit(0.0)))
+    return rows.withColumn("time_offset", F.coalesce(F.sum(said_until(F.col("words"))).over(before), F.lit(0.0)))
 
 
 def process_full(

@@ -10,7 +10,7 @@ from dataclasses import replace
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voxspark.config import Clustering, UnknownClustering
+from voxspark.config import Clustering, Inference, UnknownClustering
 from voxspark.operators import clustering as C
 from voxspark.operators.phrases import detect_phrases
 from voxspark.plans import jobs as J
@@ -19,14 +19,20 @@ from voxspark.plans.q_phrases import CHUNK
 from voxspark.plans.q_speakers import SCALED, r6, roster
 from voxspark.plans.registry import query
 from voxspark.plans.transcript import merge_transcript
+from voxspark.sources.snapshots import Store
 from voxspark.streaming import live as L
+from voxspark.streaming import transcript as TR
 
 ONLINE = Clustering(similarity=0.2, minimum=0.1, margin=0.02, num_speakers=6)
 
 
 def folder(spark, name: str) -> str:
-    """A new folder in the shared scratch folder; a temporary one only where the session has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-voxspark-")
+    """A new folder in the shared scratch folder; a temporary one only where the session has none and runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-voxspark-")
     return f"{base.rstrip('/')}/voxspark/{name}-{uuid.uuid4().hex}"
 
 
@@ -172,12 +178,26 @@ def _(t):
     return got.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), r6("level").alias("level"))
 
 
+#: Speakers of `letter_voices`, whose vectors are counts of letters and so all alike.
+LETTERS = Clustering(similarity=0.93, minimum=0.8, margin=0.005, num_speakers=3)
+LETTER_GATES = Inference(confident=0.995, ambiguity_margin=0.2, min_for_boost=0.5, min_after_boost=0.6, final_margin=0.01)
+
+
 @query("T5_live_transcript")
+def _(t):
+    talk = L.chunk_stream(t.spark, f"{t.sf_dir}/conversation[s].parquet", t.table("conversations").schema)
+    store = Store(t.spark, folder(t.spark, "live-store"), TR.TABLES)
+    TR.run_live(TR.live_segments(t.talk_chunks(talk), t.letter_voices, [], LETTERS, LETTER_GATES), store, folder(t.spark, "live"), LETTER_GATES)
+    out = store.read("segments")
+    return out.select("recording_id", "segment_index", "channel_id", "chunk_index", "kind", r6("start_time").alias("start_time"), r6("end_time").alias("end_time"), "text", "speaker_label", r6("similarity").alias("similarity"), "reason", "display_label", "was_influenced", "is_late")
+
+
+@query("T5_live_assignment")
 def _(t):
     schema = t.table("embeddings").schema
     rows = L.chunk_stream(t.spark, f"{t.sf_dir}/embedding[s].parquet", schema)
     phrases = rows.select(F.floor(F.col("vec_id") / 25).alias("recording_id"), (F.col("label") % 2).alias("channel_id"), F.col("vec_id").alias("ord"), F.lit(10.0).alias("duration"), F.when(F.col("vec_id") % 25 == 0, 0.0).otherwise(1.5).alias("overlap"), (F.col("vec_id") % 97 == 0).alias("is_final"), F.lit(0.5).alias("start"), F.col("embedding").cast("array<double>").alias("embedding"))
-    out = L.live_transcript(phrases, ONLINE)
+    out = L.live_assignment(phrases, ONLINE)
     return L.run_available(out, folder(t.spark, "live"), folder(t.spark, "state"), "append").withColumn("start_time", r6("start_time"))
 
 

@@ -48,6 +48,30 @@ class Tables:
         word = F.transform(text, lambda x, i: F.struct(i.alias("pos"), x.alias("text"), (i * 500 / 1000.0).alias("start"), ((i + 1) * 500 / 1000.0).alias("end")))
         return k.select("recording_id", "chunk_index", F.when(F.col("chunk_index") == 0, 0.0).otherwise(1.5).alias("overlap"), word.alias("words"))
 
+    @staticmethod
+    def talk_chunks(conversations: DataFrame) -> DataFrame:
+        """Each turn in chunks of ten words with three of the chunk before, as a live recording sends them; works on streams."""
+        size = F.size("t")
+        turns = conversations.select(
+            F.col("conv_id").alias("recording_id"), F.when(F.col("role") == "user", 0).otherwise(1).cast("long").alias("channel_id"), "turn",
+            F.filter(F.split("text", r"[ \t\n\r]+"), lambda t: t != "").alias("t"),
+        )
+        k = turns.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((size - 10) / 10)).cast("int"))))
+        first = F.when(F.col("k") == 0, 0).otherwise(10 * F.col("k") - 3)
+        marked = lambda x, i: F.when((i + F.col("turn")) % 23 == 22, "[BLANK_AUDIO]").when((i + F.col("k")) % 29 == 28, "[MUSIC]").otherwise(F.concat(F.lit(" "), x))
+        # a pause of a second after the sixth word of every other chunk
+        begin = lambda i: (i * 500 + F.when((i >= 6) & (F.col("k") % 2 == 1), 1000).otherwise(0)) / 1000.0
+        word = F.transform(F.slice("t", first + 1, 10 * F.col("k") + 10 - first), lambda x, i: F.struct(i.alias("pos"), marked(x, i).alias("text"), begin(i).alias("start"), (begin(i) + 0.45).alias("end")))
+        index = (F.col("turn") * 10_000 + F.col("k")).cast("long")
+        return k.select("recording_id", "channel_id", index.alias("chunk_index"), F.when(F.col("k") == 0, 0.0).otherwise(1.5).alias("overlap"), F.lit(False).alias("is_final"), word.alias("words"))
+
+    @staticmethod
+    def letter_voices(phrases: DataFrame) -> DataFrame:
+        """Adds an embedding made of a phrase's letters, none for some; without state, so that it works on streams."""
+        text = F.lower(F.array_join(F.transform("words", lambda w: F.coalesce(w["text"], F.lit(""))), ""))
+        count = F.transform(F.array(*[F.lit(c) for c in "aeinorst"]), lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit(""))) + 0.25).cast("double"))
+        return phrases.withColumn("embedding", F.when(F.col("phrase_id").isNotNull() & (F.length(text) % 7 != 6), count))
+
     @cached_property
     def voices(self) -> DataFrame:
         e = self.table("embeddings")
