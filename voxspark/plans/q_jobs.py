@@ -22,6 +22,7 @@ from voxspark.plans.transcript import merge_transcript
 from voxspark.sources.snapshots import Store
 from voxspark.streaming import live as L
 from voxspark.streaming import transcript as TR
+from voxspark.streaming.sessions import speech_pieces, timed_sessions
 
 ONLINE = Clustering(similarity=0.2, minimum=0.1, margin=0.02, num_speakers=6)
 
@@ -236,9 +237,8 @@ KINDS = {"signup": "start", "click": "speech", "view": "pause", "error": "stop",
 LIFE = "PARTITION BY recording_id, channel_id ORDER BY wall, event_id"
 
 
-@query(
-    "T8_session_lifecycle",
-    f"""WITH e AS (SELECT user_id AS recording_id, CAST(event_id % 2 AS INTEGER) AS own, event_id, {WALL} AS wall, event_type AS kind, value FROM events),
+#: Sessions as groups of each channel's events.
+SESSIONS = f"""WITH e AS (SELECT user_id AS recording_id, CAST(event_id % 2 AS INTEGER) AS own, event_id, {WALL} AS wall, event_type AS kind, value FROM events),
        c AS (SELECT e.*, channel_id FROM e, (SELECT 0 AS channel_id UNION ALL SELECT 1) WHERE kind IN ('signup', 'error', 'purchase') OR own = channel_id),
        s AS (SELECT *, coalesce(sum(CAST(kind = 'signup' AS INTEGER)) OVER up, 0) AS session, sum(CAST(kind = 'purchase' AS INTEGER)) OVER up AS n_enrolled,
                     last_value(CASE WHEN kind IN ('signup', 'error') THEN kind END IGNORE NULLS) OVER ({LIFE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state
@@ -248,10 +248,78 @@ LIFE = "PARTITION BY recording_id, channel_id ORDER BY wall, event_id"
        g AS (SELECT recording_id, session, channel_id, part, max(event_id) FILTER (WHERE kind IN ('view', 'error')) AS last_event, max(wall) FILTER (WHERE kind IN ('view', 'error')) AS wall, sum(value) FILTER (WHERE kind = 'click') AS seconds,
                     bool_or(kind = 'error') AS is_final, max(n_enrolled) AS n_enrolled FROM p GROUP BY ALL)
        SELECT recording_id, CAST(session AS BIGINT) AS session, channel_id, last_event, round(seconds, 6) AS seconds, is_final, row_number() OVER (PARTITION BY recording_id, session, channel_id ORDER BY part) > 1 AS follows, CAST(n_enrolled AS BIGINT) AS n_enrolled
-       FROM g WHERE last_event IS NOT NULL AND seconds IS NOT NULL""",
-)
-def _(t):
+       FROM g WHERE last_event IS NOT NULL AND seconds IS NOT NULL"""
+
+
+def session_events(t):
     kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("event_type")]
-    rows = event_stream(t).select(F.col("user_id").alias("recording_id"), (F.col("event_id") % 2).cast("int").alias("channel_id"), "event_id", (F.unix_micros("at") / 1e6).alias("wall_time"), kind.alias("kind"), F.col("value").alias("seconds"))
-    out = L.session_lifecycle(rows)
+    return event_stream(t).select(
+        F.col("user_id").alias("recording_id"), (F.col("event_id") % 2).cast("int").alias("channel_id"), "event_id", (F.unix_micros("at") / 1e6).alias("wall_time"),
+        kind.alias("kind"), F.col("value").alias("seconds"), "at",
+    )
+
+
+@query("T8_session_lifecycle", SESSIONS)
+def _(t):
+    out = L.session_lifecycle(session_events(t).drop("at"))
     return L.run_available(out, folder(t.spark, "sessions"), folder(t.spark, "state"), "append").withColumn("seconds", r6("seconds"))
+
+
+#: Seconds without events after which a session ends, and the same in SQL: a stop behind the last event before such a gap.
+IDLE = 43_200.0
+TIMED = SESSIONS.replace(
+    "event_type AS kind, value FROM events)",
+    f"""event_type AS kind, value, 0 AS extra FROM events
+       UNION ALL SELECT recording_id, own, event_id, wall, 'error', NULL, 1 FROM (
+           SELECT user_id AS recording_id, CAST(event_id % 2 AS INTEGER) AS own, event_id, {WALL} AS wall,
+                  coalesce(lead({WALL}) OVER (PARTITION BY user_id ORDER BY {WALL}, event_id), (SELECT max({WALL}) FROM events)) AS after FROM events) WHERE after - wall >= {IDLE})""",
+).replace("ORDER BY wall, event_id", "ORDER BY wall, event_id, extra")
+
+
+@query("T8_timed_sessions", TIMED)
+def _(t):
+    TR.keyed_state(t.spark)
+    out = timed_sessions(session_events(t), IDLE)
+    return L.run_available(out, folder(t.spark, "timed"), folder(t.spark, "state"), "append").withColumn("seconds", r6("seconds"))
+
+
+#: The table's events as frames of one channel, some of them final; speech runs and the pieces they are cut into in SQL.
+SPEECH = """WITH f AS (SELECT user_id AS recording_id, event_id AS frame, ((event_id * 7919) % 101) / CAST(100 AS DOUBLE) AS p, event_type = 'error' AS final FROM events),
+       l AS (SELECT *, coalesce(max(CASE WHEN p >= 0.35 THEN frame END) OVER (PARTITION BY recording_id ORDER BY frame), -1) AS loud,
+                    coalesce(sum(CAST(final AS INTEGER)) OVER (PARTITION BY recording_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM f),
+       e AS (SELECT *, coalesce(last_value(CASE WHEN p >= 0.5 THEN 1 WHEN frame - loud >= 300 THEN 0 END IGNORE NULLS) OVER (PARTITION BY recording_id, part ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS st FROM l),
+       n AS (SELECT *, CASE WHEN st = 1 AND coalesce(lag(st) OVER (PARTITION BY recording_id, part ORDER BY frame), 0) = 0 THEN 1 ELSE 0 END AS b FROM e),
+       s AS (SELECT *, CAST(sum(b) OVER (PARTITION BY recording_id ORDER BY frame) AS BIGINT) - 1 AS segment_index, max(frame) OVER (PARTITION BY recording_id) AS newest FROM n),
+       r AS (SELECT recording_id, segment_index, greatest(CAST(0 AS DOUBLE), min(frame) * CAST(0.1 AS DOUBLE) - CAST(0.15 AS DOUBLE)) AS b, (max(frame) + 1) * CAST(0.1 AS DOUBLE) AS e,
+                    max(frame) = any_value(newest) AND NOT bool_or(final) AS is_open, (max(frame) + 1 - min(frame)) * CAST(0.1 AS DOUBLE) AS heard FROM s WHERE st = 1 GROUP BY ALL),
+       c AS (SELECT *, CASE WHEN e - b > CAST(1.1 AS DOUBLE) * longest THEN CAST(ceil((e - b) / longest) AS BIGINT) ELSE 1 END AS n FROM r, (SELECT CAST({longest} AS DOUBLE) AS longest)),
+       q AS (SELECT *, unnest(range(0, n)) AS piece FROM c WHERE heard >= 0.3)
+       SELECT recording_id, CAST(0 AS BIGINT) AS channel_id, segment_index, piece, round(b + piece * longest - CASE WHEN piece > 0 THEN 1.5 ELSE 0 END, 6) AS "start", round(CASE WHEN piece = n - 1 THEN e ELSE b + piece * longest + longest END, 6) AS "end",
+              CAST(CASE WHEN piece > 0 THEN 1.5 ELSE 0 END AS DOUBLE) AS overlap, piece < n - 1 AS forced
+       FROM q WHERE CASE WHEN piece = n - 1 THEN e ELSE b + piece * longest + longest END - (b + piece * longest) >= 0.3 AND NOT (is_open AND piece = n - 1)"""
+
+
+def live_speech(t, longest: float | None):
+    TR.keyed_state(t.spark)
+    p = (F.col("event_id") * 7919 % 101 / 100.0).alias("p")
+    frames = event_stream(t).select(F.col("user_id").alias("recording_id"), F.lit(0).alias("channel_id"), F.col("event_id").alias("frame"), p, (F.col("event_type") == "error").alias("is_final"))
+    got = L.run_available(speech_pieces(frames, 0.1, hold=30.0, longest=longest), folder(t.spark, "speech"), folder(t.spark, "state"), "append")
+    return got.withColumns({"start": r6("start"), "end": r6("end")})
+
+
+@query("T2_live_speech", SPEECH.replace("{longest}", "1e12"))
+def _(t):
+    return live_speech(t, None)
+
+
+@query("T3_live_pieces", SPEECH.replace("{longest}", "60"))
+def _(t):
+    return live_speech(t, 60.0)
+
+
+@query("T6_word_phrases", """SELECT recording_id, chunk_index, round("start", 6) AS "start", round("end", 6) AS "end", n_words FROM phrases""")
+def _(t):
+    talk = L.chunk_stream(t.spark, f"{t.sf_dir}/conversation[s].parquet", t.table("conversations").schema)
+    out = L.word_phrases(t.timed_words(talk).withColumnRenamed("turn", "chunk_index"), ["recording_id", "chunk_index"])
+    got = L.run_available(out, folder(t.spark, "word-phrases"), folder(t.spark, "state"), "complete")
+    return got.withColumns({"start": r6("start"), "end": r6("end")}).withColumnRenamed("n", "n_words")

@@ -48,6 +48,17 @@ class Tables:
         word = F.transform(text, lambda x, i: F.struct(i.alias("pos"), x.alias("text"), (i * 500 / 1000.0).alias("start"), ((i + 1) * 500 / 1000.0).alias("end")))
         return k.select("recording_id", "chunk_index", F.when(F.col("chunk_index") == 0, 0.0).otherwise(1.5).alias("overlap"), word.alias("words"))
 
+    @staticmethod
+    def timed_words(conversations: DataFrame) -> DataFrame:
+        """`words` without windows, so that it works on streams, with the words' event time from 1970 on."""
+        tokens = F.filter(F.split("text", r"[ \t\n\r]+"), lambda t: t != "")
+        turns = conversations.select(F.col("conv_id").alias("recording_id"), "turn", tokens.alias("t"))
+        ends = F.transform("t", lambda x: x.rlike(r"[.!?]$").cast("int"))
+        brk = lambda i: F.aggregate(F.slice(F.col("__e"), 1, i), F.lit(0), lambda n, e: n + e)
+        starts = F.transform("t", lambda _, i: 400 * i + 500 * brk(i))
+        rows = turns.withColumn("__e", ends).select("recording_id", "turn", F.posexplode(starts).alias("pos", "ms"))
+        return rows.select("recording_id", "turn", "pos", (F.col("ms") / 1000.0).alias("start"), ((F.col("ms") + 350) / 1000.0).alias("end"), F.timestamp_millis("ms").alias("at"))
+
     @staticmethod
     def talk_chunks(conversations: DataFrame) -> DataFrame:
         """Each turn in chunks of ten words with three of the chunk before, as a live recording sends them; works on streams."""
