@@ -29,6 +29,39 @@ def slice_audio(segments: DataFrame, audio: DataFrame, keys: list[str], rate: in
     return rows.withColumn("audio", F.slice("audio", (F.col("__a") + 1).cast("int"), length)).drop("__a", "__b")
 
 
+def slice_chunks(segments: DataFrame, chunks: DataFrame, keys: list[str], order: str = "chunk_index", rate: int = 16_000, strict: bool = False, bucket: int = 1 << 18) -> DataFrame:
+    """slice_audio from a recording's chunks, of which only those that a segment touches meet it.
+
+    An overlap join: segments and chunks go to every bucket of samples they touch and meet in equal buckets; a pair
+    counts in the first bucket both have. The touched parts are put together in order, so no row holds more
+    than a segment. Offsets come from the chunks' lengths alone. Repeated rows of segments count once.
+    """
+    sizes = chunks.select(*keys, order, F.size("audio").cast("long").alias("__n"))
+    by = Window.partitionBy(*keys)
+    before = F.sum("__n").over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumns({"__first": F.coalesce(before, F.lit(0)), "__total": F.sum("__n").over(by)})
+    totals = sizes.groupBy(*keys).agg(F.max("__total").alias("__size"))
+    spans = chunks.select(*keys, order, "audio").join(sizes, [*keys, order]).where("__n > 0")
+    across = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor((F.col(b) - 1) / bucket)))
+    spans = spans.select(*keys, "__first", (F.col("__first") + F.col("__n")).alias("__last"), F.col("audio").alias("__audio")).withColumn("__bucket", across("__first", "__last"))
+    rows = segments.distinct().join(totals, keys)
+    rows = rows.withColumns({"__a": F.floor(F.col("start") * rate), "__b": F.ceil(F.col("end") * rate)})
+    if strict:
+        rows = rows.where((F.col("__b") > F.col("__a")) & (F.col("__b") <= F.col("__size")))
+    rows = rows.withColumn("__b", F.least("__b", "__size"))
+    asked = rows.where("__b > __a").withColumn("__bucket", across("__a", "__b"))
+    own = asked.join(spans, [*keys, "__bucket"]).where((F.col("__first") < F.col("__b")) & (F.col("__a") < F.col("__last")))
+    own = own.where(F.col("__bucket") == F.greatest(F.floor(F.col("__a") / bucket), F.floor(F.col("__first") / bucket)))
+    start = F.greatest("__a", "__first")
+    part = F.slice("__audio", (start - F.col("__first") + 1).cast("int"), (F.least("__b", "__last") - start).cast("int"))
+    parts = own.select(*segments.columns, F.struct(start.alias("at"), part.alias("part")).alias("__part")).groupBy(*segments.columns)
+    found = parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list("__part")), lambda p: p["part"])).alias("audio"))
+    if strict:
+        return found
+    nothing = rows.where("__b <= __a").select(*segments.columns).withColumn("audio", F.array().cast(chunks.schema["audio"].dataType))
+    return found.unionByName(nothing)
+
+
 def clipping_ratio(audio: Column, limit: float = 0.99) -> Column:
     return F.when(F.size(audio) > 0, F.size(F.filter(audio, lambda x: F.abs(x) >= limit)) / F.size(audio)).otherwise(0.0)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,34 +168,69 @@ def extract_participants(segments: DataFrame, keys: list[str]) -> DataFrame:
     return segments.where(F.col("speaker_id").isNotNull()).groupBy(*keys, "speaker_id").agg(F.min_by("speaker_label", "segment_index").alias("label"), F.count(F.lit(1)).alias("segment_count"))
 
 
+HISTORY = "recording_id long, version int, total_segments int, added array<string>, removed array<string>, participants array<string>"
+
+
+class Standing:
+    """The first few labels of a recording by score, kept up as segments come."""
+
+    def __init__(self, config: Inference):
+        self.config, self.n, self.labels, self.top = config, 0, {}, []
+        self.version, self.shown = 0, []
+
+    def rank(self, label: str) -> tuple[float, int]:
+        _, total, first = self.labels[label]
+        return -(total + (0.0 if label.startswith("Unknown") else 0.1)), first
+
+    def add(self, label: str, similarity: float) -> tuple[list[str], list[str]] | None:
+        """Takes the next segment; participants that came and went if this is a checkpoint at which they changed."""
+        self.n += 1
+        k, total, first = self.labels.get(label, (0, 0.0, self.n))
+        self.labels[label] = k + 1, total + similarity, first
+        if k + 1 >= self.config.min_occurrences:
+            # only this label's score has changed: others come in only where it falls out of the first few
+            if similarity < 0 and label in self.top:
+                able = [x for x, (count, _, _) in self.labels.items() if count >= self.config.min_occurrences]
+                self.top = heapq.nsmallest(self.config.expected_speakers, able, key=self.rank)
+            else:
+                self.top = sorted({*self.top, label}, key=self.rank)[: self.config.expected_speakers]
+        if self.n < self.config.min_segments or not self.top or (self.version and self.n % 2):
+            return None
+        now = sorted(self.top)
+        added, removed = [x for x in now if x not in self.shown], [x for x in self.shown if x not in now]
+        if not added and not removed:
+            return None
+        self.version, self.shown = self.version + 1, now
+        return added, removed
+
+
 def hypothesis_history(segments: DataFrame, config: Inference = Inference()) -> DataFrame:
-    """Participants at each checkpoint of a growing recording: every n from min_segments on until one is found, then every second n.
+    """Participants of a growing recording, whenever a checkpoint changes them: every n from min_segments on until some are
+    found, then every second n.
 
-    Counts only grow, so the checkpoints are known from prefix counts: no fold is needed.
+    A segment changes one label's count, so the first few labels are kept up and never ranked anew: one pass over a
+    recording's segments in order, with its labels in memory. Only what changes is returned.
     """
     counted = segments.where((F.size("candidates") > 0) & F.col("speaker_label").isNotNull())
-    counted = counted.withColumn("n", F.row_number().over(Window.partitionBy("recording_id").orderBy("segment_index")))
-    prefix = Window.partitionBy("recording_id", "speaker_label").orderBy("n")
-    marks = counted.select("recording_id", "n", F.col("speaker_label").alias("speaker_name"), F.count(F.lit(1)).over(prefix).alias("k"), F.sum("similarity").over(prefix).alias("total"), F.min("n").over(Window.partitionBy("recording_id", "speaker_label")).alias("first"))
-    found = marks.where(F.col("k") >= config.min_occurrences).groupBy("recording_id").agg(F.greatest(F.min("n"), F.lit(config.min_segments)).alias("__first"))
-    checks = counted.join(found, "recording_id").where((F.col("n") >= F.col("__first")) & ((F.col("n") % 2 == 0) | (F.col("n") == F.col("__first")))).select("recording_id", F.col("n").alias("at"))
-    # the latest prefix row of each label at a checkpoint
-    upto = F.coalesce(F.lead("n").over(prefix_of()), F.lit(2**31 - 1))
-    spans = marks.withColumn("until", upto)
-    state = checks.join(spans, "recording_id").where((F.col("n") <= F.col("at")) & (F.col("at") < F.col("until")) & (F.col("k") >= config.min_occurrences))
-    score = F.col("total") + F.when(F.col("speaker_name").startswith("Unknown"), 0.0).otherwise(0.1)
-    top = Window.partitionBy("recording_id", "at").orderBy(F.desc(score), "first")
-    chosen = state.withColumn("__r", F.row_number().over(top)).where(F.col("__r") <= config.expected_speakers)
-    sets = chosen.groupBy("recording_id", "at").agg(F.sort_array(F.collect_list("speaker_name")).alias("participants"))
-    before = F.lag("participants").over(Window.partitionBy("recording_id").orderBy("at"))
-    changed = sets.withColumn("before", F.coalesce(before, F.array().cast("array<string>"))).where(~F.col("participants").eqNullSafe(F.col("before")))
-    added, removed, _ = participant_diff(F.col("before"), F.col("participants"))
-    version = F.row_number().over(Window.partitionBy("recording_id").orderBy("at"))
-    return changed.select("recording_id", version.alias("version"), F.col("at").alias("total_segments"), F.sort_array(added).alias("added"), F.sort_array(removed).alias("removed"), "participants")
-
-
-def prefix_of() -> Window:
-    return Window.partitionBy("recording_id", "speaker_name").orderBy("n")
+    slim = counted.select(F.col("recording_id").cast("long").alias("recording_id"), F.col("segment_index").cast("long").alias("i"), "speaker_label", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    n = max(1, int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recording, standing = None, None
+        for b in batches:
+            out = []
+            columns = (b.column(c).to_pylist() for c in ("recording_id", "speaker_label", "similarity"))
+            for rec, label, similarity in zip(*columns, strict=True):
+                if standing is None or rec != recording:
+                    recording, standing = rec, Standing(config)
+                change = standing.add(label, similarity)
+                if change:
+                    out.append((rec, standing.version, standing.n, *change, standing.shown))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.string())] * 3)
+            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in HISTORY.split(", ")])
+
+    return slim.repartition(n, "recording_id").sortWithinPartitions("recording_id", "i").mapInArrow(run, HISTORY)
 
 
 def history_tail(history: DataFrame, n: int = 5) -> DataFrame:

@@ -31,23 +31,28 @@ def previous_chunk(chunks: DataFrame, keys: list[str], order: list[str], words:
 def align_overlap(chunks: DataFrame, config: Overlap = Overlap()) -> DataFrame:
     """Merge point of each chunk with the one before it: index, confidence, method, timestamp.
 
-    chunks: words, prev_words, overlap. Every (window, previous start, current start) is a candidate;
-    of those that reach the threshold the widest window wins, then similarity, then the first places.
-    The overlap bounds the number of words, so candidates are few for each chunk.
+    chunks: words, prev_words, overlap. Windows are tried from the widest down, each along its diagonals (a place in
+    the words before and one in the chunk's); the first width with a place that reaches the threshold ends the search.
+    Of its places the most similar wins, then the first ones. The overlap bounds the number of words.
     """
     tail, head = overlap_tail(F.col("prev_words"), F.col("overlap")), overlap_head(F.col("words"), F.col("overlap"))
     rows = chunks.withColumns({"__tail": tail, "__head": head})
     rows = rows.withColumns({f"__{n}": F.transform(f"__{n}", lambda w: X.normalize_word(w["text"])) for n in ("tail", "head")} | {"__head_words": F.col("__head")})
     most = F.least(F.size("__tail"), F.size("__head"))
-    sizes = F.when(most >= config.min_match, F.sequence(F.lit(config.min_match), most)).otherwise(F.array().cast("array<int>"))
+    sizes = F.when(most >= config.min_match, F.sequence(most, F.lit(config.min_match), F.lit(-1))).otherwise(F.array().cast("array<int>"))
     places = lambda n, w: F.sequence(F.lit(0), F.size(n) - w)
 
     def candidate(w, i, j):
         similarity = X.sequence_similarity(F.slice("__tail", i + 1, w), F.slice("__head", j + 1, w))
         return F.struct(w.alias("w"), similarity.alias("similarity"), (-i).alias("i"), (-j).alias("j"))
 
-    every = F.flatten(F.transform(sizes, lambda w: F.flatten(F.transform(places("__tail", w), lambda i: F.transform(places("__head", w), lambda j: candidate(w, i, j))))))
-    best = F.array_max(F.filter(every, lambda c: c["similarity"] >= config.threshold))
+    def at_width(w):
+        every = F.flatten(F.transform(places("__tail", w), lambda i: F.transform(places("__head", w), lambda j: candidate(w, i, j))))
+        return F.array_max(F.filter(every, lambda c: c["similarity"] >= config.threshold))
+
+    # a width is looked at only while the wider ones gave nothing
+    none_yet = F.lit(None).cast("struct<w:int,similarity:double,i:int,j:int>")
+    best = F.aggregate(sizes, none_yet, lambda found, w: F.when(found.isNotNull(), found).otherwise(at_width(w)))
     rows = rows.withColumn("__best", best)
     matched = F.get("__head_words", F.col("__best.w") - F.col("__best.j") - 1)
     rows = rows.withColumn("__matched", matched)

@@ -136,20 +136,52 @@ def embedding_gate(phrases: DataFrame, expected_speakers: Column, min_duration:
     return phrases.withColumn("reason", reason)
 
 
+#: Frames in a row of `frame_sums`.
+FRAME_BUCKET = 256
+
+
+def frame_sums(frames: DataFrame, keys: list[str], size: int = FRAME_BUCKET) -> DataFrame:
+    """Prefix sums by bucket of frames: keys, bucket, frames (of the bucket, in order), before (sum of all frames of earlier buckets).
+
+    frames: keys, frame (from 0 without gaps), feat. No row holds more than `size` frames.
+    """
+    rows = frames.withColumn("__bucket", F.floor(F.col("frame") / size)).groupBy(*keys, "__bucket")
+    rows = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "feat"))), lambda s: V.doubles(s["feat"])).alias("__frames"))
+    long = rows.select(*keys, "__bucket", F.posexplode(added(F.col("__frames"), F.col("__frames"))).alias("__dim", "__sum"))
+    earlier = Window.partitionBy(*keys, "__dim").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    long = long.withColumn("__sum", F.coalesce(F.sum("__sum").over(earlier), F.lit(0.0)))
+    before = long.groupBy(*keys, "__bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("__dim", "__sum"))), lambda s: s["__sum"]).alias("__before"))
+    return rows.join(before, [*keys, "__bucket"])
+
+
+def added(vectors: Column, like: Column) -> Column:
+    """Sum of an array of vectors, each as long as the first of `like`."""
+    zero = F.transform(F.element_at(like, 1), lambda _: F.lit(0.0))
+    return F.aggregate(vectors, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+
+
 def pool_frames(phrases: DataFrame, frames: DataFrame, keys: list[str], duration: float | Column, min_duration: float = 0.5) -> DataFrame:
-    """Mean of the frames of each phrase. frames: keys, frame, feat; the clip's frame rate is its frames by its duration."""
+    """Mean of the frames of each phrase. frames: keys, frame, feat; the clip's frame rate is its frames by its duration.
+
+    A phrase's sum is the difference of the prefix sums at its two ends, each from the one bucket it falls into.
+    """
     length = duration if isinstance(duration, Column) else F.lit(float(duration))
-    clip = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames"), F.array_sort(F.collect_list(F.struct("frame", "feat"))).alias("__frames"))
+    clip = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames"))
     rows = phrases.join(clip, keys, "left").withColumn("__rate", F.coalesce("n_frames", F.lit(0)) / length)
     low = F.floor(F.col("start") * F.col("__rate"))
     high = F.least(F.ceil(F.col("end") * F.col("__rate")), F.coalesce("n_frames", F.lit(0)))
-    rows = rows.withColumns({"__low": low, "frame_count": F.greatest(F.lit(0), high - low)})
+    rows = rows.withColumns({"__low": low, "__high": high, "frame_count": F.greatest(F.lit(0), high - low)})
     reason = F.when(F.col("end") - F.col("start") < min_duration, "too_short").when(F.col("frame_count") <= 0, "no_frames")
-    picked = F.transform(F.slice("__frames", (F.col("__low") + 1).cast("int"), F.col("frame_count").cast("int")), lambda s: V.doubles(s["feat"]))
-    width = F.size(F.element_at("__frames", 1)["feat"])
-    total = F.aggregate(picked, F.transform(F.sequence(F.lit(1), width), lambda _: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
     rows = rows.withColumn("reason", reason)
-    return rows.withColumn("embedding", F.when(F.col("reason").isNull(), F.transform(total, lambda x: x / F.col("frame_count")))).drop("__frames", "__rate", "__low", "n_frames")
+    sums = frame_sums(frames, keys)
+    for end, last in (("__low", F.col("__low")), ("__high", F.col("__high") - 1)):
+        side = sums.select(*keys, F.col("__bucket").alias(f"{end}_b"), F.col("__frames").alias(f"{end}_f"), F.col("__before").alias(f"{end}_s"))
+        rows = rows.withColumn(f"{end}_b", F.when(F.col("reason").isNull(), F.floor(last / FRAME_BUCKET))).join(side, [*keys, f"{end}_b"], "left")
+        inside = F.slice(f"{end}_f", F.lit(1), (F.col(end) - F.col(f"{end}_b") * FRAME_BUCKET).cast("int"))
+        rows = rows.withColumn(f"{end}_sum", F.zip_with(f"{end}_s", added(inside, F.col(f"{end}_f")), lambda a, b: a + b)).drop(f"{end}_f", f"{end}_s", f"{end}_b")
+    mean = F.zip_with("__high_sum", "__low_sum", lambda a, b: (a - b) / F.col("frame_count"))
+    out = rows.withColumn("embedding", F.when(F.col("reason").isNull(), mean))
+    return out.select(*phrases.columns, "frame_count", "reason", "embedding")
 
 
 def decode_frames(logits: DataFrame, clip: str, duration: Column | None = None, step: int = 270, offset: int = 990, rate: int = 16_000) -> DataFrame:

@@ -35,8 +35,8 @@ def _(t):
 
 @query("J4_slice_audio", f"SELECT clip, [round(x, 6) for x in audio[2:5]] AS audio FROM {AUDIO} WHERE len(audio) >= 5")
 def _(t):
-    seg = audio(t).select("clip", (F.lit(1.2) / 16000).alias("start"), (F.lit(4.5) / 16000).alias("end"))
-    return A.slice_audio(seg, audio(t), ["clip"], strict=True).select("clip", v6("audio").alias("audio"))
+    seg = chunks(t).select("clip").distinct().select("clip", (F.lit(1.2) / 16000).alias("start"), (F.lit(4.5) / 16000).alias("end"))
+    return A.slice_chunks(seg, chunks(t), ["clip"], strict=True, bucket=3).select("clip", v6("audio").alias("audio"))
 
 
 @query("A16_clipping_ratio", f"SELECT clip, round(len([x for x in audio if abs(x) >= 0.6]) / CAST(len(audio) AS DOUBLE), 6) AS ratio FROM {AUDIO}")
