@@ -149,21 +149,24 @@ def cluster_unknowns(segments: DataFrame, keys: list[str], order: list[str], con
     return _fold(segments, keys, order, "unknown_id int", step)
 
 
+def whole(ids: list) -> pd.array:
+    """Speaker ids; environmental rows have none."""
+    return pd.array([None if n is None or pd.isna(n) else int(n) for n in ids], dtype="Int64")
+
+
 def recluster_from(segments: DataFrame, keys: list[str], order: list[str], config: Clustering = Clustering(), from_index: str = "from_index", vector: str = "embedding") -> DataFrame:
-    """Assigns segments from the recording's `from_index` on again, against the state of the earlier ones; environmental rows keep theirs."""
+    """Assigns segments from the segment_index `from_index` on again, against the state of the earlier ones; environmental rows keep theirs."""
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         state, new = Centroids(), []
         start = pdf[from_index].iloc[0]
-        for i, (x, env, old) in enumerate(zip(pdf[vector], pdf["is_environmental"], pdf["speaker_id"], strict=True)):
+        for i, x, env, old in zip(pdf["segment_index"], pdf[vector], pdf["is_environmental"], pdf["speaker_id"], strict=True):
             if x is None or env:
                 new.append(old)
-            elif i < start:
-                assign(state, x, config)
-                new.append(old)
-            else:
-                new.append(assign(state, x, config)[0])
-        return pdf.assign(new_speaker_id=new)
+                continue
+            found = assign(state, x, config)[0]
+            new.append(old if i < start else found)
+        return pdf.assign(new_speaker_id=whole(new))
 
     return _fold(segments, keys, order, "new_speaker_id int", step)
 
@@ -172,29 +175,31 @@ def reassign_segment(segments: DataFrame, corrections: DataFrame, keys: list[str
     """A correction (keys, segment_index, to_speaker) moves that segment's vector between centroids; later segments are assigned again."""
     fixed = corrections.select(*keys, F.col("segment_index").alias("__at"), F.col("to_speaker").alias("__to"))
     rows = segments.join(fixed, keys, "left")
+    if "is_environmental" not in segments.columns:
+        rows = rows.withColumn("is_environmental", F.lit(False))
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         state, new, at = Centroids(), [], pdf["__at"].iloc[0]
-        for i, x, old in zip(pdf["segment_index"], pdf[vector], pdf["speaker_id"], strict=True):
-            if x is None:
+        for i, x, env, old in zip(pdf["segment_index"], pdf[vector], pdf["is_environmental"], pdf["speaker_id"], strict=True):
+            if x is None or env:
                 new.append(old)
                 continue
+            found = assign(state, x, config)[0]
             if pd.isna(at) or i < at:
-                assign(state, x, config)
                 new.append(old)
             elif i == at:
                 to = int(pdf["__to"].iloc[0])
-                assign(state, x, config)
                 if 0 <= old < len(state.rows) and old != to:
                     state.blend(int(old), x, -1)
                 if 0 <= to < len(state.rows) and old != to:
                     state.blend(to, x)
                 new.append(to)
             else:
-                new.append(assign(state, x, config)[0])
-        return pdf.assign(new_speaker_id=[int(n) for n in new])
+                new.append(found)
+        return pdf.assign(new_speaker_id=whole(new))
 
-    return _fold(rows, keys, order, "new_speaker_id int", step).drop("__at", "__to")
+    out = _fold(rows, keys, order, "new_speaker_id int", step)
+    return out.select(*segments.columns, "new_speaker_id")
 
 
 def enrolled_similarities(phrases: DataFrame, roster: DataFrame) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import fields, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxspark.config import Clustering, Inference, Overlap
+from voxspark.functions import text as X
+from voxspark.operators import clustering as C
 from voxspark.operators import inference as I
 from voxspark.operators.beside import beside
 from voxspark.operators.overlap import align_overlap, previous_chunk, single_word_dedup
@@ -59,6 +62,23 @@ def job_grid(recordings: DataFrame, settings: DataFrame) -> DataFrame:
     return beside(recordings, settings, listed).withColumn("settings", F.explode("__all")).drop("__all")
 
 
+def process_grid(segments: DataFrame, roster: DataFrame, settings: DataFrame, clustering: Clustering = Clustering(), inference: Inference = Inference()) -> DataFrame:
+    """Assigned and inferred segments of each recording under each setting.
+
+    settings: job_id and any columns named like fields of Clustering or Inference; the others hold for all jobs.
+    Candidates are scored once, before the settings come in. A job's settings then ride in the recording's key, so
+    that every step, before and after its shuffles, finds them there and all jobs go through one plan.
+    """
+    rows = job_grid(score_candidates(segments, roster), settings)
+    own = [c for c in settings.columns if c != "job_id"]
+    key = F.struct(F.col("settings.job_id").alias("job_id"), F.col("recording_id").alias("recording_id"), *[F.col(f"settings.{c}").alias(c) for c in own])
+    rows = rows.withColumn("recording_id", key).drop("settings")
+    given = lambda kind: {f.name: F.col(f"recording_id.{f.name}") for f in fields(kind) if f.name in own}
+    assigned = assign_enrolled_only(rows, replace(clustering, **given(Clustering)))
+    out = I.infer_conversation(assigned, replace(inference, **given(Inference)))
+    return out.select(F.col("recording_id.job_id").alias("job_id"), F.col("recording_id.recording_id").alias("recording_id"), *[c for c in out.columns if c != "recording_id"])
+
+
 def process_quick(segments: DataFrame, roster: DataFrame, clustering: Clustering = Clustering(), inference: Inference = Inference()) -> DataFrame:
     """Segments with embeddings assigned to the roster, then inferred over the whole recording."""
     scored = assign_enrolled_only(score_candidates(segments, roster), clustering)
@@ -127,6 +147,28 @@ def process_full(
     return rows.join(found, rows["recording_id"].eqNullSafe(found["__r"]) & (rows["segment_index"] == found["__i"]), "left").drop("__r", "__i")
 
 
+def correction_changes(segments: DataFrame, corrections: DataFrame, clustering: Clustering = Clustering(), inference: Inference = Inference()) -> DataFrame:
+    """What a manual correction changes, from the corrected segment on and, through the inference, before it too.
+
+    segments: recording_id, segment_index, embedding, is_environmental, speaker_id, speaker_label, similarity, candidates.
+    corrections: recording_id, segment_index, to_speaker. Returns the segments whose speaker or display label
+    differs, with both before and after. Candidates stay those of the first assignment.
+    """
+    keys = ["recording_id", "segment_index"]
+    new = C.reassign_segment(segments, corrections, ["recording_id"], ["segment_index"], clustering)
+    moved = ~F.col("new_speaker_id").eqNullSafe(F.col("speaker_id"))
+    label = F.when(moved, X.speaker_label(F.col("new_speaker_id"), F.lit(None).cast("string"))).otherwise(F.col("speaker_label"))
+    new = new.withColumn("new_label", label)
+    shown = lambda rows, name: I.infer_conversation(rows, inference).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("display_label").alias(name))
+    before = shown(segments, "old_display")
+    after = shown(new.withColumns({"speaker_id": F.col("new_speaker_id"), "speaker_label": F.col("new_label")}).select(*segments.columns), "new_display")
+    rows = new.select(*keys, F.col("speaker_id").alias("old_speaker_id"), "new_speaker_id", F.col("speaker_label").alias("old_label"), "new_label")
+    for other in (before, after):
+        same = rows["recording_id"].eqNullSafe(other["__recording_id"]) & (rows["segment_index"] == other["__segment_index"])
+        rows = rows.join(other, same, "left").drop("__recording_id", "__segment_index")
+    return rows.where(~F.col("old_speaker_id").eqNullSafe(F.col("new_speaker_id")) | ~F.col("old_display").eqNullSafe(F.col("new_display")))
+
+
 def reapply_boosting(attributed: DataFrame, inference: Inference) -> DataFrame:
     """Stored candidates under other gates: only the inference runs again."""
     return I.infer_conversation(attributed, inference)

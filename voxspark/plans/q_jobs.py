@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxspark.config import Clustering, Inference, UnknownClustering
+from voxspark.functions import text as X
 from voxspark.operators import clustering as C
 from voxspark.operators.phrases import detect_phrases
 from voxspark.plans import jobs as J
+from voxspark.plans.folders import folder
 from voxspark.plans.q_inference import BOOST, GATES, segments
 from voxspark.plans.q_phrases import CHUNK
 from voxspark.plans.q_speakers import SCALED, r6, roster
 from voxspark.plans.registry import query
 from voxspark.plans.transcript import merge_transcript
+from voxspark.sources.bindings import SQL
 from voxspark.sources.snapshots import Store
 from voxspark.streaming import live as L
 from voxspark.streaming import transcript as TR
@@ -27,16 +28,6 @@ from voxspark.streaming.sessions import speech_pieces, timed_sessions
 ONLINE = Clustering(similarity=0.2, minimum=0.1, margin=0.02, num_speakers=6)
 
 
-def folder(spark, name: str) -> str:
-    """A new folder in the shared scratch folder; a temporary one only where the session has none and runs on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-voxspark-")
-    return f"{base.rstrip('/')}/voxspark/{name}-{uuid.uuid4().hex}"
-
-
 def voices(t):
     return t.voices.select("recording_id", "ord", "embedding")
 
@@ -53,9 +44,14 @@ def _(t):
 
 
 def online(t):
-    out = C.assign_speakers(voices(t), ["recording_id"], ["ord"], ONLINE)
-    order = Window.partitionBy("recording_id").orderBy("ord")
-    return out.select("recording_id", (F.row_number().over(order) - 1).alias("segment_index"), "embedding", "speaker_id", (F.col("ord") % 11 == 0).alias("is_environmental"))
+    """Speakers found in order; every eleventh row is a sound of the surroundings and has none."""
+    env = (F.col("ord") % 11 == 0).alias("is_environmental")
+    rows = t.voices.select("recording_id", "ord", "embedding", env)
+    out = C.assign_speakers(rows.where("NOT is_environmental"), ["recording_id"], ["ord"], ONLINE, candidates=True)
+    out = out.unionByName(rows.where("is_environmental"), allowMissingColumns=True)
+    index = (F.row_number().over(Window.partitionBy("recording_id").orderBy("ord")) - 1).alias("segment_index")
+    label = F.when(F.col("speaker_id").isNotNull(), X.speaker_label(F.col("speaker_id"), F.lit(None).cast("string"))).alias("speaker_label")
+    return out.select("recording_id", index, "embedding", "speaker_id", "is_environmental", label, "similarity", "candidates")
 
 
 @query("C4_recluster_from")
@@ -70,6 +66,13 @@ def _(t):
     return C.reassign_segment(online(t), fixes, ["recording_id"], ["segment_index"], ONLINE).select("recording_id", "segment_index", "speaker_id", "new_speaker_id")
 
 
+@query("C5_correction_changes")
+def _(t):
+    rows = online(t)
+    fixes = rows.where("NOT is_environmental AND segment_index >= 4").groupBy("recording_id").agg(F.min("segment_index").alias("segment_index"), F.lit(1).alias("to_speaker"))
+    return J.correction_changes(rows, fixes, ONLINE, GATES)
+
+
 @query("E11_inherit_speaker", """WITH a AS (SELECT ord, recording_id, CASE WHEN ord % 5 < 2 THEN NULL ELSE speaker_id END AS s FROM assigned)
     SELECT ord, recording_id, CAST(coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS INTEGER) AS speaker_id FROM a""")
 def _(t):
@@ -111,6 +114,29 @@ def _(t):
     return rows.groupBy("recording_id", F.col("settings.job_id").alias("job_id")).agg(F.count_if(F.col("similarity") >= F.col("settings.threshold")).alias("n_sure"))
 
 
+#: Three jobs: the usual settings, laxer assignment, other gates of the inference.
+GRID = "job_id string, similarity double, margin double, boost double, confident double, ambiguity_margin double"
+JOBS = [("usual", 0.2, 0.02, 1.10, 0.4, 0.08), ("lax", 0.1, 0.0, 1.10, 0.4, 0.08), ("loose", 0.2, 0.02, 1.3, 0.5, 0.12)]
+
+
+def grid_sql() -> str:
+    """Each job's rows from the same SQL under its own numbers."""
+    parts = []
+    for job, similarity, margin, boost, confident, ambiguity in JOBS:
+        assigned = SQL["assigned"].replace("similarity >= 0.2", f"similarity >= {similarity}").replace("margin >= 0.02", f"margin >= {margin}").replace("margin < 0.02", f"margin < {margin}")
+        own = BOOST.replace("s1 >= 0.4", f"s1 >= {confident}").replace("s1 - s2 >= 0.08", f"s1 - s2 >= {ambiguity}").replace("ELSE 1.10 END", f"ELSE {boost} END")
+        parts.append(f"SELECT '{job}' AS job_id, * FROM (WITH assigned AS ({assigned}), {own} SELECT recording_id, segment_index, speaker_label, display_label, skip AS skip_reason, was_influenced FROM att)")
+    return " UNION ALL ".join(parts)
+
+
+@query("C15_process_grid", grid_sql())
+def _(t):
+    order = Window.partitionBy("recording_id").orderBy("ord")
+    rows = voices(t).withColumn("segment_index", F.row_number().over(order) - 1)
+    out = J.process_grid(rows, roster(t), t.spark.createDataFrame(JOBS, GRID), SCALED, GATES)
+    return out.select("job_id", "recording_id", "segment_index", "speaker_label", "display_label", "skip_reason", "was_influenced")
+
+
 @query("U2_segment_acoustic", "SELECT recording_id, count(*) AS n_phrases, CAST(sum(n_words) AS BIGINT) AS n_words FROM (SELECT recording_id, island, sum(n_words) AS n_words FROM (SELECT *, sum(CASE WHEN phrase_id = 0 OR \"end\" - \"start\" >= 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY phrase_id) AS island FROM speaker_runs) GROUP BY ALL) GROUP BY recording_id")
 def _(t):
     out = J.segment(t.event_words, ["recording_id"], "acoustic", t.seg_spans, {"min_duration": 3600.0, "bucket": 7200.0})

@@ -6,11 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxspark.functions import text as X
-from voxspark.plans.q_phrases import CHUNK
-from voxspark.plans.q_speakers import r6
+from voxspark.operators import inference as I
+from voxspark.operators.beside import beside
+from voxspark.operators.overlap import align_overlap
+from voxspark.plans.folders import folder
+from voxspark.plans.q_inference import BOOST, inferred
+from voxspark.plans.q_phrases import CHUNK, J5, with_previous
+from voxspark.plans.q_speakers import r6, roster
 from voxspark.plans.q_text import TRIMMED
 from voxspark.plans.registry import query
 from voxspark.sources import recordings as R
+from voxspark.sources.snapshots import Store
 
 
 def asr_chunks(t):
@@ -110,6 +116,69 @@ def _(t):
     return R.retain_latest_n(t.recordings.select("id", "created_at"), "created_at", "id", 20).select("id")
 
 
+@query(
+    "S12_retain_with_children",
+    """WITH k AS (SELECT id FROM recordings ORDER BY created_at DESC, id LIMIT 20)
+       SELECT 'recording' AS kind, CAST(id AS BIGINT) AS id, NULL::BIGINT AS n FROM k
+       UNION ALL SELECT 'chunks', l_orderkey, count(*) FROM lineitem WHERE l_orderkey IN (SELECT id FROM k) GROUP BY l_orderkey
+       UNION ALL SELECT 'deleted', NULL, greatest(0, count(*) - 20) FROM recordings""",
+)
+def _(t):
+    kept, children, deleted = R.retain_with_children(t.recordings.select("id", "created_at"), {"chunks": t.table("lineitem").select("l_orderkey", "l_linenumber")}, "created_at", "id", "l_orderkey", 20)
+    one = kept.select(F.lit("recording").alias("kind"), F.col("id").cast("long").alias("id"), F.lit(None).cast("long").alias("n"))
+    two = children["chunks"].groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).select(F.lit("chunks").alias("kind"), F.col("l_orderkey").cast("long").alias("id"), "n")
+    return one.unionByName(two).unionByName(t.spark.createDataFrame([("deleted", None, deleted)], "kind string, id long, n long"))
+
+
+@query(
+    "S13_export_raw_chunks",
+    f"""WITH c AS (SELECT recording_id, chunk_index, count(*) AS n_words, max_by(text, pos) AS last_word, any_value(overlap) AS overlap FROM overlap_words GROUP BY ALL)
+        SELECT recording_id, chunk_index, n_words, last_word, overlap, merge_index, method FROM c JOIN ({J5}) USING (recording_id, chunk_index)""",
+)
+def _(t):
+    rows = R.export_raw_chunks(align_overlap(with_previous(t)))
+    # read back as its readers would
+    shape = "chunk_index long, raw_asr struct<all_words:array<struct<text:string>>>, overlap double, merge_info struct<merge_index:int,method:string>"
+    j = rows.select("recording_id", F.from_json("json", shape).alias("j"))
+    words = F.col("j.raw_asr.all_words")
+    return j.select("recording_id", "j.chunk_index", F.size(words).cast("long").alias("n_words"), F.element_at(words, -1)["text"].alias("last_word"), "j.overlap", "j.merge_info.merge_index", "j.merge_info.method")
+
+
+@query("S13_export_transcript_json", """SELECT recording_id, segment_index, round("start", 3) AS "start", speaker, confidence FROM segments""")
+def _(t):
+    rows = R.export_transcript_json(t.segments.select("recording_id", F.col("segment_index").cast("long").alias("segment_index"), "start", "end", "speaker", "confidence"))
+    j = F.from_json("json", "segment_index long, start double, speaker string, confidence double").alias("j")
+    return rows.select("recording_id", j).select("recording_id", "j.segment_index", F.round("j.start", 3).alias("start"), "j.speaker", "j.confidence")
+
+
+@query(
+    "S8_export_job_document",
+    f"""WITH {BOOST}, e AS (SELECT *, CASE WHEN was_influenced THEN best_name ELSE coalesce(display_label, speaker_label) END AS effective FROM att),
+        n AS (SELECT recording_id, effective, count(*) AS n FROM e GROUP BY ALL)
+        SELECT recording_id, count(*) AS n_segments, count(*) FILTER (WHERE done) AS n_boosted, count(*) FILTER (WHERE was_influenced) AS n_changed, any_value(p) AS n_participants, any_value(who) AS first_participant,
+               (SELECT count(*) FROM roster) AS n_enrolled, min_by(n1, segment_index) AS first_candidate, max_by(effective, segment_index) AS last_speaker, max_by(display_label, segment_index) AS last_display
+        FROM e JOIN (SELECT recording_id, count(*) AS p, min_by(effective, (-n, effective)) AS who FROM n GROUP BY recording_id) USING (recording_id) GROUP BY recording_id""",
+)
+def _(t):
+    rows = I.effective_speaker(inferred(t)).withColumn("job_id", F.concat(F.lit("job-"), F.col("recording_id").cast("string")))
+    segments = rows.select("job_id", "segment_index", "speaker_label", "effective_speaker", "similarity", "candidates", "display_label", "boosted", "was_influenced")
+    jobs = rows.select("job_id", "recording_id").distinct().withColumn("status", F.lit("processed"))
+    recordings = jobs.select("recording_id", F.col("job_id").alias("active_job_id"))
+    one = F.transform(F.array_sort(F.collect_list("name")), lambda n: n)
+    names = beside(jobs.select("job_id"), roster(t), roster(t).agg(one.alias("names")))
+    out = R.export_job_document(jobs, recordings, names.select("job_id", F.explode("names").alias("name")), segments)
+    shape = (
+        "job struct<recording_id:long>, enrollments array<struct<name:string>>, stats struct<n_segments:long,n_boosted:long,n_changed:long,n_participants:long>, participants array<struct<name:string>>, "
+        "segments array<struct<effective_speaker:string,candidates:array<struct<name:string>>,attribution:struct<display_label:string>>>"
+    )
+    j = out.select(F.from_json("json", shape).alias("j"))
+    first, last = F.element_at("j.segments", 1), F.element_at("j.segments", -1)
+    return j.select(
+        "j.job.recording_id", "j.stats.n_segments", "j.stats.n_boosted", "j.stats.n_changed", "j.stats.n_participants", F.element_at("j.participants", 1)["name"].alias("first_participant"),
+        F.size("j.enrollments").cast("long").alias("n_enrolled"), F.element_at(first["candidates"], 1)["name"].alias("first_candidate"), last["effective_speaker"].alias("last_speaker"), last["attribution"]["display_label"].alias("last_display"),
+    )
+
+
 @query("S13_export_session_logs", "SELECT session_id, count(*) AS n, count(*) FILTER (WHERE type = 'error') AS n_errors FROM logs GROUP BY session_id")
 def _(t):
     return t.logs.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") == "error").alias("n_errors"))
@@ -120,6 +189,32 @@ def _(t):
     return R.save_session(t.segments, t.table("conversations").withColumnRenamed("conv_id", "recording_id")).withColumn("duration", F.round("duration", 3))
 
 
+@query(
+    "S14_session_tables",
+    """WITH c AS (SELECT conv_id AS recording_id, turn AS chunk_index, length(text) AS n_samples FROM conversations), b AS (SELECT recording_id, count(*) AS n, CAST(sum(n_samples) AS BIGINT) AS s FROM c GROUP BY ALL),
+       r AS (SELECT recording_id, max_by("end", segment_index) AS duration, count(*) AS n, list_sort(list(DISTINCT speaker)) AS p FROM segments WHERE recording_id IN (SELECT recording_id FROM c) GROUP BY recording_id)
+       SELECT 'recordings' AS kind, r.recording_id, NULL::BIGINT AS item, round(duration, 3) AS amount, CAST(r.n AS VARCHAR) || '/' || b.n || '/' || len(p) || '/' || CAST(round(CAST(1.2 AS DOUBLE) * 4 * b.s) AS BIGINT) AS detail FROM r JOIN b USING (recording_id)
+       UNION ALL SELECT 'jobs', recording_id, NULL, NULL, recording_id || '-job-1 processed ' || array_to_string(p, ',') FROM r
+       UNION ALL SELECT 'segments', recording_id, segment_index, round("start", 3), speaker FROM segments WHERE recording_id IN (SELECT recording_id FROM r)
+       UNION ALL SELECT 'chunks', recording_id, chunk_index, CAST(n_samples AS DOUBLE), NULL FROM c WHERE recording_id IN (SELECT recording_id FROM r)""",
+)
+def _(t):
+    store = Store(t.spark, folder(t.spark, "sessions-store"), R.SESSION_TABLES)
+    s = t.segments.select("recording_id", F.col("segment_index").cast("long").alias("segment_index"), "start", "end", "speaker")
+    c = t.table("conversations").select(F.col("conv_id").alias("recording_id"), F.col("turn").alias("chunk_index"), F.char_length("text").cast("long").alias("n_samples"))
+    R.save_sessions(store, 0, s.select("recording_id").distinct().withColumn("model_id", F.lit("default")), s, c)
+    none = lambda kind: F.lit(None).cast(kind)
+    rec, jobs, seg, chk = (store.read(n) for n in ("recordings", "jobs", "segments", "chunks"))
+    shape = lambda df, kind, item, amount, detail: df.select(F.lit(kind).alias("kind"), "recording_id", item.alias("item"), amount.alias("amount"), detail.alias("detail"))
+    numbers = F.concat_ws("/", *[F.col(x).cast("string") for x in ("n_segments", "n_chunks", "n_participants", "size")])
+    return (
+        shape(rec, "recordings", none("long"), F.round("duration", 3), numbers)
+        .unionByName(shape(jobs, "jobs", none("long"), none("double"), F.concat_ws(" ", "job_id", "status", F.array_join("participants", ","))))
+        .unionByName(shape(seg, "segments", F.col("segment_index"), F.round("start", 3), F.col("speaker")))
+        .unionByName(shape(chk, "chunks", F.col("chunk_index"), F.col("n_samples").cast("double"), none("string")))
+    )
+
+
 @query("J9_active_job", "SELECT id, status, 'j' || (id % 3) AS job_id FROM recordings WHERE id % 3 <> 2")
 def _(t):
     rec = t.recordings.withColumn("active_job_id", F.concat(F.lit("j"), (F.col("id") % 3).cast("string")))

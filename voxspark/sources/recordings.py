@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxspark.functions.text import format_time
+from voxspark.sources.snapshots import Store, Table
 
 WORD = T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())])
 ASR_CHUNK = T.StructType([
@@ -54,6 +55,17 @@ def retain_latest_n(df: DataFrame, time: str, key: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(time), key).limit(n)
 
 
+def retain_with_children(parent: DataFrame, children: dict[str, DataFrame], time: str, key: str, foreign: str, n: int) -> tuple[DataFrame, dict[str, DataFrame], int]:
+    """The n most recent rows, the children that belong to them, and how many rows go.
+
+    Children hang on the kept keys, of which there are n at most.
+    """
+    kept = retain_latest_n(parent, time, key, n)
+    keys = F.broadcast(kept.select(F.col(key).alias("__kept")))
+    left = {name: c.join(keys, F.col(foreign) == F.col("__kept"), "left_semi") for name, c in children.items()}
+    return kept, left, max(0, parent.count() - n)
+
+
 def list_recordings(recordings: DataFrame) -> DataFrame:
     """Metadata only; the reader never touches audio columns."""
     return newest_first(recordings.select("id", "status", "created_at", "duration"), "created_at")
@@ -92,6 +104,47 @@ def export_job_json(jobs: DataFrame, segments: DataFrame, key: str = "job_id") -
     return rows.select(key, F.to_json(F.struct(F.struct(*[c for c in jobs.columns]).alias("job"), stats.alias("stats"), "segments")).alias("json"))
 
 
+def export_job_document(jobs: DataFrame, recordings: DataFrame, enrollments: DataFrame, segments: DataFrame) -> DataFrame:
+    """(job_id, json): the whole export of each job.
+
+    jobs: job_id, recording_id and more columns; recordings: recording_id and more; enrollments: job_id, name and more;
+    segments: job_id, segment_index, speaker_label, effective_speaker, similarity, candidates, display_label, boosted,
+    was_influenced and more. The document has the job's and the recording's header, the enrollments by name, counts,
+    the participants by share of segments, and the segments in order with their ranked candidates, attribution and boosting.
+    """
+    ranked = F.transform("candidates", lambda c, i: F.struct((i + 1).alias("rank"), c["name"].alias("name"), F.round(c["similarity"], 6).alias("similarity")))
+    attribution = F.struct("speaker_label", F.round("similarity", 6).alias("similarity"), "display_label")
+    boosting = F.struct("boosted", "was_influenced")
+    known = {"job_id", "segment_index", "speaker_label", "effective_speaker", "similarity", "candidates", "display_label", "boosted", "was_influenced"}
+    extra = [c for c in segments.columns if c not in known]
+    one = F.struct("segment_index", *extra, "effective_speaker", ranked.alias("candidates"), attribution.alias("attribution"), boosting.alias("boosting"))
+    listed = segments.groupBy("job_id").agg(
+        F.array_sort(F.collect_list(one)).alias("segments"), F.count(F.lit(1)).alias("n_segments"), F.count_if(F.col("boosted")).alias("n_boosted"), F.count_if(F.col("was_influenced")).alias("n_changed")
+    )
+    shares = segments.where(F.col("effective_speaker").isNotNull()).groupBy("job_id", "effective_speaker").agg(F.count(F.lit(1)).alias("n"))
+    people = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("effective_speaker").alias("name")))), lambda p: F.struct(p["name"].alias("name"), (-p["m"]).alias("n_segments")))
+    participants = shares.groupBy("job_id").agg(people.alias("participants"))
+    enrolled = enrollments.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("name", *[c for c in enrollments.columns if c not in ("job_id", "name")]))).alias("enrollments"))
+    heads = recordings.select("recording_id", F.struct("recording_id", *[c for c in recordings.columns if c != "recording_id"]).alias("recording"))
+    rows = jobs.select("job_id", "recording_id", F.struct(*jobs.columns).alias("job")).join(heads, "recording_id", "left")
+    for part in (enrolled, listed, participants):
+        rows = rows.join(part, "job_id", "left")
+    stats = F.struct(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_segments", "n_boosted", "n_changed")], F.coalesce(F.size("participants"), F.lit(0)).alias("n_participants"))
+    document = F.struct("job", "recording", F.coalesce("enrollments", F.array()).alias("enrollments"), stats.alias("stats"), F.coalesce("participants", F.array()).alias("participants"), F.coalesce("segments", F.array()).alias("segments"))
+    return rows.select("job_id", F.to_json(document).alias("json"))
+
+
+def export_raw_chunks(chunks: DataFrame) -> DataFrame:
+    """(recording_id, chunk_index, json): each chunk's words as transcribed, its overlap and how it was merged."""
+    merge = F.struct("merge_index", F.round("merge_confidence", 6).alias("merge_confidence"), "method", F.round("merge_time", 6).alias("merge_time"))
+    return chunks.select("recording_id", "chunk_index", F.to_json(F.struct("chunk_index", F.struct(F.col("words").alias("all_words")).alias("raw_asr"), "overlap", merge.alias("merge_info"))).alias("json"))
+
+
+def export_transcript_json(segments: DataFrame) -> DataFrame:
+    """(recording_id, segment_index, json): a line for each segment, so that no row holds a whole recording."""
+    return segments.select("recording_id", "segment_index", F.to_json(F.struct(*[c for c in segments.columns if c != "recording_id"])).alias("json"))
+
+
 def migrate_v1_to_v2(recordings: DataFrame) -> DataFrame:
     """Version-1 rows get their result as a first processed job."""
     old = F.coalesce("schema_version", F.lit(1)) < 2
@@ -151,3 +204,38 @@ def save_session(segments: DataFrame, chunks: DataFrame) -> DataFrame:
     """The recording row of each session with chunks and segments: duration, participants, counts."""
     seg = segments.groupBy("recording_id").agg(F.max_by("end", "segment_index").alias("duration"), F.count(F.lit(1)).alias("n_segments"), F.countDistinct("speaker").alias("n_participants"))
     return seg.join(chunks.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_chunks")), "recording_id")
+
+
+def session_tables(sessions: DataFrame, segments: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
+    """What saving sessions writes: recordings, jobs, segments and chunks.
+
+    sessions: recording_id, model_id; segments: recording_id, segment_index, start, end, speaker; chunks: recording_id,
+    chunk_index, n_samples. A session without chunks or without segments is skipped. A recording's duration is its last
+    segment's end; its size counts four bytes a sample.
+    """
+    seg = segments.groupBy("recording_id").agg(F.max_by("end", "segment_index").alias("duration"), F.count(F.lit(1)).alias("n_segments"), F.sort_array(F.collect_set("speaker")).alias("participants"))
+    chk = chunks.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_samples").alias("__samples"))
+    rows = sessions.join(seg, "recording_id").join(chk, "recording_id")
+    job = F.concat(F.col("recording_id").cast("string"), F.lit("-job-1")).alias("job_id")
+    size = storage_size(F.col("__samples"), F.lit(0), F.lit(0)).alias("size")
+    kept = rows.select(F.col("recording_id").alias("__kept"))
+    semi = lambda df: df.join(kept, F.col("recording_id") == F.col("__kept"), "left_semi")
+    return {
+        "recordings": rows.select("recording_id", "duration", "n_segments", "n_chunks", F.size("participants").cast("long").alias("n_participants"), size, job.alias("active_job_id")),
+        "jobs": rows.select("recording_id", job, F.lit("Original Processing").alias("name"), F.lit("processed").alias("status"), "model_id", "participants"),
+        "segments": semi(segments.select("recording_id", "segment_index", "start", "end", "speaker")),
+        "chunks": semi(chunks.select("recording_id", "chunk_index", "n_samples")),
+    }
+
+
+SESSION_TABLES = {
+    "recordings": Table("recording_id long, duration double, n_segments long, n_chunks long, n_participants long, size long, active_job_id string", ("recording_id",)),
+    "jobs": Table("recording_id long, job_id string, name string, status string, model_id string, participants array<string>", ("recording_id", "job_id")),
+    "segments": Table("recording_id long, segment_index long, start double, end double, speaker string", ("recording_id", "segment_index")),
+    "chunks": Table("recording_id long, chunk_index long, n_samples long", ("recording_id", "chunk_index")),
+}
+
+
+def save_sessions(store: Store, version: int, sessions: DataFrame, segments: DataFrame, chunks: DataFrame) -> None:
+    """Publishes the four tables of the sessions together; again with the same version, as a retried foreachBatch does, it changes nothing."""
+    store.publish(version, session_tables(sessions, segments, chunks))
