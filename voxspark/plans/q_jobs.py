@@ -32,12 +32,51 @@ def voices(t):
     return t.voices.select("recording_id", "ord", "embedding")
 
 
-@query("C1_assign_speakers")
+UNIT = "list_transform({0}, lambda y: y / sqrt(list_dot_product({0}, {0})))"
+#: A unit vector mixed into a centroid of `n` others, then its length made 1.
+MIX = "list_transform(list_zip({c}, {u}), lambda p: (p[1] * {n} + p[2]) / ({n} + 1))"
+
+
+def fold_sql(rows: str, keep: str, new: str, joins: str) -> str:
+    """A recording's vectors clustered one after the other, as a recursive query whose state is the list of centroids.
+
+    rows: recording_id, n (from 1), u (unit vector) and `keep`; new and joins: conditions on best (similarity), margin
+    and k (clusters so far) for a new cluster and for joining the best one.
+    """
+    mixed = MIX.format(c="cents[pick]", u="u", n="counts[pick]")
+    return f"""v AS ({rows}),
+        fold AS (SELECT recording_id, n, {keep}, [u] AS cents, [CAST(1 AS BIGINT)] AS counts, CAST(1 AS BIGINT) AS pick, 1 AS k, true AS is_new, true AS is_joined, CAST(1 AS DOUBLE) AS best, CAST(1 AS DOUBLE) AS margin FROM v WHERE n = 1
+          UNION ALL
+          SELECT recording_id, n, {keep}, CASE WHEN is_new THEN list_append(cents, u) WHEN is_joined THEN list_transform(range(1, len(cents) + 1), lambda i: CASE WHEN i = pick THEN mixed ELSE cents[i] END) ELSE cents END,
+                 CASE WHEN is_new THEN list_append(counts, 1) WHEN is_joined THEN list_transform(range(1, len(cents) + 1), lambda i: counts[i] + CASE WHEN i = pick THEN 1 ELSE 0 END) ELSE counts END,
+                 CASE WHEN is_new THEN len(cents) + 1 ELSE pick END, k + CASE WHEN is_new THEN 1 ELSE 0 END, is_new, is_joined, best, margin
+          FROM (SELECT *, {new} AS is_new, {joins} AS is_joined, {UNIT.format("raw")} AS mixed FROM (
+            SELECT *, {mixed} AS raw FROM (SELECT *, list_position(s, list_max(s)) AS pick, list_max(s) AS best, CASE WHEN k > 1 THEN list_sort(s)[-1] - list_sort(s)[-2] ELSE list_max(s) + 1 END AS margin FROM (
+              SELECT v.*, fold.cents, fold.counts, fold.k, list_transform(fold.cents, lambda c: list_dot_product(c, v.u) / sqrt(list_dot_product(c, c) * list_dot_product(v.u, v.u))) AS s
+              FROM fold JOIN v ON v.recording_id = fold.recording_id AND v.n = fold.n + 1)))))"""
+
+
+ORDERED = f"SELECT recording_id, ord, row_number() OVER (PARTITION BY recording_id ORDER BY ord) AS n, {UNIT.format('embedding')} AS u FROM voices"
+
+
+@query(
+    "C1_assign_speakers",
+    f"""WITH RECURSIVE {fold_sql(ORDERED, "ord", "best < 0.2 AND k < 6", "best >= 0.2 AND (k = 1 OR margin >= 0.02)")}
+        SELECT recording_id, ord, CAST(CASE WHEN is_new OR is_joined THEN pick - 1 ELSE -1 END AS INTEGER) AS speaker_id, CASE WHEN is_new THEN 1 ELSE round(best, 6) END AS similarity,
+               CASE WHEN is_new THEN 'new_speaker' WHEN is_joined THEN 'confident_match' WHEN best >= 0.2 THEN 'ambiguous_match' WHEN best < 0.1 THEN 'below_minimum_threshold' ELSE 'no_confident_match' END AS reason FROM fold""",
+)
 def _(t):
     return C.assign_speakers(voices(t), ["recording_id"], ["ord"], ONLINE).select("recording_id", "ord", "speaker_id", r6("similarity").alias("similarity"), "reason")
 
 
-@query("C3_cluster_unknowns")
+UNKNOWNS = f"""SELECT a.recording_id, a.ord, row_number() OVER (PARTITION BY a.recording_id ORDER BY a.ord) AS n, {UNIT.format('embedding')} AS u FROM assigned a JOIN voices USING (ord) WHERE speaker_id = -1"""
+
+
+@query(
+    "C3_cluster_unknowns",
+    f"""WITH RECURSIVE {fold_sql(UNKNOWNS, "ord", "best < 0.2 AND k < 4", "best >= 0.2 OR k = 4")}
+        SELECT a.recording_id, row_number() OVER (PARTITION BY a.recording_id ORDER BY a.ord) - 1 AS segment_index, a.speaker_id, CAST(-100 - (pick - 1) AS INTEGER) AS unknown_id FROM assigned a LEFT JOIN fold USING (ord)""",
+)
 def _(t):
     s = segments(t).select("recording_id", "segment_index", F.col("speaker_id").cast("int").alias("speaker_id"), "embedding")
     return C.cluster_unknowns(s, ["recording_id"], ["segment_index"], UnknownClustering(similarity=0.2)).select("recording_id", "segment_index", "speaker_id", "unknown_id")

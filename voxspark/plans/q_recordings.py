@@ -308,7 +308,15 @@ def _(t):
     return validate_transcription(rows).select("doc_id", r6("ratio").alias("ratio"), "passed")
 
 
-@query("H15_join_split_markers")
+@query(
+    "H15_join_split_markers",
+    """WITH RECURSIVE t AS (SELECT recording_id, chunk_index, pos, CASE WHEN pos % 9 = 2 THEN '[' || text WHEN pos % 9 = 4 THEN text || ']' ELSE text END AS text FROM words),
+       m AS (SELECT *, starts_with(trim(text), '[') AND NOT ends_with(trim(text), ']') AS opens, min(CASE WHEN ends_with(trim(text), ']') THEN pos END) OVER (PARTITION BY recording_id, chunk_index ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS closer FROM t),
+       r AS (SELECT recording_id, chunk_index, pos AS first, CASE WHEN opens THEN coalesce(closer, pos) ELSE pos END AS last FROM m WHERE pos = 0
+             UNION ALL SELECT m.recording_id, m.chunk_index, m.pos, CASE WHEN opens THEN coalesce(closer, pos) ELSE pos END FROM r JOIN m ON m.recording_id = r.recording_id AND m.chunk_index = r.chunk_index AND m.pos = r.last + 1),
+       g AS (SELECT r.recording_id, r.chunk_index, first, string_agg(text, '' ORDER BY pos) AS text FROM r JOIN m ON m.recording_id = r.recording_id AND m.chunk_index = r.chunk_index AND pos BETWEEN first AND last GROUP BY ALL)
+       SELECT recording_id, chunk_index, count(*) AS n_words, string_agg(text, '|' ORDER BY first) AS text FROM g GROUP BY ALL""",
+)
 def _(t):
     from voxspark.plans.transcript import join_split_markers
 
