@@ -90,7 +90,63 @@ QUERIES = {f.__name__: f for f in ALL}
 CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
     lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
 
+
+def add_edit(state: str, cost: int | str, edit: str) -> str:
+    """A cost of six digits and an audit in one text, so that the least text has the least cost and then the least audit."""
+    return f"(lpad(CAST(CAST(({state})[1:6] AS INTEGER) + {cost} AS VARCHAR), 6, '0') || '{edit}' || ({state})[7:])"
+
+
+def repair_step() -> str:
+    """Cheapest rests from each phase of the grammar (as in conversations.py), one turn earlier; f: those after it, c: its code."""
+    after, letter, found = {0: 2, 1: 2, 2: 3, 3: 2}, {0: "u", 1: "u", 2: "a", 3: "u"}, []
+    for p in range(4):
+        cut = "CASE WHEN c[1] IN ('S', 'U', 'A', 'X') THEN 1 ELSE 0 END"
+        rest = f"f[{after[p] + 1}]"
+        kept = f"CASE WHEN lower(c[1]) = '{letter[p]}' THEN {add_edit(rest, cut, 'K')} ELSE {add_edit(rest, f'2 + {cut}', 'R')} END"
+        options = [add_edit(f"f[{p + 1}]", 3, "D"), f"CASE WHEN c[1] NOT IN ('b', 'd') THEN {kept} END"]
+        if p == 0:
+            options.append(f"CASE WHEN lower(c[1]) = 's' THEN {add_edit('f[2]', cut, 'K')} END")
+        found.append(f"list_min([{', '.join(options)}])")
+    return with_inserts(f"[{', '.join(found)}]")
+
+
+def with_inserts(rests: str) -> str:
+    """Up to three turns put in before each rest; more than that only go round."""
+    after = {0: 2, 1: 2, 2: 3, 3: 2}
+    own = []
+    for p in range(4):
+        q, options = p, [f"g[{p + 1}]"]
+        for k in range(1, 4):
+            q = after[q]
+            options.append(add_edit(f"g[{q + 1}]", 2 * k, "I" * k))
+        own.append(f"list_min([{', '.join(options)}])")
+    return f"list_transform([{rests}], lambda g: [{', '.join(own)}])[1]"
+
+
+DUE = "CASE WHEN s[2] = 'u' THEN 'assistant' ELSE 'user' END"
+WRITE = "[CAST(CAST(s[1] AS INTEGER) + {turns} AS VARCHAR), ({role})[1:1], s[3] || s[4] || {role} || ':' || {text}, chr(10)]"
+TURN = "CAST(s[1] AS INTEGER) + 1"
+OP11 = rf"""
+        WITH d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                          {CRC32.format("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS hit FROM conversations),
+        x AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(range(0, CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE hit <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text[1:64], sha256(text)) AS n, regexp_extract(text, '([^ 	-])[ 	-]*$', 1, 's') AS last FROM x),
+        y AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1:1] AS pair,
+                     CASE WHEN role[1:1] IN ('s', 'u', 'a') THEN role[1:1] ELSE 'x' END AS initial FROM o),
+        z AS (SELECT *, CASE WHEN last = '' THEN 'b' WHEN again THEN 'd' WHEN last IN ('.', '!', '?') THEN initial ELSE upper(initial) END AS code FROM y),
+        l AS (SELECT conv_id, list(code ORDER BY n) AS codes, list(role ORDER BY n) AS roles, list(text ORDER BY n) AS texts, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE code = 'b') AS blank,
+                     count(*) FILTER (WHERE code = 'd') AS duplicate, count(*) FILTER (WHERE code IN ('S', 'U', 'A', 'X')) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM z GROUP BY conv_id),
+        b AS (SELECT *, list_reduce(list_prepend({with_inserts("['000000', '500000', '500000', '000000']")}, list_transform(list_reverse(codes), lambda c: [c])), lambda f, c: {repair_step()})[1] AS best FROM l),
+        a AS (SELECT *, list_reduce(list_prepend(['0', '', '', ''], list_transform(string_split(best[7:], ''), lambda e: [e])), lambda s, e: CASE e[1]
+                WHEN 'D' THEN [CAST({TURN} AS VARCHAR), s[2], s[3], s[4]] WHEN 'I' THEN {WRITE.format(turns=0, role=f"({DUE})", text="''")}
+                WHEN 'K' THEN {WRITE.format(turns=1, role=f"roles[{TURN}]", text=f"texts[{TURN}]")} WHEN 'R' THEN {WRITE.format(turns=1, role=f"({DUE})", text=f"texts[{TURN}]")} ELSE s END)[3] AS said FROM b)
+        SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(coalesce(best[1:6], '0') AS BIGINT) AS cost, coalesce(best[7:], '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN a ON i.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
 ORACLES = {
+    "op11_conversations": OP11,
     "op4_url_rules": r"""
         WITH r(rule, rhost, rpath, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
                                                        ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
