@@ -13,9 +13,10 @@ from voxspark.config import Clustering, Inference, Overlap
 from voxspark.functions import text as X
 from voxspark.operators import clustering as C
 from voxspark.operators import inference as I
+from voxspark.operators.audio import slice_chunks
 from voxspark.operators.beside import beside
 from voxspark.operators.overlap import align_overlap, previous_chunk, single_word_dedup
-from voxspark.operators.phrases import absorb_short_phrases, detect_phrases, filter_segments, group_by_speaker_run, map_words_to_segments
+from voxspark.operators.phrases import absorb_short_phrases, detect_phrases, filter_segments, group_by_speaker_run, map_words_to_segments, phrases_of
 from voxspark.operators.speakers import assign_enrolled_only, score_candidates
 from voxspark.plans.transcript import merge_transcript
 
@@ -109,18 +110,18 @@ def said_until(words: Column) -> Column:
     return F.coalesce(F.nullif(last["end"], F.lit(0.0)), last["start"], F.lit(0.0))
 
 
-def dedupe_chunks(chunks: DataFrame, path: str, overlap: Overlap = Overlap()) -> DataFrame:
-    """Chunks of a recording without the words they share with the one before, and their place in the recording.
+def phrase_rows(chunks: DataFrame, overlap: Overlap, gap: float, keep: list[str]) -> DataFrame:
+    """One row a phrase of the deduped chunks, by columns alone; a chunk without phrases has one row with a null phrase_id.
 
-    chunks: recording_id, chunk_index, overlap, words (pos, text, start, end). A chunk starts where the last kept
-    words of those before end. Words before are those transcribed, not what deduping left of them.
+    chunks: words, prev_words, overlap and the columns of keep. Adds said (what the chunk adds to its recording's time),
+    chunk_text and chunk_end. Words before are those transcribed, not what deduping left of them.
     """
-    before = previous_chunk(chunks.select("recording_id", "chunk_index", "overlap", "words"), ["recording_id"], ["chunk_index"])
-    # written once, as the alignment is dear; of the words before, what follows needs the last
-    aligned = written(align_overlap(before, overlap).select("recording_id", "chunk_index", "overlap", "words", "merge_index", F.slice("prev_words", -1, 1).alias("prev_words")), path)
-    rows = cut_overlap(aligned, "recording_id", "chunk_index")
-    before = Window.partitionBy("recording_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("time_offset", F.coalesce(F.sum(said_until(F.col("words"))).over(before), F.lit(0.0)))
+    kept = cut_overlap(align_overlap(chunks, overlap), *keep)
+    whole = F.array_join(F.transform("words", lambda w: F.coalesce(w["text"], F.lit(""))), "")
+    end = F.get("words", F.size("words") - 1)["end"]
+    rows = kept.select("*", said_until(F.col("words")).alias("said"), X.strip_blank_markers(whole).alias("chunk_text"), F.coalesce(end, F.lit(0.0)).alias("chunk_end"))
+    rows = rows.withColumn("__phrase", F.explode_outer(phrases_of(F.col("words"), gap))).drop("words")
+    return rows.select("*", *[F.col(f"__phrase.{c}").alias(c) for c in ("phrase_id", "words", "start", "end", "n_words")]).drop("__phrase")
 
 
 def process_full(
@@ -128,23 +129,53 @@ def process_full(
 ) -> DataFrame:
     """All segments of recordings whose chunks were transcribed anew: dedupe, phrases, speakers, inference.
 
-    voices adds `embedding` to phrases; path is a new folder in the shared scratch folder. Rows without candidates
-    (environmental ones, texts without phrases) come without inference columns.
+    chunks: recording_id, chunk_index, overlap, words (pos, text, start, end). They are shuffled once, by recording, to
+    meet the chunk before; alignment, dedupe and phrases are columns of the same rows. voices adds `embedding` to phrases;
+    path is a new folder in the shared scratch folder. A chunk starts where the last kept words of those before end. Rows
+    without candidates (environmental ones, texts without phrases) come without inference columns.
     """
     keys = ["recording_id", "chunk_index"]
-    kept = dedupe_chunks(chunks, f"{path}/aligned", overlap)
-    phrases = written(voices(detect_phrases(kept.select(*keys, F.inline("words")), keys, gap)), f"{path}/phrases")
-    at = kept.select(*[F.col(k).alias(f"__{k}") for k in keys], "time_offset")
-    phrases_at = phrases.join(at, phrases["recording_id"].eqNullSafe(at["__recording_id"]) & (phrases["chunk_index"] == at["__chunk_index"])).drop("__recording_id", "__chunk_index")
-    text = F.array_join(F.transform("words", lambda w: F.coalesce(w["text"], F.lit(""))), "")
-    transcripts = kept.select(*keys, "time_offset", text.alias("text"), F.get("words", F.size("words") - 1)["end"].alias("end"))
-    merged = merge_transcript(phrases_at, roster, F.col("time_offset"), keys, clustering, transcripts=transcripts)
+    before = previous_chunk(chunks.select(*keys, "overlap", "words"), ["recording_id"], ["chunk_index"])
+    found = written(voices(phrase_rows(before, overlap, gap, keys)), f"{path}/phrases")
+    earlier = Window.partitionBy("recording_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    at = found.groupBy(*keys).agg(F.first("said").alias("said")).withColumn("time_offset", F.coalesce(F.sum("said").over(earlier), F.lit(0.0)))
+    at = at.select(*[F.col(k).alias(f"__{k}") for k in keys], "time_offset")
+    found = found.join(at, found["recording_id"].eqNullSafe(at["__recording_id"]) & (found["chunk_index"] == at["__chunk_index"])).drop("__recording_id", "__chunk_index")
+    phrases = found.where("phrase_id IS NOT NULL").drop("said", "chunk_text", "chunk_end")
+    wordless = found.where("phrase_id IS NULL").select(*keys, "time_offset", F.col("chunk_text").alias("text"), F.col("chunk_end").alias("end"))
+    merged = merge_transcript(phrases, roster, F.col("time_offset"), keys, clustering, transcripts=wordless)
     order = Window.partitionBy("recording_id").orderBy("chunk_index", "start_time", F.desc("kind"), "phrase_id")
     rows = written(merged.withColumns({"is_environmental": F.col("kind") == "environmental", "segment_index": F.row_number().over(order) - 1}), f"{path}/segments")
     inferred = I.infer_conversation(rows, inference)
     new = [c for c in inferred.columns if c not in rows.columns]
-    found = inferred.select(F.col("recording_id").alias("__r"), F.col("segment_index").alias("__i"), *new)
-    return rows.join(found, rows["recording_id"].eqNullSafe(found["__r"]) & (rows["segment_index"] == found["__i"]), "left").drop("__r", "__i")
+    extra = inferred.select(F.col("recording_id").alias("__r"), F.col("segment_index").alias("__i"), *new)
+    return rows.join(extra, rows["recording_id"].eqNullSafe(extra["__r"]) & (rows["segment_index"] == extra["__i"]), "left").drop("__r", "__i")
+
+
+def process_quick_audio(
+    segments: DataFrame, chunks: DataFrame, factory: ScorerFactory, roster: DataFrame, clustering: Clustering = Clustering(), inference: Inference = Inference(), rate: int = 16_000, min_samples: int = 8000
+) -> DataFrame:
+    """A quick re-run from the audio: each stored segment's samples are cut out, embedded anew, assigned and inferred.
+
+    segments: recording_id, segment_index, start, end, speaker_id, speaker_label, is_environmental. chunks: recording_id,
+    chunk_index, audio. Environmental segments and those whose embedding fails keep the speaker they have, with the reason.
+    Only the touched parts of chunks meet a segment.
+    """
+    keys = ["recording_id", "segment_index"]
+    spoken = segments.where("NOT is_environmental").select(*keys, "start", "end")
+    heard = embed(slice_chunks(spoken, chunks, ["recording_id"], rate=rate), factory, min_samples).select(*keys, "embedding", "error")
+    fresh = heard.where("embedding IS NOT NULL").select(*keys, "embedding")
+    inferred = process_quick(fresh, roster, clustering, inference)
+    columns = [c for c in inferred.columns if c not in (*keys, "embedding", "speaker_id", "speaker_label")]
+    named = inferred.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"__{c}") for c in ("speaker_id", "speaker_label")], *columns)
+    errors = heard.where("embedding IS NULL").select(*[F.col(k).alias(f"__e_{k}") for k in keys], "error")
+    rows = segments.join(named, segments["recording_id"].eqNullSafe(named["__recording_id"]) & (segments["segment_index"] == named["__segment_index"]), "left")
+    rows = rows.join(errors, rows["recording_id"].eqNullSafe(errors["__e_recording_id"]) & (rows["segment_index"] == errors["__e_segment_index"]), "left")
+    renewed = F.col("__segment_index").isNotNull()
+    kept = F.when(F.col("is_environmental"), "environmental").when(~renewed, F.coalesce("error", F.lit("No audio")))
+    return rows.withColumns({
+        "speaker_id": F.when(renewed, F.col("__speaker_id")).otherwise(F.col("speaker_id")), "speaker_label": F.when(renewed, F.col("__speaker_label")).otherwise(F.col("speaker_label")), "kept_because": kept,
+    }).select(*segments.columns, *columns, "kept_because")
 
 
 def correction_changes(segments: DataFrame, corrections: DataFrame, clustering: Clustering = Clustering(), inference: Inference = Inference()) -> DataFrame:

@@ -19,7 +19,7 @@ from voxspark.plans.q_phrases import CHUNK
 from voxspark.plans.q_speakers import SCALED, r6, roster
 from voxspark.plans.registry import query
 from voxspark.plans.transcript import merge_transcript
-from voxspark.sources.bindings import SQL
+from voxspark.sources.bindings import SQL, sample_scorer
 from voxspark.sources.snapshots import Store
 from voxspark.streaming import live as L
 from voxspark.streaming import transcript as TR
@@ -127,6 +127,30 @@ def _(t):
     return J.process_quick(rows, roster(t), SCALED, GATES).select("recording_id", "segment_index", "display_label")
 
 
+#: Two speakers of `sample_scorer`, and how sure a match must be.
+HEARD = [(0, "Low", [0.1, 0.01, 0.3]), (1, "High", [0.6, 0.1, 0.3])]
+SURE = Clustering(similarity=0.97, minimum=0.5, margin=0.0)
+
+
+@query(
+    "C11_process_audio",
+    """WITH a AS (SELECT clip, flatten(list([feat[3] * 8, feat[4] * 8] ORDER BY frame)) AS x FROM frames GROUP BY clip),
+       s AS (SELECT clip, k, k % 4 = 3 AS env, x[2 * k + 1:2 * k + 3] AS x FROM a, (SELECT unnest(range(0, 5)) AS k)),
+       v AS (SELECT *, [list_avg(x), list_avg(list_transform(x, lambda y: (y - list_avg(x)) * (y - list_avg(x)))), len(x) / CAST(10 AS DOUBLE)] AS v FROM s WHERE NOT env AND len(x) = 3),
+       c AS (SELECT *, list_cosine_similarity(v, [CAST(0.1 AS DOUBLE), 0.01, 0.3]) AS low, list_cosine_similarity(v, [CAST(0.6 AS DOUBLE), 0.1, 0.3]) AS high FROM v)
+       SELECT s.clip AS recording_id, s.k AS segment_index, CASE WHEN c.clip IS NULL THEN 'old' WHEN greatest(low, high) < 0.97 THEN 'Unknown' WHEN low >= high THEN 'Low' ELSE 'High' END AS speaker_label,
+              CASE WHEN s.env THEN 'environmental' WHEN c.clip IS NULL THEN 'Audio too short' END AS kept_because
+       FROM s LEFT JOIN c ON s.clip = c.clip AND s.k = c.k""",
+)
+def _(t):
+    chunks = t.frames.select(F.col("clip").alias("recording_id"), F.col("frame").alias("chunk_index"), F.array(F.element_at("feat", 3) * 8, F.element_at("feat", 4) * 8).alias("audio"))
+    k = F.col("segment_index")
+    rows = chunks.select("recording_id").distinct().withColumn("segment_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    rows = rows.select("*", (k * 2 / 16000).alias("start"), ((k * 2 + 3) / 16000).alias("end"), F.lit(7).alias("speaker_id"), F.lit("old").alias("speaker_label"), (k % 4 == 3).alias("is_environmental"))
+    people = t.spark.createDataFrame(HEARD, "idx int, name string, centroid array<double>")
+    return J.process_quick_audio(rows, chunks, sample_scorer, people, SURE, GATES, min_samples=3).select("recording_id", "segment_index", "speaker_label", "kept_because")
+
+
 #: Other gates than those the segments were inferred with, and the same in SQL.
 LOOSE = replace(GATES, boost=1.3, unknown_boost=1.2, confident=0.5, ambiguity_margin=0.12)
 LOOSE_BOOST = BOOST.replace("s1 >= 0.4", "s1 >= 0.5").replace("s1 - s2 >= 0.08", "s1 - s2 >= 0.12").replace("THEN 1.05 ELSE 1.10", "THEN 1.2 ELSE 1.3")
@@ -182,20 +206,10 @@ def _(t):
     return out.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_phrases"), F.sum("n_words").alias("n_words"))
 
 
-def toy_scorer():
-    """A stand-in for a voice model: mean, spread and length of the samples."""
-
-    def score(samples):
-        n, mean = len(samples), sum(samples) / len(samples)
-        return None if n == 0 else [mean, sum((x - mean) ** 2 for x in samples) / n, float(n)]
-
-    return score
-
-
 @query("U1_embed", "SELECT clip, CASE WHEN count(*) < 3 THEN 'Audio too short' END AS error, CASE WHEN count(*) >= 3 THEN round(avg(feat[3]), 6) END AS mean FROM frames GROUP BY clip")
 def _(t):
     audio = t.frames.groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "feat"))), lambda s: F.element_at(s["feat"], 3)).alias("audio"))
-    return J.embed(audio, toy_scorer, 3).select("clip", "error", r6(F.col("embedding")[0]).alias("mean"))
+    return J.embed(audio, sample_scorer, 3).select("clip", "error", r6(F.col("embedding")[0]).alias("mean"))
 
 
 @query("C16_merge_transcript")

@@ -144,6 +144,16 @@ class Tables:
         return self.table("events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("log_id"), "ts", F.col("event_type").alias("type"), F.col("props").alias("data"), "value")
 
 
+def sample_scorer():
+    """Stands in for a voice model in the queries: mean, spread and length of the samples, for which the tables hold no model."""
+
+    def score(samples):
+        n, mean = len(samples), sum(samples) / max(1, len(samples))
+        return None if n == 0 else [mean, sum((x - mean) ** 2 for x in samples) / n, n / 10]
+
+    return score
+
+
 SQL = {
     "words": r"""
         SELECT recording_id, channel_id, chunk_index, pos, text, (400 * pos + 500 * brk) / CAST(1000 AS DOUBLE) AS "start", (400 * pos + 500 * brk + 350) / CAST(1000 AS DOUBLE) AS "end"
