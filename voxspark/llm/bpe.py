@@ -71,6 +71,7 @@ class Bpe:
         #: of normalised text; of one word; of one word that goes on; of the characters of ids, ending a word or not
         self.text, self.word, self.open_word, self.raw, self.open_raw = make(split, END), make(byte_level, END), make(byte_level, None), make(None, END), make(None, None)
         self.names = [self.whole.id_to_token(i) for i in range(self.whole.get_vocab_size())]
+        self.numbers = [str(i) for i in range(len(self.names))]
         self.sizes = np.array([len(t.removesuffix(END)) for t in self.names], dtype=np.int64)  # bytes
         self.held: dict[str, list[int]] = {}
         self.before: dict[str, list[int]] = {}
@@ -137,7 +138,7 @@ class Bpe:
 
     def decode(self, ids: list[int]) -> str:
         """As the library does without a decoder: the entries, joined by spaces."""
-        return " ".join([self.names[i] for i in ids])
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 #: A part of a text: normalised bytes, ids, spaces before each id.
@@ -227,7 +228,7 @@ def digests(doc_ids: pa.Array, rows: list[list[int]], v: Bpe) -> pa.RecordBatch:
     columns = [
         doc_ids,
         pa.array([len(r) for r in rows], pa.int64()),
-        pa.array([sha(" ".join(map(str, r))) for r in rows], pa.string()),
+        pa.array([sha(" ".join(map(v.numbers.__getitem__, r))) for r in rows], pa.string()),
         pa.array([sha(v.decode(r)) for r in rows], pa.string()),
     ]
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
