@@ -75,3 +75,42 @@ def test_clashing_columns_and_small_tables(spark):
     assert {r.predicted for r in Q.score_documents(docs, labels).where(F.col("doc_id") % 2 == 1).collect()} == {1}
     assert Q.score_documents(docs.limit(0), labels).collect() == [] and Q.keep_good(docs.limit(0), labels).collect() == []
     assert Q.keep_good(docs, labels.limit(0)).count() == 100
+
+
+def loss_slope(z, y, w):
+    """Of the logistic loss of all pairs, pair by pair."""
+    d = (z[y == 1][:, None] - z[y == 0]).reshape(-1, z.shape[1])
+    return 1e-3 * w - d.T @ (1 / (1 + np.exp(d @ w))) / len(d)
+
+
+def test_all_pairs_count():
+    rng = np.random.default_rng(3)
+    y = (rng.random(700) < 0.8).astype(int)
+    x = rng.normal(size=(700, 5)) * [1, 2, 3, 1, 1] + y[:, None] * [1, 0.5, 3, 0, 0]
+    x[0] *= 1e4
+    w, mean, scale = Q.fit_pairs(x, y)
+    assert np.abs(loss_slope((x - mean) / scale, y, w)).max() < 1e-9
+
+
+def test_every_labelled_document_is_learnt_from(spark):
+    """With few documents on the driver the fit and the cut are those of all, not of a sample."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    text, label = {r.doc_id: r.text or "" for r in docs.collect()}, {r.doc_id: r.quality for r in labels.collect()}
+    learnt = sorted(i for i in label if i in text and not is_held(i) and label[i] in (0, 1))
+    x, y = np.array([Q.features(text[i]) for i in learnt]), np.array([label[i] for i in learnt])
+    w, mean, scale = Q.fit_pairs(x, y)
+    s = np.sort(((x - mean) / scale) @ w)
+    cut = (s[(y == 0).sum() - 1] + s[(y == 0).sum()]) / 2
+    strength = {i: ((np.array(Q.features(t)) - mean) / scale) @ w - cut for i, t in text.items()}
+    assert len(learnt) > 200
+    for most in (60, 1):
+        got = Q.score_documents(docs, labels, max_labels=most).collect()
+        assert all(r.score == pytest.approx(1 / (1 + np.exp(-(strength[r.doc_id] + np.log(0.3 / 0.7)))), abs=1e-7) for r in got) and len(got) == len(text)
+    kept = {r.doc_id for r in Q.keep_good(docs, labels, max_labels=60).collect()}
+    assert kept == {r.doc_id for r in got if r.predicted}
+
+
+def test_ranks(spark):
+    values = [0.5] * 40 + [-3.0, 1e9, 0.25, 0.25, *(i / 7 for i in range(3_000))]
+    table = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [Q.smallest(table, k) for k in (0, 1, 30, 45, 1_500, len(values) - 1)] == [sorted(values)[k] for k in (0, 1, 30, 45, 1_500, len(values) - 1)]
