@@ -1,7 +1,14 @@
 """The stages of the pipeline, each on its own input."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
-from voxspark.llm import quality, secret_scan
+from voxspark.llm import jaccard, packing, quality, secret_scan
+from voxspark.llm.pieces import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +56,28 @@ def test_near_judges_each_row(spark):
     # 2 loses its copy of 1 and keeps the other text
     want = [(1, one), (2, two), (9, "alone"), (None, one + " end"), (None, one + " end")]
     assert rows_of(corpus_pipeline.near(spark, docs, SF)) == sorted(want, key=str)
+
+
+BYTE_BPE = tokenizer_path("byte_bpe_50k.json")
+
+
+@pytest.mark.parametrize(
+    "run",
+    [quality._feature_batches, quality._rows_with_features("text", "features"), jaccard._set_rows(5), secret_scan._masked(["doc_id", "text"], 1), secret_scan._scan_batches, packing._cut(BYTE_BPE, 1024)],
+)
+def test_a_large_batch_is_worked_off_in_parts(run):
+    """What a worker holds beside Spark's batch doesn't grow with it: the executor's memory has to last for all stages."""
+    words, rng = np.array([f"word{i}" for i in range(500)]), np.random.default_rng(1)
+    texts = [" ".join(rng.choice(words, 250)) for _ in range(4_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    packing.encode_bytes("warm", BYTE_BPE)
+    list(run(iter([batch.slice(0, 10)])))
+    size, arrow, most = sum(map(len, texts)), pa.total_allocated_bytes(), 0
+    del texts
+    tracemalloc.start()
+    for out in run(iter([batch])):
+        most = max(most, pa.total_allocated_bytes() - arrow)
+        assert out.num_rows < 3_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak + most < size

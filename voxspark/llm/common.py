@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,14 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in order, few at a time, so that neither a worker's lists of them nor what goes back to the executor grow with Spark's batches."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # workers stay for the next tasks
+
+
 def planes(values: np.ndarray) -> bytes:
     """Bytes of equal weight together, so that compression finds the empty ones."""
     return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxspark.llm.common import discard, documents, from_planes, materialize, partitions, planes
+from voxspark.llm.common import discard, documents, from_planes, materialize, partitions, planes, slices
 from voxspark.llm.graph import components
 from voxspark.llm.shingles import shingle_set
 
@@ -88,7 +88,7 @@ def slot_rows(chunk: int, docs: list[tuple[int | None, np.ndarray]], ranges: int
 def _send_slots(words: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
-        for b in batches:
+        for b in slices(batches):
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 held.append((doc, shingle_set(text, words)))
                 size += len(held[-1][1])
@@ -319,7 +319,7 @@ def _set_rows(words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("hashes", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(t, words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array([int(s[at] >> _U(1)) if len(s) else 0 for s in sets], pa.int64()) for at in (0, -1))], schema=schema)
 
@@ -327,12 +327,10 @@ def _set_rows(words: int):
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, 256):
         sets = [np.frombuffer(h, np.int64) for h in b.column("hashes").to_pylist()]
-        for at in range(0, len(sets), 256):
-            part = sets[at : at + 256]
-            node = np.repeat(b.column("node").to_numpy()[at : at + 256], [len(s) for s in part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(node)], ["shingle", "node"])
+        node = np.repeat(b.column("node").to_numpy(), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(node)], ["shingle", "node"])
 
 
 def signatures(sets: DataFrame, percent: int) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxspark.llm.common import documents, materialize
+from voxspark.llm.common import documents, materialize, slices
 from voxspark.llm.pieces import byte_bpe
 
 CAPACITY = 1024
@@ -49,7 +49,7 @@ def cuts(n: int, capacity: int) -> list[int]:
 
 def _cut(tokenizer: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple[int, int, int, int, int]] = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = memoryview(encode_bytes(text, tokenizer))

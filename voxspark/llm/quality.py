@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxspark.llm.common import documents, fresh, joinable, materialize
+from voxspark.llm.common import documents, fresh, joinable, materialize, slices
 
 THRESHOLD = 0.3
 FOLDS = 5
@@ -72,7 +72,7 @@ def features(text: str) -> list[float]:
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         rows = [features(t) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "features"])
 
@@ -257,7 +257,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def _rows_with_features(text_col: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [features(t or "") for t in b.column(b.schema.names.index(text_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.float64()))], [*b.schema.names, name])
 

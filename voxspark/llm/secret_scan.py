@@ -32,7 +32,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from voxspark.llm.common import documents
+from voxspark.llm.common import documents, slices
 
 KINDS = ("assign", "access", "hex", "target")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -357,7 +357,7 @@ def redact(text: str, mask: str = MASK) -> str:
 
 
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [scan(t) for t in batch.column("text").to_pylist()]
         count = lambda k: pa.array([sum(x[1] == k for x in r) for r in rows], pa.int64())  # noqa: E731, B023
         base = [hashlib.sha256(joined([x for x in r if x[1] < 3]).encode()).hexdigest() for r in rows]
@@ -374,13 +374,15 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with secrets masked in the text; null texts stay null."""
-    names, at = docs.columns, docs.columns.index(text_col)
-
-    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+def _masked(names: list[str], at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
             texts = pa.array([x if x is None else redact(x) for x in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(b.columns)], names)
 
-    return docs.mapInArrow(masked, docs.schema)
+    return run
+
+
+def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The same rows and columns with secrets masked in the text; null texts stay null."""
+    return docs.mapInArrow(_masked(docs.columns, docs.columns.index(text_col)), docs.schema)
