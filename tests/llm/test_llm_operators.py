@@ -4,6 +4,7 @@ import array
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -151,6 +152,67 @@ def test_every_thins_across_batches():
     assert [k for b in suffix_dedup._every(3)(iter(batches)) for k in b.column("key").to_pylist()] == [0, 3, 6, 9]
 
 
+def test_equal_splitter_keys_spread_over_tasks(spark):
+    rows = [(b"a" * 20, i) for i in range(4_000)] + [(b"b" * 20, i) for i in range(40)]
+    found = suffix_dedup.sorted_keys(spark.createDataFrame(rows, "key binary, apart long").repartition(3), 8).rdd.glom().collect()
+    assert max(map(len, found)) < 1_500
+    assert [bytes(r.key) for part in found for r in part] == sorted(k for k, _ in rows)
+
+
+def test_sent_rows_are_those_of_a_plain_loop():
+    """Anchors, their documents and the dealt stretches of a chunk, beside a sequential model."""
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(70)) for _ in range(60)]
+    texts = [" ".join(rng.choices(lines, k=rng.randint(0, 9)))[rng.randint(0, 30) :].encode() for _ in range(120)]
+    ids = [*range(3, 3 + len(texts) - 1), None]
+    s = suffix_dedup.Stretches(b"".join(texts), [len(t) for t in texts], ids)
+    hashes, counts = s.anchors()
+    held = {}
+    for h, d in zip(s.hash.tolist(), s.doc.tolist(), strict=True):
+        held.setdefault(h, set()).add(d)
+    assert hashes.tolist() == sorted(held) and counts.tolist() == [len(held[h]) for h in sorted(held)]
+    starts = [w for a, b in zip(s.first.tolist(), s.last.tolist(), strict=True) for w in range(a, b + 1)]
+    ends = np.cumsum([len(t) for t in texts])
+    assert starts == [w for t, e in zip(texts[:-1], ends, strict=False) for w in range(e - len(t), e - 49)]
+    answers = np.array([min(2, h % 3) if len(held[h]) > 1 else 0 for h in hashes.tolist()], np.uint8)
+    assert s.flags(answers).tolist() == [answers[hashes.searchsorted(h)] for h in s.hash]
+    chosen = suffix_dedup.Selected(s, answers, [b"c", b"f"], 4)
+    flag = dict(zip(hashes.tolist(), answers.tolist(), strict=True))
+    wanted = Counter()
+    for h, a, b, d in zip(*(x.tolist() for x in (s.hash, s.first, s.last, s.doc)), strict=True):
+        for x, y in [(a, b)] if flag[h] == 1 else [(w, w) for w in range(a, b + 1)] if flag[h] else []:
+            wanted[s.data[x : y + 50], d] += 1
+    assert Counter(zip([chosen.texts[i] for i in chosen.slot.tolist()], chosen.doc.tolist(), strict=True)) == wanted
+    assert chosen.owner.tolist() == [ids[min(d for t, d in wanted if t == text)] for text in chosen.texts]
+    assert len(set(chosen.texts)) == len(chosen.texts) and chosen.range[chosen.order].tolist() == sorted(chosen.range.tolist())
+
+
+def test_suffix_work_of_a_chunk_is_a_small_multiple_of_its_text():
+    """CPU time beside that of hashing as many words in a plain loop, as machines differ in speed."""
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), dtype=np.uint8)) for _ in range(4_000)]
+    texts = [b" ".join([words[i] for i in rng.integers(0, 4_000, 150)]) for _ in range(1_600)]
+    texts = [t + texts[max(0, i - 7)][:300] for i, t in enumerate(texts)]
+    data, sizes, ids = b"".join(texts), [len(t) for t in texts], [*range(len(texts))]
+
+    def work():
+        s = suffix_dedup.Stretches(data, sizes, ids)
+        hashes, counts = s.anchors()
+        suffix_dedup.Selected(s, (counts > 1).astype(np.uint8), [b"f", b"p"], 3)
+
+    def plain():
+        seen = {}
+        for w in data.split(b" ") * 2:
+            seen[w] = seen.get(w, 0) + 1
+
+    def seconds(run):
+        began = time.process_time()
+        run()
+        return time.process_time() - began
+
+    assert min(seconds(work) for _ in range(5)) < 1.6 * min(seconds(plain) for _ in range(5))
+
+
 def test_repeated_bytes_of_the_table(spark, docs):
     assert sorted(map(tuple, suffix_dedup.repeated_bytes(docs, chunk=50_000).collect())) == sorted(repeats([(r.doc_id, r.text) for r in docs.collect()]))
 

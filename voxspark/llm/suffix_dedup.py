@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from voxspark.llm.shingles import mix
 MATCH = 50
 K = 20
 CHUNK = 2_000_000
-STEP = 1 << 18
+STEP = 1 << 15
 FREQUENT = 4096
 RANGE_BYTES = 4_000_000
 MAX_RANGES = 1 << 20
@@ -48,34 +49,36 @@ BUCKET = 8_000_000
 SAMPLED_CHUNKS = 64
 SAMPLED_KEYS = 256
 _U = np.uint64
+_MASK = np.uint32(2 * STEP - 1)
+_PLACES = np.arange(STEP + MATCH, dtype=np.uint32)
+_ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
+CHUNKS = 64
+SAMPLED_KEYS = 256
+_U = np.uint64
 _TABLE = np.random.default_rng(4099).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0xC2B2AE3D27D4EB4F
 CHUNKS = "chunk long, ids array<long>, sizes array<long>, data binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _power(n: int) -> np.uint64:
-    return _U(pow(_BASE, n, 2**64))
+def words_at(data: np.ndarray, order: str = "<") -> np.ndarray:
+    """The eight bytes from each place on as a number, first byte lowest or (order >) highest."""
+    return np.ndarray((max(0, len(data) - 7),), f"{order}u8", buffer=data, strides=(1,)).astype(_U)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the K bytes at each place, by doubling the length."""
-    runs, length = {1: _TABLE[data]}, 1
-    while 2 * length <= K:
-        h = runs[length]
-        runs[2 * length] = h[:-length] * _power(length) + h[length:]
-        length *= 2
-    found, done = None, 0
-    for length in sorted(runs, reverse=True):
-        if K & length:
-            h = runs[length]
-            if found is None:
-                found = h
-            else:
-                n = len(data) - done - length + 1
-                found = found[:n] * _power(length) + h[done : done + n]
-            done += length
-    return mix(found)
+    """Hash of the K bytes at each place, from the three numbers of eight bytes that cover them."""
+    words = words_at(data)
+    n = len(data) - K + 1
+    h = words[:n] * _ODD[0]
+    for at, odd in ((8, _ODD[1]), (K - 8, _ODD[2])):
+        h ^= h >> _U(32)
+        h += words[at : at + n]
+        h *= odd
+    h ^= h >> _U(29)
+    h *= _ODD[0]
+    h ^= h >> _U(32)
+    return h
 
 
 def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
@@ -86,84 +89,113 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - (width - length)], keys[width - length :]) if length < width else keys
 
 
+def _begins(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def spread(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... in numbers of counts[0], then those of begin[1], and so on."""
+    return np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 class Stretches:
-    """Stretches of suffixes that share an anchor: anchor hash and place, first and last start, document's place."""
+    """Stretches of suffixes that share an anchor: anchor hash and place, first and last start, document's place.
+
+    An anchor is the leftmost of the smallest hashes by their upper bits, as far as they fit beside a place in 32 bits.
+    """
 
     def __init__(self, data: bytes, sizes: list[int], ids: list[int | None]):
-        self.data, self.ids = data, ids
-        bytes_, ends = np.frombuffer(data, np.uint8), np.cumsum(np.asarray(sizes, dtype=np.int64))
-        usable, parts = np.array([i is not None for i in ids], dtype=bool), []
-        mask = _U(2 * STEP - 1)
+        self.data, self.ids = data, np.array([i or 0 for i in ids], np.int64)
+        bytes_, lengths, parts = np.frombuffer(data, np.uint8), np.asarray(sizes, np.int64), []
+        whole = np.where([i is not None for i in ids], np.maximum(lengths - MATCH + 1, 0), 0)
+        valid = np.repeat(np.tile([True, False], len(lengths)), np.stack([whole, lengths - whole], axis=1).ravel())
         for s in range(0, len(data) - MATCH + 1, STEP):
-            part = bytes_[s : s + STEP + MATCH - 1]
-            g = gram_hashes(part)
-            at = (window_minima((g & ~mask) | np.arange(len(g), dtype=_U), MATCH - K + 1) & mask).astype(np.int64)
-            start = np.arange(s, s + len(at))
-            doc = np.searchsorted(ends, start, side="right")
-            valid = (start + MATCH <= ends[doc]) & usable[doc]
-            first = np.flatnonzero(valid & np.concatenate([[True], (at[1:] != at[:-1]) | ~valid[:-1] | (doc[1:] != doc[:-1])]))
-            last = np.flatnonzero(valid & np.concatenate([(at[1:] != at[:-1]) | ~valid[1:] | (doc[1:] != doc[:-1]), [True]]))
-            parts.append((g[at[first]], at[first] + s, first + s, last + s, doc[first]))
-        empty = [np.empty(0, _U), *[np.empty(0, np.int64)] * 4]
-        self.hash, self.anchor, self.first, self.last, self.doc = map(np.concatenate, zip(*parts, strict=True)) if parts else empty
+            g = gram_hashes(bytes_[s : s + STEP + MATCH - 1])
+            keys = ((g >> _U(32)).astype(np.uint32) & ~_MASK) | _PLACES[: len(g)]
+            at = window_minima(keys, MATCH - K + 1) & _MASK
+            ok = valid[s : s + len(at)]
+            # between two documents lie starts that aren't valid
+            edge = np.concatenate([[True], (at[1:] != at[:-1]) | (ok[1:] != ok[:-1]), [True]])
+            first, last = np.flatnonzero(edge[:-1] & ok), np.flatnonzero(edge[1:] & ok)
+            place = at[first].astype(np.int64)
+            parts.append((g[place], place + s, first + s, last + s))
+        empty = [np.empty(0, _U), *[np.empty(0, np.int64)] * 3]
+        self.hash, self.anchor, self.first, self.last = map(np.concatenate, zip(*parts, strict=True)) if parts else empty
+        self.doc = np.searchsorted(np.cumsum(lengths), self.first, side="right")
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes and the number of documents of each."""
-        pairs = np.unique(np.stack([self.hash, self.doc.astype(_U)]), axis=1) if len(self.hash) else np.empty((2, 0), _U)
-        return np.unique(pairs[0], return_counts=True)
+        order = np.argsort(self.hash)
+        hashes, docs = self.hash[order], self.doc[order]
+        begin = _begins(hashes)
+        times = np.diff(np.append(begin, len(hashes)))
+        run = np.repeat(np.arange(len(begin)), times)
+        several = (times > 1)[run]
+        pairs = np.sort(run[several] * len(self.ids) + docs[several])
+        counts = np.bincount(pairs[_begins(pairs)] // max(1, len(self.ids)), minlength=len(begin))
+        return hashes[begin], np.maximum(counts, 1)
+
+    def flags(self, answers: np.ndarray) -> np.ndarray:
+        """The answer to each stretch's anchor, from those to the sorted distinct hashes."""
+        order = np.argsort(self.hash)
+        found = np.empty(len(order), np.uint8)
+        begin = _begins(self.hash[order])
+        found[order] = np.repeat(answers, np.diff(np.append(begin, len(order))))
+        return found
+
+    def heads(self, which: np.ndarray) -> np.ndarray:
+        """The anchors' K bytes of some stretches."""
+        if not len(which):
+            return np.empty(0, f"S{K}")
+        return np.ndarray((len(self.data) - K + 1,), f"S{K}", buffer=self.data, strides=(1,))[self.anchor[which]]
+
+
+@cache
+def _range_begins(n: int) -> np.ndarray:
+    return np.array([-(-(i << 64) // n) for i in range(n)], dtype=_U)
 
 
 def hash_ranges(hashes: np.ndarray, n: int) -> np.ndarray:
     """Where each of n equal ranges of the hash begins in sorted hashes, and the end."""
-    return np.searchsorted(hashes, np.array([-(-(i << 64) // n) for i in range(n)], dtype=_U)).tolist() + [len(hashes)]
+    return np.append(np.searchsorted(hashes, _range_begins(n)), len(hashes))
 
 
 class Selected:
     """A chunk's suffixes whose anchors are in several documents, dealt into ranges.
 
-    slots: distinct stretches (text, smallest document, range, place of the anchor in the text); uses:
-    (slot, first start, last start, document) of every occurrence.
+    Slots are distinct stretches: texts, sizes (suffixes), owner (smallest document), range, place (of the anchor in
+    the text), and their order by range, where begin and to tell each range's part. Occurrences have slot, first
+    start, number of suffixes and document.
     """
 
     def __init__(self, s: Stretches, flags: np.ndarray, cuts: list[bytes], ranges: int):
-        known = np.unique(s.hash)
-        flag = flags[np.searchsorted(known, s.hash)] if len(known) else np.empty(0, np.uint8)
-        chosen = np.flatnonzero(flag)
-        keys = np.array(cuts, dtype=f"S{K}")
-        heads = np.array([s.data[p : p + K] for p in s.anchor[chosen].tolist()], dtype=f"S{K}")
-        dealt = np.searchsorted(keys, heads, side="right").tolist() if len(chosen) else []
-        slots: dict[bytes, int] = {}
-        self.owner, self.range, self.place, self.uses = [], [], [], []
-
-        def slot(text: bytes, doc: int, to: int, place: int) -> int:
-            found = slots.setdefault(text, len(slots))
-            if found == len(self.owner):  # documents come in order of their ids
-                self.owner.append(s.ids[doc])
-                self.range.append(to)
-                self.place.append(place)
-            return found
-
-        columns = (c[chosen].tolist() for c in (s.anchor, s.first, s.last, s.doc))
-        for f, p, a, b, d, to in zip(flag[chosen].tolist(), *columns, dealt, strict=True):
-            if f == 1:
-                self.uses.append((slot(s.data[a : b + MATCH], d, to, p - a), a, b, d))
-            else:
-                for w in range(a, b + 1):
-                    text = s.data[w : w + MATCH]
-                    to = int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "big") % ranges
-                    self.uses.append((slot(text, d, to, p - w), w, w, d))
+        flag = s.flags(flags)
+        one, many = np.flatnonzero(flag == 1), np.flatnonzero(flag == 2)
+        each = s.last[many] - s.first[many] + 1
+        self.first = np.concatenate([s.first[one], spread(s.first[many], each)])
+        self.count = np.concatenate([s.last[one] - s.first[one], np.zeros(each.sum(), np.int64)]) + 1
+        which = np.concatenate([one, np.repeat(many, each)])
+        self.doc = s.doc[which]
+        data, ends = s.data, self.first + self.count + (MATCH - 1)
+        found = [data[a:b] for a, b in zip(self.first.tolist(), ends.tolist(), strict=True)]
+        slots = dict.fromkeys(found)
         self.texts = [*slots]
-        self.order = sorted(range(len(self.texts)), key=self.range.__getitem__)
-
-    def by_range(self) -> Iterator[tuple[int, list[int]]]:
-        """The slots of each range that has some."""
-        at = 0
-        while at < len(self.order):
-            to, end = self.range[self.order[at]], at
-            while end < len(self.order) and self.range[self.order[end]] == to:
-                end += 1
-            yield to, self.order[at:end]
-            at = end
+        slots = dict(zip(self.texts, range(len(slots)), strict=True))
+        self.slot = np.fromiter(map(slots.__getitem__, found), np.int64, len(found))
+        # slots are numbered as they come, and documents come in order of their ids
+        lead = np.flatnonzero(np.diff(np.maximum.accumulate(self.slot), prepend=-1))
+        self.owner, self.sizes = s.ids[self.doc[lead]], self.count[lead]
+        self.place = (s.anchor[which] - self.first)[lead]
+        self.range = np.empty(len(lead), np.int64)
+        dealt = int(np.searchsorted(lead, len(one)))
+        self.range[:dealt] = np.searchsorted(np.array(cuts, dtype=f"S{K}"), s.heads(which[lead[:dealt]]), side="right")
+        self.range[dealt:] = [int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "big") % ranges for t in self.texts[dealt:]]
+        self.order = np.argsort(self.range, kind="stable")
+        self.begin = _begins(self.range[self.order])
+        self.to = self.range[self.order][self.begin]
 
 
 def equal_runs(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +224,11 @@ def equal_runs(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return active, np.flatnonzero(new)
 
 
+def pieces_of(data: bytes, begin: np.ndarray) -> pa.Array:
+    """A binary column of the bytes from each begin to the next, the last one being the end."""
+    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(data)])
+
+
 def _chunk_rows(target: int):
     schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
 
@@ -221,9 +258,10 @@ def _send_anchors(ranges: int):
             for r in b.to_pylist():
                 hashes, counts = Stretches(r["data"], r["sizes"], r["ids"]).anchors()
                 at = hash_ranges(hashes, ranges)
-                counts = np.minimum(counts, 65535).astype(np.uint16)
-                parts = [(i, hashes[x:y].tobytes(), counts[x:y].tobytes()) for i, (x, y) in enumerate(zip(at, at[1:], strict=False)) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]] * len(parts), pa.int64()), *(pa.array([p[k] for p in parts], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary())))], ["chunk", "range", "hashes", "counts"])
+                some = np.flatnonzero(np.diff(at))
+                begin, counts = np.append(at[some], at[-1]), np.minimum(counts, 65535).astype(np.uint16)
+                columns = [pa.array(np.full(len(some), r["chunk"], np.int64)), pa.array(some.astype(np.int32)), pieces_of(hashes.tobytes(), 8 * begin), pieces_of(counts.tobytes(), 2 * begin)]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "range", "hashes", "counts"])
 
     return run
 
@@ -272,45 +310,40 @@ def _send_suffixes(cuts: list[bytes], ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                chosen = Selected(Stretches(r["data"], r["sizes"], r["ids"]), _joined(r["flags"] or []), cuts, ranges)
-                rows = []
-                for to, slots in chosen.by_range():
-                    texts = [chosen.texts[x] for x in slots]
-                    docs = np.array([chosen.owner[x] for x in slots], np.int64)
-                    counts = np.array([len(t) - MATCH + 1 for t in texts], np.uint8)
-                    places = np.array([chosen.place[x] for x in slots], np.uint8)
-                    rows.append((r["chunk"], to, docs.tobytes(), counts.tobytes(), places.tobytes(), b"".join(texts)))
-                types = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
-                columns = [pa.array([x[k] for x in rows], t) for k, t in enumerate(types)]
+                s = Selected(Stretches(r["data"], r["sizes"], r["ids"]), _joined(r["flags"] or []), cuts, ranges)
+                sizes, begin = s.sizes[s.order], np.append(s.begin, len(s.order))
+                ends = np.append(0, np.cumsum(sizes + MATCH - 1))[begin]
+                columns = [
+                    pa.array(np.full(len(s.to), r["chunk"], np.int64)), pa.array(s.to.astype(np.int32)), pieces_of(s.owner[s.order].tobytes(), 8 * begin),
+                    pieces_of(sizes.astype(np.uint8).tobytes(), begin), pieces_of(s.place[s.order].astype(np.uint8).tobytes(), begin),
+                    pieces_of(b"".join([s.texts[i] for i in s.order.tolist()]), ends),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, ["chunk", "range", "docs", "counts", "places", "texts"])
 
     return run
 
 
-def mark_repeats(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each stretch a mark a suffix: whether a smaller document holds the same MATCH bytes.
+def mark_repeats(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
+    """A mark a suffix, stretch by stretch: whether a smaller document holds the same MATCH bytes.
 
     Equal stretches are compared once, as that of their smallest document; all later ones are marked whole.
     """
-    first: dict[bytes, int] = {}
-    same = np.array([first.setdefault(t, len(first)) for t in texts], dtype=np.int64)
+    first = dict.fromkeys(texts)
+    distinct = [*first]
+    first = dict(zip(distinct, range(len(distinct)), strict=True))
+    same = np.fromiter(map(first.__getitem__, texts), np.int64, len(texts))
     owner = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(owner, same, docs)
-    counts = np.array([len(t) - MATCH + 1 for t in first], dtype=np.int64)
-    text = np.frombuffer(b"".join(first) + bytes(16), np.uint8)
-    begin = np.cumsum(counts + MATCH - 1) - (counts + MATCH - 1)
-    at = np.cumsum(counts) - counts
-    starts = np.repeat(begin, counts) + np.arange(counts.sum()) - np.repeat(at, counts)
-    words = np.zeros(len(text) - 7, _U)
-    for i in range(8):
-        words = (words << _U(8)) | text[i : i + len(words)]
+    counts = np.fromiter(map(len, distinct), np.int64, len(distinct)) - (MATCH - 1)
+    text = np.frombuffer(b"".join(distinct) + bytes(16), np.uint8)
+    starts = spread(np.cumsum(counts + MATCH - 1) - (counts + MATCH - 1), counts)
     held, marked = np.repeat(owner, counts), np.zeros(len(starts), bool)
-    members, runs = equal_runs(words, starts)
+    members, runs = equal_runs(words_at(text, ">"), starts)
     if len(members):
         least = np.minimum.reduceat(held[members], runs)
         marked[members] = held[members] > np.repeat(least, np.diff(np.append(runs, len(members))))
-    parts = np.split(marked, at[1:])
-    return [parts[u] if d == owner[u] else np.ones(counts[u], bool) for u, d in zip(same.tolist(), docs.tolist(), strict=True)]
+    at, times = np.cumsum(counts) - counts, counts[same]
+    return marked[spread(at[same], times)] | np.repeat(docs > owner[same], times)
 
 
 def buckets(texts: list[bytes], places: np.ndarray, size: int) -> list[np.ndarray]:
@@ -329,40 +362,42 @@ def buckets(texts: list[bytes], places: np.ndarray, size: int) -> list[np.ndarra
 def _judge_suffixes(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, rows in _by_range(batches):
-            texts, docs, cuts = [], [], []
-            for r in rows:
-                place = 0
-                for n in np.frombuffer(r["counts"], np.uint8).tolist():
-                    texts.append(r["texts"][place : place + n + MATCH - 1])
-                    place += n + MATCH - 1
-                docs.append(np.frombuffer(r["docs"], np.int64))
-                cuts.append(len(texts))
-            owners = np.concatenate(docs)
-            places = np.concatenate([np.frombuffer(r["places"], np.uint8) for r in rows])
-            marks: list[np.ndarray | None] = [None] * len(texts)
+            joined, held = b"".join([r["texts"] for r in rows]), [len(r["counts"]) for r in rows]
+            counts, places = (np.frombuffer(b"".join([r[k] for r in rows]), np.uint8).astype(np.int64) for k in ("counts", "places"))
+            owners = np.frombuffer(b"".join([r["docs"] for r in rows]), np.int64)
+            ends = np.cumsum(counts + MATCH - 1).tolist()
+            texts = [joined[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            ends = np.cumsum(counts)
+            marks = np.empty(counts.sum(), bool)
             for some in buckets(texts, places, size):
-                for i, m in zip(some.tolist(), mark_repeats([texts[i] for i in some.tolist()], owners[some]), strict=True):
-                    marks[i] = m
-            packed = [np.packbits(np.concatenate(marks[x:y])).tobytes() for x, y in zip([0, *cuts], cuts, strict=False)]
-            yield _answers(at, [r["chunk"] for r in rows], packed)
+                marks[spread((ends - counts)[some], counts[some])] = mark_repeats([texts[i] for i in some.tolist()], owners[some])
+            cuts = ends[np.cumsum(held) - 1].tolist()
+            yield _answers(at, [r["chunk"] for r in rows], [np.packbits(marks[x:y]).tobytes() for x, y in zip([0, *cuts], cuts, strict=False)])
 
     return run
 
 
 def removed_bytes(s: Stretches, chosen: Selected, answers: dict[int, bytes]) -> np.ndarray:
     """Which bytes of the chunk are covered by marked strings."""
-    marks: list[np.ndarray | None] = [None] * len(chosen.texts)
-    for to, slots in chosen.by_range():
-        sizes = [len(chosen.texts[x]) - MATCH + 1 for x in slots]
-        bits = np.unpackbits(np.frombuffer(answers[to], np.uint8), count=sum(sizes)).astype(bool)
-        for x, part in zip(slots, np.split(bits, np.cumsum(sizes)[:-1]), strict=True):
-            marks[x] = part
-    starts = np.zeros(len(s.data) + MATCH, bool)
-    for slot, a, b, d in chosen.uses:
-        # a later document of the same chunk holds what the slot's owner holds
-        starts[a : b + 1] |= True if s.ids[d] > chosen.owner[slot] else marks[slot]
-    total = np.concatenate([np.zeros(MATCH, np.int64), np.cumsum(starts[: len(s.data)], dtype=np.int64)])
-    return total[MATCH:] - total[:-MATCH] > 0
+    gone = np.zeros(len(s.data), bool)
+    if not len(chosen.texts):
+        return gone
+    sizes = chosen.sizes[chosen.order]
+    parts = np.add.reduceat(sizes, chosen.begin).tolist()
+    marks = np.concatenate([np.unpackbits(np.frombuffer(answers[to], np.uint8), count=n) for to, n in zip(chosen.to.tolist(), parts, strict=True)]).astype(bool)
+    at = np.empty(len(sizes), np.int64)
+    at[chosen.order] = np.cumsum(sizes) - sizes
+    # a later document of the same chunk holds what the slot's owner holds
+    later = s.ids[chosen.doc] > chosen.owner[chosen.slot]
+    for some in range(0, len(later), 1 << 16):
+        slot, first, count, sure = (x[some : some + (1 << 16)] for x in (chosen.slot, chosen.first, chosen.count, later))
+        gone[spread(first, count)] = marks[spread(at[slot], count)] | np.repeat(sure, count)
+    width = 1
+    while width < MATCH:
+        step = min(width, MATCH - width)
+        gone[step:] |= gone[:-step].copy()
+        width += step
+    return gone
 
 
 def _report(cuts: list[bytes], ranges: int):
@@ -372,26 +407,30 @@ def _report(cuts: list[bytes], ranges: int):
                 s = Stretches(r["data"], r["sizes"], r["ids"])
                 chosen = Selected(s, _joined(r["flags"] or []), cuts, ranges)
                 gone = removed_bytes(s, chosen, {a["range"]: a["answer"] for a in r["marks"] or []})
-                data, at, out = np.frombuffer(r["data"], np.uint8), 0, []
-                for doc, size in zip(r["ids"], r["sizes"], strict=True):
-                    g = gone[at : at + size]
-                    spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
-                    out.append((doc, size, int(g.sum()), spans, hashlib.sha256(data[at : at + size][~g].tobytes()).hexdigest()))
-                    at += size
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 4 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept, sizes = np.frombuffer(s.data, np.uint8)[~gone].tobytes(), np.asarray(r["sizes"], np.int64)
+                ends = np.cumsum(sizes)
+                opens, begin = gone.copy(), (ends - sizes)[sizes > 0]
+                opens[1:] &= ~gone[:-1]
+                opens[begin] = gone[begin]
+                removed, spans = ([np.count_nonzero(x[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)] for x in (gone, opens))
+                at = np.cumsum(sizes - removed).tolist()
+                digests = [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip([0, *at], at, strict=False)]
+                columns = [pa.array(c, pa.int64()) for c in (r["ids"], sizes, removed, spans)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return run
 
 
 def _sample_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leading bytes of some anchors that are dealt by them."""
+    """Leading bytes of some anchors that are dealt by them, with a number that sets equal ones apart."""
     for b in batches:
         for r in b.to_pylist():
-            s, flags = Stretches(r["data"], r["sizes"], r["ids"]), _joined(r["flags"] or [])
-            known = np.unique(s.hash)
-            dealt = np.flatnonzero(flags[np.searchsorted(known, s.hash)] == 1) if len(known) else np.empty(0, np.int64)
-            few = dealt[np.argsort(mix(s.hash[dealt]))[:SAMPLED_KEYS]]
-            yield pa.RecordBatch.from_arrays([pa.array([r["data"][p : p + K] for p in s.anchor[few].tolist()], pa.binary())], ["key"])
+            s = Stretches(r["data"], r["sizes"], r["ids"])
+            dealt = np.flatnonzero(s.flags(_joined(r["flags"] or [])) == 1)
+            order = mix(s.hash[dealt])
+            few = dealt[np.argsort(order)[:SAMPLED_KEYS]]
+            apart = mix(s.anchor[few].astype(_U) + _U(r["chunk"] * int(_ODD[0]) % 2**64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([s.data[p : p + K] for p in s.anchor[few].tolist()], pa.binary()), pa.array(apart)], ["key", "apart"])
 
 
 def _every(step: int):
@@ -404,6 +443,11 @@ def _every(step: int):
     return run
 
 
+def sorted_keys(keys: DataFrame, n: int) -> DataFrame:
+    """Keys in n ranges; equal ones, set apart by their numbers, may spread over several."""
+    return keys.repartitionByRange(n, "key", "apart").sortWithinPartitions("key", "apart").select("key")
+
+
 def splitters(flagged: DataFrame, chunks: int, ranges: int, n: int) -> list[bytes]:
     """At most ranges - 1 keys between the ranges.
 
@@ -412,9 +456,9 @@ def splitters(flagged: DataFrame, chunks: int, ranges: int, n: int) -> list[byte
     """
     taken = max(SAMPLED_CHUNKS, chunks // SAMPLED_CHUNKS)
     few = flagged.where(F.pmod(F.xxhash64("chunk"), F.lit(1 << 30)) < (1 << 30) * min(1.0, taken / max(1, chunks)))
-    keys = materialize(few.mapInArrow(_sample_keys, "key binary"), "splitters")
+    keys = materialize(few.mapInArrow(_sample_keys, "key binary, apart long"), "splitters")
     step = max(1, keys.count() // (4 * ranges))
-    thinned = keys.repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(_every(step), "key binary")
+    thinned = sorted_keys(keys, n).mapInArrow(_every(step), "key binary")
     sample = sorted(bytes(r["key"]) for r in thinned.collect())
     discard(keys)
     return sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
