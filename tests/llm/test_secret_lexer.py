@@ -38,6 +38,21 @@ def test_linear_in_the_text():
     assert time.process_time() - began < 60
 
 
+@pytest.mark.parametrize(("head", "part"), [("", "password="), ('password = "x7GkQ2mPz9" ', "a/"), ("", "password=a.=.")])
+def test_long_runs_without_blanks_take_linear_time(head, part):
+    def seconds(n):
+        began = time.process_time()
+        secret_scan.target_spans(head + part * n)
+        return time.process_time() - began
+
+    assert min(seconds(16_000) for _ in range(3)) < 8 * min(seconds(4_000) for _ in range(3))
+
+
+def test_values_padded_with_equals_signs():
+    for text, want in (("password=aB3dE5==", ["aB3dE5=="]), ("password=aB3dE5=..", ["aB3dE5="]), ("password=aB3dE5..", ["aB3dE5"]), ("password=aB3dE5=.x", []), ("password=aB3dE5.=", ["aB3dE5.="])):
+        assert [text[a:b] for a, b in secret_scan.target_spans(text)] == want
+
+
 def test_random_token_soup():
     rng = random.Random(0)
     parts = ["password", "=", ":", '"', "'", "{", "}", "(", ")", "[", "]", "\n", " ", "a", "b1Xy9Zq", "key", "--", "|", "${", "<", ">", ",", "token", '"x7GkQ2mPz9"']

@@ -60,6 +60,8 @@ TOKEN = re.compile(
 )
 #: A value without quotes that is more than a name.
 BARE = re.compile(r"[\w$+/.@%^&*!~=-]*[\w$+/@%^&*!~=-]", re.ASCII)
+#: Such a value that holds `=` at its end only, and dots behind that.
+PADDED = re.compile(r"([\w$+/.@%^&*!~-]*)(=*)\.*", re.ASCII)
 SPACE = re.compile(r"[ \t]*")
 SCALAR = re.compile(r"[ \t]*[|>][+-]?[ \t]*\n((?:[ \t]+[^\n]*\S[^\n]*(?:\n|\Z)|[ \t]*\n)+)")
 ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*)>(?P<value>[^<>\n]+)</(?P=name)>", re.ASCII)
@@ -169,9 +171,8 @@ class Lexer:
         if a is None:
             self.key = (m[0], m.start(), m.end())
             return None
-        whole = BARE.match(self.text, m.start())
-        end = whole.end() if whole else m.end()
-        if a.bare() and end > m.end() and not self.text.startswith(":", end) and "=" not in self.text[m.start() : end].rstrip("="):
+        end = self.padded_end(m.start()) if a.bare() else 0
+        if end > m.end() and not self.text.startswith(":", end):
             if m[0] in self.bound and self.text[m.end()] in "+":
                 return self.word(a, m)
             a.literals.append((m.start(), end, False))
@@ -179,6 +180,13 @@ class Lexer:
             return end
         return self.word(a, m)
 
+    def padded_end(self, at: int) -> int:
+        """Where the value without quotes ends, 0 if it holds `=` before its end; looks no further than the first of these."""
+        m = PADDED.match(self.text, at)
+        if not m[2]:
+            return at + len(m[1].rstrip("."))
+        return 0 if BARE.match(self.text[m.end() : m.end() + 1]) else m.end(2)
+
     def word(self, a: Assignment, m: re.Match) -> None:
         """A name in a value: an earlier one's literals, else perhaps a literal itself."""
         self.key = (m[0], m.start(), m.end())
@@ -239,8 +247,7 @@ class Lexer:
                 start += len(line)
             return block.end()
         at = SPACE.match(self.text, at).end()
-        whole = BARE.match(self.text, at)
-        if whole and not re.match(r"[A-Za-z_$-]|={1,3}", self.text[at]):
+        if not re.match(r"[A-Za-z_$=-]", self.text[at : at + 1]) and (whole := BARE.match(self.text, at)):
             a.literals.append((at, whole.end(), False))
             return whole.end()
         return None
