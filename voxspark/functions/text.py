@@ -26,7 +26,8 @@ def trim(text: Column) -> Column:
 
 def is_bracketed_marker(text: Column) -> Column:
     """The trimmed text is one [...] or (...) without a line break inside."""
-    return F.coalesce(trim(text).rlike(r"\A(?:\[[^\n\r]*\]|\([^\n\r]*\))\z"), F.lit(False))
+    closed = text.contains("]") | text.contains(")")  # a cheap look first, as most words have neither
+    return F.coalesce(closed & trim(text).rlike(r"\A(?:\[[^\n\r]*\]|\([^\n\r]*\))\z"), F.lit(False))
 
 
 def is_human_voice(text: Column) -> Column:
@@ -39,7 +40,8 @@ def is_environmental(text: Column) -> Column:
 
 
 def is_blank_audio(text: Column) -> Column:
-    return F.coalesce(F.upper(trim(text)).startswith("[BLANK") | (F.upper(trim(text)) == "AUDIO]"), F.lit(False))
+    bracket = text.contains("[") | text.contains("]")  # a cheap look first, as most words have none
+    return F.coalesce(bracket & (F.upper(trim(text)).startswith("[BLANK") | (F.upper(trim(text)) == "AUDIO]")), F.lit(False))
 
 
 def classify_sound(text: Column) -> Column:

@@ -82,6 +82,30 @@ def build_hypothesis(segments: DataFrame, config: Inference = Inference(), unkno
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.expected_speakers).drop("first_index")
 
 
+def participants_beside(rows: DataFrame, config: Inference = Inference()) -> DataFrame:
+    """Adds each recording's participants (build_hypothesis, join_hypothesis) to all its rows by windows of the recording.
+
+    rows: recording_id, segment_index, is_environmental, speaker_label, similarity, and __listed, whether they have
+    candidates. Rows that lie by recording stay there. A recording's list holds each of its labels once.
+    """
+    own = ~F.col("is_environmental")
+    label = F.when(own, F.col("speaker_label"))
+    whole = lambda *by: Window.partitionBy(*by).orderBy("segment_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("__label", label)
+    by = whole("recording_id", "__label")
+    n, first = F.count(F.lit(1)).over(by), F.min("segment_index").over(by)
+    rows = rows.withColumns({"__n": n, "__mean": F.coalesce(F.avg("similarity").over(by), F.lit(0.5)), "__first": first})
+    unknown = F.col("__label").startswith("Unknown")
+    standing = F.struct((-(F.col("__n") * F.col("__mean") + F.when(unknown, 0.0).otherwise(0.1))).alias("minus"), F.col("__first").alias("first"), F.col("__label").alias("name"), unknown.alias("is_unknown"))
+    once = F.col("__label").isNotNull() & (F.col("segment_index") == F.col("__first")) & (F.col("__n") >= config.min_occurrences)
+    recording = Window.partitionBy("recording_id")
+    counted = F.count_if(own & (F.col("speaker_label").isNotNull() | F.col("__listed"))).over(recording)
+    rows = rows.withColumns({"__all": F.collect_list(F.when(once, standing)).over(recording), "__counted": counted})
+    top = F.transform(F.slice(F.array_sort("__all"), 1, config.expected_speakers), lambda p: F.struct(p["name"].alias("name"), p["is_unknown"].alias("is_unknown")))
+    none = F.array().cast("array<struct<name:string,is_unknown:boolean>>")
+    return rows.withColumn("participants", F.when(F.col("__counted") >= config.min_segments, top).otherwise(none)).drop("__label", "__n", "__mean", "__first", "__all", "__counted")
+
+
 def boost_attributions(segments: DataFrame, config: Inference = Inference()) -> DataFrame:
     """Boosting of segments with `candidates`, `speaker_label` and `participants` (array of name, is_unknown), as pure column logic."""
     c, parts = F.col("candidates"), F.col("participants")

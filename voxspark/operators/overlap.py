@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxspark.config import Overlap
 from voxspark.functions import text as X
+from voxspark.functions.vectors import let
 
 
 def overlap_tail(words: Column, seconds: Column) -> Column:
@@ -28,6 +29,33 @@ def previous_chunk(chunks: DataFrame, keys: list[str], order: list[str], words:
     return chunks.withColumn("prev_words", F.lag(F.when(~clears, F.col(words))).over(w))
 
 
+def packed(words: Column) -> Column:
+    """Words (pos, text, start, end) in little space, for a shuffle: numbers in arrays of their own, texts in one string.
+
+    Texts are joined by U+0000; that and U+0001 are escaped inside them, and a missing text has an escape too.
+    """
+    plain = lambda t: F.replace(F.replace(t, F.lit("\x01"), F.lit("\x01a")), F.lit("\x00"), F.lit("\x01b"))
+    texts = F.array_join(F.transform(words, lambda w: F.coalesce(plain(w["text"]), F.lit("\x01n"))), "\x00")
+    each = lambda c: F.transform(words, lambda w: w[c]).alias(c)
+    return F.struct(each("pos"), each("start"), each("end"), texts.alias("texts"))
+
+
+def unpacked(words: Column) -> Column:
+    """The reverse of `packed`."""
+    texts = F.split(words["texts"], "\x00", -1)
+    back = lambda t: F.when(t != "\x01n", F.replace(F.replace(t, F.lit("\x01b"), F.lit("\x00")), F.lit("\x01a"), F.lit("\x01")))
+    word = lambda all_texts: F.transform(words["pos"], lambda p, i: F.struct(p.alias("pos"), back(F.get(all_texts, i)).alias("text"), F.get(words["start"], i).alias("start"), F.get(words["end"], i).alias("end")))
+    return let(texts, word)
+
+
+def previous_packed(chunks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """previous_chunk of words (pos, text, start, end), shuffled in the packed form."""
+    tight = chunks.withColumns({"words": packed(F.col("words")), "__some": F.size("words") > 0})
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = tight.withColumn("prev_words", F.lag(F.when(F.col("__some"), F.col("words"))).over(w))
+    return rows.withColumns({c: unpacked(F.col(c)) for c in ("words", "prev_words")}).drop("__some")
+
+
 def align_overlap(chunks: DataFrame, config: Overlap = Overlap()) -> DataFrame:
     """Merge point of each chunk with the one before it: index, confidence, method, timestamp.
 

@@ -16,14 +16,33 @@ def score_candidates(phrases: DataFrame, roster: DataFrame, key: str | None = No
     roster: idx, name, centroid (and the key). A key's roster is one row with one array, so phrases meet
     it in an equality join and never multiply.
     """
+    scored = with_similarities(phrases, roster, key, vector, "__s", "__list")
+    return scored.withColumn("candidates", candidates_of(F.col("__list"), F.col("__s"))).drop("__list", "__s")
+
+
+def with_similarities(phrases: DataFrame, roster: DataFrame, key: str | None = None, vector: str = "embedding", out: str = "similarities", listed: str | None = None) -> DataFrame:
+    """Adds each row's cosine to every speaker of the roster, in the order of `speakers_of`; the list itself too, if it is given a name."""
     speaker = F.struct("idx", "name", V.l2_normalize(F.col("centroid")).alias("c"))
-    lists = roster.groupBy(*([key] if key else [])).agg(F.array_sort(F.collect_list(speaker)).alias("__list"))
+    lists = roster.groupBy(*([key] if key else [])).agg(F.array_sort(F.collect_list(speaker)).alias("__speakers"))
     scored = phrases.join(lists, key, "left") if key else beside(phrases, roster, lists)
     scored = scored.withColumn("__v", V.l2_normalize(F.col(vector)))
-    one = lambda s: F.struct((-F.when(F.col("__v").isNotNull() & (F.size("__v") == F.size(s["c"])), V.dot(F.col("__v"), s["c"])).otherwise(0.0)).alias("minus"), s["idx"].alias("idx"), s["name"].alias("name"))
-    ordered = F.array_sort(F.transform("__list", one))
-    plain = F.transform(ordered, lambda c: F.struct(c["idx"].alias("idx"), c["name"].alias("name"), (-c["minus"]).alias("similarity")))
-    return scored.withColumn("candidates", F.coalesce(plain, F.array().cast("array<struct<idx:int,name:string,similarity:double>>"))).drop("__list", "__v")
+    one = lambda s: F.when(F.col("__v").isNotNull() & (F.size("__v") == F.size(s["c"])), V.dot(F.col("__v"), s["c"])).otherwise(0.0)
+    scored = scored.withColumn(out, F.transform("__speakers", one)).drop("__v")
+    return scored.withColumnRenamed("__speakers", listed) if listed else scored.drop("__speakers")
+
+
+def speakers_of(rows: DataFrame, roster: DataFrame, out: str) -> DataFrame:
+    """Adds the roster's idx and name as an array, for similarities that were kept without them."""
+    speaker = F.struct("idx", "name", V.l2_normalize(F.col("centroid")).alias("c"))
+    plain = F.transform(F.array_sort(F.collect_list(speaker)), lambda s: F.struct(s["idx"].alias("idx"), s["name"].alias("name")))
+    return beside(rows, roster, roster.agg(plain.alias(out)))
+
+
+def candidates_of(speakers: Column, similarities: Column) -> Column:
+    """Speakers with their similarities, best first, roster order on ties."""
+    one = lambda s, x: F.struct((-x).alias("minus"), s["idx"].alias("idx"), s["name"].alias("name"))
+    plain = F.transform(F.array_sort(F.zip_with(speakers, similarities, one)), lambda c: F.struct(c["idx"].alias("idx"), c["name"].alias("name"), (-c["minus"]).alias("similarity")))
+    return F.coalesce(plain, F.array().cast("array<struct<idx:int,name:string,similarity:double>>"))
 
 
 def nth(candidates: Column, n: int) -> Column:

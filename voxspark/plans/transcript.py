@@ -42,9 +42,13 @@ def join_split_markers(words: Column) -> Column:
 
 def build_segments(phrases: DataFrame, offset: Column) -> DataFrame:
     """Absolute times of phrases and their words; a missing or zero word time falls back to the phrase's."""
+    return phrases.withColumns({"start_time": offset + F.col("start"), "end_time": offset + F.col("end"), "text": join_text(F.col("words")), "words": timed_words(offset)})
+
+
+def timed_words(offset: Column) -> Column:
+    """A phrase's words with absolute times."""
     at = lambda w, c: offset + F.coalesce(F.nullif(w[c], F.lit(0.0)), F.col(c))
-    words = F.transform("words", lambda w: F.struct(w["text"].alias("text"), at(w, "start").alias("start"), at(w, "end").alias("end")))
-    return phrases.withColumns({"start_time": offset + F.col("start"), "end_time": offset + F.col("end"), "text": join_text(F.col("words")), "words": words})
+    return F.transform("words", lambda w: F.struct(w["text"].alias("text"), at(w, "start").alias("start"), at(w, "end").alias("end")))
 
 
 def validate_transcription(rows: DataFrame, minimum: float = 0.7) -> DataFrame:
