@@ -20,6 +20,12 @@ def both(spark, tmp_path, name, table, rows, schema):
 EMBEDDINGS = "vec_id long, label long, embedding array<float>"
 
 
+def test_small_negative_components_keep_their_sign(spark, tmp_path):
+    vectors = [(i, i % 3, [-1e-7 if i % 2 else 1e-7, 1.0, -1.0 - i]) for i in range(6)]
+    got, want = both(spark, tmp_path / "h1", "H1_l2_normalize", "embeddings", vectors, EMBEDDINGS)
+    assert got == want and "-0.0" in str(want)
+
+
 def test_a_recording_that_ends_early_has_no_later_set(spark, tmp_path):
     vectors = [(i, i % 4, [float(i % 4 == k) + 0.3 * ((i * 7 + k) % 5) for k in range(4)]) for i in range(32)]  # the second recording has 7
     got, want = both(spark, tmp_path, "G1_participant_diff", "embeddings", vectors, EMBEDDINGS)

@@ -14,8 +14,9 @@ from voxspark.plans.registry import query
 
 #: Thresholds that suit random vectors.
 SCALED = Clustering(similarity=0.2, minimum=0.1, margin=0.02)
-r6 = lambda c: F.round(c, 6)
-v6 = lambda c: F.transform(c, lambda x: F.round(x, 6))
+# F.round alone makes 0.0 of a small negative number, where SQL keeps the sign: -0.0
+r6 = lambda c: F.round(F.abs(c), 6) * F.signum(c)
+v6 = lambda c: F.transform(c, r6)
 NEXT = "SELECT * FROM (SELECT ord, recording_id, embedding AS a, lead(embedding) OVER (PARTITION BY recording_id ORDER BY ord) AS b FROM voices) WHERE b IS NOT NULL"
 
 
