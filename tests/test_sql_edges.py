@@ -24,6 +24,8 @@ def test_small_negative_components_keep_their_sign(spark, tmp_path):
     vectors = [(i, i % 3, [-1e-7 if i % 2 else 1e-7, 1.0, -1.0 - i]) for i in range(6)]
     got, want = both(spark, tmp_path / "h1", "H1_l2_normalize", "embeddings", vectors, EMBEDDINGS)
     assert got == want and "-0.0" in str(want)
+    got, want = both(spark, tmp_path / "h16", "H16_blend_centroid", "embeddings", vectors, EMBEDDINGS)
+    assert got == want and "-0.0" in str(want)
 
 
 def test_a_recording_that_ends_early_has_no_later_set(spark, tmp_path):
