@@ -17,27 +17,41 @@ from voxspark.operators.speakers import assign_enrolled_only, score_candidates
 
 
 def join_split_markers(words: Column) -> Column:
-    """A word that opens a bracket takes the following words up to the one that closes it; an unclosed one stays as it is."""
-    index = lambda w, i: F.struct(i.alias("i"), X.trim(w["text"]).startswith("[").alias("o"), X.trim(w["text"]).endswith("]").alias("c"))
-    marks = F.transform(words, index)
-    closers = F.transform(F.filter(marks, lambda m: m["c"]), lambda m: m["i"])
-
-    # (next free place, spans): from left to right, an opener that has a closer after it takes all up to it
-    def step(state: Column, m: Column) -> Column:
-        close = F.array_min(F.filter(closers, lambda c: c > m["i"]))
-        stop = F.when(m["o"] & ~m["c"] & close.isNotNull(), close).otherwise(m["i"])
-        span = F.struct(m["i"].cast("int").alias("a"), stop.cast("int").alias("b"))
-        return F.when(m["i"] < state["free"], state).otherwise(F.struct((stop + 1).cast("int").alias("free"), F.concat(state["spans"], F.array(span)).alias("spans")))
-
-    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
-    spans = F.aggregate(marks, start, step, lambda s: s["spans"])
-
-    def glued(s: Column) -> Column:
-        part = F.slice(words, s["a"] + 1, s["b"] - s["a"] + 1)
-        text = F.array_join(F.transform(part, lambda w: w["text"]), "")
-        return F.struct(text.alias("text"), F.element_at(part, 1)["start"].alias("start"), F.element_at(part, -1)["end"].alias("end"))
-
-    return let(spans, lambda all_spans: F.transform(all_spans, glued))
+    """A word that opens a bracket takes the following words up to the one that closes it; an unclosed one stays as it is.
+
+    Between two words that close lies one span at most, from the first word there that opens; so the words' marks are
+    one string, cut at the closing ones, and each word is looked at a few times however many there are.
+    """
+    holds = lambda w, bracket: F.coalesce(w["text"].contains(bracket), F.lit(False))
+    closes = lambda w: holds(w, "]") & X.trim(w["text"]).endswith("]")
+    opens = lambda w: holds(w, "[") & X.trim(w["text"]).startswith("[")
+    mark = lambda w: F.when(closes(w), "c").when(opens(w), "o").otherwise(".")
+    none = F.array().cast("array<int>")
+
+    def firsts(marks: Column) -> Column:
+        """Places at which what comes out begins."""
+        closers = F.filter(F.transform(marks, lambda m, i: F.when(m == "c", i)), lambda i: i.isNotNull())
+        parts = F.split(F.array_join(marks, ""), "c", -1)
+
+        def places(part: Column, k: Column, ends: Column) -> Column:
+            begin = F.when(k > 0, F.get(ends, k - 1) + 1).otherwise(0)
+            close, first = F.get(ends, k), F.instr(part, "o")  # 1 for the part's first word
+            last = F.when(close.isNull(), F.size(marks) - 1).when(first > 0, begin + first - 1).otherwise(close)
+            return F.when(last >= begin, F.sequence(begin, last)).otherwise(none)
+
+        return let(closers, lambda ends: F.flatten(F.transform(parts, lambda part, k: places(part, k, ends))))
+
+    def glued(ws: Column, a: Column, b: Column) -> Column:
+        own = F.coalesce(F.get(ws, a)["text"], F.lit(""))
+        text = F.when(a == b, own).otherwise(F.array_join(F.transform(F.sequence(a, b), lambda i: F.get(ws, i)["text"]), ""))
+        return F.struct(text.alias("text"), F.get(ws, a)["start"].alias("start"), F.get(ws, b)["end"].alias("end"))
+
+    def joined(ws: Column) -> Column:
+        begins = let(F.transform(ws, mark), firsts)
+        stop = lambda all_firsts, k: F.coalesce(F.get(all_firsts, k + 1), F.size(ws)) - 1
+        return let(begins, lambda all_firsts: F.transform(all_firsts, lambda a, k: glued(ws, a, stop(all_firsts, k))))
+
+    return let(words, joined)
 
 
 def build_segments(phrases: DataFrame, offset: Column) -> DataFrame:
